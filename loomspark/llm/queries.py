@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomspark.llm.common import documents
 
@@ -23,6 +24,35 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, documents(spark, sf_dir), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output,)}
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.secrets import joined, secret_spans
+
+    base = F.concat("assign", "access", "hex")
+    rows = secret_spans(spark, documents(spark, sf_dir))
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")]
+    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, "weak")).alias("spans"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.decontam import contamination, digest
+
+    return digest(contamination(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.packing import pack
+
+    return pack(spark, documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.quality import ledger, passes
+
+    rows = ledger(documents(spark, sf_dir)).withColumn("base_failed", ~passes("base", 1))
+    kept = ~F.col("base_failed") & passes("prose", 2)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "failed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op3_secret_scan, op5_decontamination, op6_packing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
