@@ -24,6 +24,12 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.linededup import dedup_lines, digest
+
+    return digest(dedup_lines(spark, documents(spark, sf_dir), min_docs=10))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.secrets import joined, secret_spans
 
@@ -33,6 +39,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.concat(base, "weak")).alias("spans"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.substrings import dedup_substrings, digest
+
+    return digest(dedup_substrings(spark, documents(spark, sf_dir)))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.decontam import contamination, digest
 
@@ -53,6 +65,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op3_secret_scan, op5_decontamination, op6_packing, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
