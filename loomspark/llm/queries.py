@@ -57,12 +57,24 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.langid import languages
+
+    return languages(spark, documents(spark, sf_dir))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.jaccard import digest, groups
 
     return digest(groups(spark, documents(spark, sf_dir), size=4, percent=85))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.licenses import digest, license_matches
+
+    return digest(license_matches(spark, documents(spark, sf_dir)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspark.llm.quality import ledger, passes
 
@@ -71,6 +83,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op8_jaccard_join, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op7_language_id, op8_jaccard_join, op9_license_scan, op10_quality_rules)}
 
 ORACLE: dict[str, str] = {}
