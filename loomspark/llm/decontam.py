@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, doc_id, keyed
+from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed
 
 SPAN_WORDS = 13
 GRAM = 5
@@ -117,5 +117,12 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sp
     return out.select("k", "th", n.alias("n_words"), h.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((h > 0) & (20 * h >= n)).alias("contaminated"))
 
 
+def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    bad = contamination(spark, docs, benchmark).filter("contaminated").select(F.col("k").alias("__k"), F.col("th").alias("__th"))
+    key = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}
+    return docs.withColumns(key).join(bad, ["__k", "__th"], "left_anti").select(*docs.columns)
+
+
 def digest(rows: DataFrame) -> DataFrame:
     return rows.select(doc_id(), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -204,5 +204,15 @@ def groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 8
     return out.select("k", "n", F.when(own, F.col("k")).otherwise(F.col("x")).alias("class"), F.when(own, F.col("k")).otherwise(F.col("c")).alias("component"))
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near duplicates: the lowest doc_id's (of several texts of it, the one with the
+    lowest hash; of equal rows, one). Rows without a doc_id are compared with none and stay."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    kept = groups(spark, known, size, percent).filter("k = component").select("k").distinct()
+    lowest = keyed(known).groupBy("k").agg(F.min("th").alias("__th")).join(kept, "k").select(F.col("k").alias("__k"), "__th")
+    rows = known.withColumns({"__k": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}).join(lowest, ["__k", "__th"])
+    return rows.dropDuplicates(["__k", "__th"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
 def digest(rows: DataFrame) -> DataFrame:
     return rows.select(doc_id(), F.col("n").alias("n_shingles"), doc_id("component").alias("component_id"))

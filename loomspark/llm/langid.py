@@ -254,26 +254,33 @@ class Labeller(dict):
         return out
 
 
-def label_languages(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns keep of docs, then lang_pred and score (which they must not be named)."""
+def label_languages(spark: SparkSession, docs: DataFrame, model: Model | None, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of docs, then the language of `text` and its score under names (which must be free)."""
     shared = spark.sparkContext.broadcast(model)
-    read = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    read = docs.select(*keep, *([] if "text" in keep else ["text"]))
+    schema = docs.select(*keep, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
 
     def run(batches):
         labeller = None if shared.value is None else Labeller(shared.value)
         for b in batches:
             got: list[tuple[str, float]] = []
-            ts = b.column("__text").cast(pa.binary())
+            ts = b.column("text").cast(pa.binary())
             for i in range(0, b.num_rows, 256):
                 part = [(x or b"").decode(errors="replace") for x in ts.slice(i, 256).to_pylist()]
                 got += labeller.scores(part) if labeller is not None else [(UND, 0.0)] * len(part)
             own = [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], names=[*keep, *names])
 
     return read.mapInArrow(run, schema)
 
 
+def identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs whose language is known: not `und`, and for most of their words."""
+    own = ("__language", "__score")
+    rows = label_languages(spark, docs, trained(docs), docs.columns, own)
+    return rows.filter((F.col(own[0]) != UND) & (F.col(own[1]) >= least)).drop(*own)
+
+
 def languages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

@@ -10,7 +10,7 @@ false suspects, which cost shuffle and change no result.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Lines with an empty key stay. A null
 or empty text is one empty line. Each row counts as a document, so repeated rows count each. An empty table gives no
-rows. Other columns are kept as they are by dedup_lines(), ignored by the rest.
+rows. Other columns are kept as they are by without_repeats(), ignored by the rest.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, doc_id, keyed, slots
+from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed, slots
 
 SEGMENT = 1 << 20  # bits; a segment of both filters takes 256 kB
 HASHES = 2
@@ -168,5 +168,31 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, keep_f
     return keyed(docs).join(gone, ["k", "th"], "left").select("k", "th", "text", "gone").mapInArrow(run, "k long, th long, n_lines long, n_dropped long, kept string")
 
 
+def without_repeats(spark: SparkSession, docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
+    """docs with its columns, lines that repeat taken out of text. n_chars, where it is there, counts the new text.
+    A null text stays null; a text of which nothing is left stays as an empty one."""
+    scratch = Scratch(spark, "lines")
+    gone = scratch.write(repeated_lines(docs, scratch, min_docs, keep_first), "gone").select(F.col("k").alias("__k"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    columns = docs.columns
+    at = columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text")
+            if b.column("__gone").null_count < b.num_rows:
+                out = []
+                for t, g in zip(texts.cast(pa.binary()).to_pylist(), b.column("__gone").to_pylist()):
+                    g = set(g or ())
+                    out.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in g]) if g else t)
+                texts = pa.array(out, pa.binary()).cast(pa.string())
+            arrays = [b.column(c) for c in columns]
+            arrays[at] = texts
+            yield pa.RecordBatch.from_arrays(arrays, names=columns)
+
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumns({"__k": key[0], "__th": key[1]}).join(gone, ["__k", "__th"], "left").select(*columns, "__gone").mapInArrow(run, docs.schema)
+    return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else rows
+
+
 def digest(rows: DataFrame) -> DataFrame:
     return rows.select(doc_id(), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
