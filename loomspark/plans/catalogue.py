@@ -1,4 +1,484 @@
 """The query catalogue: name -> Spark query, and name -> the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomspark.functions import hashing, ids, status, text
+from loomspark.operators import audit, blocks, changes, graph, integrity, layout, parity, retrieval
+from loomspark.plans import bridge as b
+from loomspark.plans.bridge import CONFIG, sql, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------------
+TERMS = ["the", "onesen", "erblest", "andthe"]
+_TOKENS = "regexp_extract_all(replace(lower({t}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')"
+_TITLE = "array_to_string(string_split(text, ' ')[1:5], ' ')"
+_UNITS_SQL = f"""units AS (SELECT CAST(doc_id AS VARCHAR) AS uid, doc_id AS ord, list_concat(list_concat({_TOKENS.format(t=_TITLE)}, {_TOKENS.format(t=_TITLE)}), {_TOKENS.format(t='text')}) AS bag FROM documents),
+postings AS (SELECT uid, len, term, count(*) AS tf FROM (SELECT uid, len(bag) AS len, unnest(bag) AS term FROM units) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+stats AS (SELECT count(*) AS n, sum(len(bag)) / count(*) AS avgl FROM units)"""
+_SCORE_SQL = "round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgl))), 6)"
+
+
+def _units(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("uid"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("title"), "text", F.col("doc_id").alias("ord"))
+
+
+@query(f"WITH {_UNITS_SQL} SELECT uid, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term), stats WHERE term IN ('the', 'onesen', 'erblest', 'andthe') GROUP BY uid, CAST(uid AS BIGINT) ORDER BY score DESC, CAST(uid AS BIGINT) LIMIT 20")
+def bm25_topk(spark, sf_dir):
+    u = _units(spark, sf_dir)
+    index = retrieval.postings(u, anchor=None)
+    return retrieval.top(retrieval.bm25(index, retrieval.totals(u, index), TERMS), u, 20).select("uid", "score")
+
+
+_TURNS_SQL = """turns AS (SELECT conv_id || '-' || turn AS uid, CASE role WHEN 'user' THEN 'contract' WHEN 'assistant' THEN 'debate' ELSE 'ops' END AS kind, conv_id * 1000 + turn AS ord,
+  regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS bag, text, role, conv_id, turn FROM conversations)"""
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("role") == "user", "contract").when(F.col("role") == "assistant", "debate").otherwise("ops")
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("uid"), kind.alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text", "conv_id", "turn", "role")
+
+
+@query(f"""WITH {_TURNS_SQL}, postings AS (SELECT uid, len, term, count(*) AS tf FROM (SELECT uid, len(bag) AS len, unnest(bag) AS term FROM turns) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELECT count(*) AS n, sum(len(bag)) / count(*) AS avgl FROM turns)
+SELECT uid, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term) JOIN turns USING (uid), stats WHERE term IN ('the', 'and', 'of') AND kind = 'debate' GROUP BY uid, ord ORDER BY score DESC, ord LIMIT 15""")
+def bm25_seed_kinds(spark, sf_dir):
+    u = _turns(spark, sf_dir)
+    index = retrieval.postings(u, title=None, anchor=None)
+    return retrieval.top(retrieval.bm25(index, retrieval.totals(u, index), ["the", "and", "of"]), u, 15, ("debate",)).select("uid", "score")
+
+
+@query(f"WITH {_UNITS_SQL} SELECT term, df FROM dfs")
+def term_document_frequency(spark, sf_dir):
+    return retrieval.term_frequencies(retrieval.postings(_units(spark, sf_dir), anchor=None))
+
+
+@query(sql("SELECT spec_id AS anchor, title, CASE spec_id WHEN 'sop-p-10' THEN 1 WHEN 'spec-p-8' THEN 2 END AS pos FROM contracts WHERE spec_id IN ('sop-p-10', 'spec-p-8')", "contracts"))
+def anchor_pinned_search(spark, sf_dir):
+    c = b.contracts(spark, sf_dir)
+    u = c.select(F.col("spec_id").alias("uid"), F.lit("contract").alias("kind"), F.col("spec_id").alias("anchor_id"), F.col("spec_id").alias("parent_anchor"), "title", F.col("content").alias("text"), "ord")
+    hits = retrieval.Bm25Retriever(u).retrieve("what of ^sop-p-10 and SPEC-P-8, and none-p-1?", 2)
+    return hits.join(u, "uid").select(F.col("uid").alias("anchor"), "title", "pos")
+
+
+@query(f"""WITH {_TURNS_SQL}, u AS (SELECT uid, kind, ord, conv_id FROM turns), parent AS (SELECT conv_id, arg_min(uid, ord) AS puid FROM u WHERE kind = 'contract' GROUP BY conv_id),
+seeds AS (SELECT *, row_number() OVER (ORDER BY ord) AS pos FROM u WHERE ord % 7 = 0 ORDER BY ord LIMIT 8),
+cand AS (SELECT uid, pos, CASE kind WHEN 'contract' THEN 0 ELSE 1 END AS slot, 0 AS o, 'seed' AS reason FROM seeds
+ UNION ALL SELECT puid, pos, 0, 0, 'parent-of:' || uid FROM seeds JOIN parent USING (conv_id) WHERE kind <> 'contract'
+ UNION ALL SELECT u.uid, pos, 1, u.ord, 'child-of:' || s.uid FROM seeds s JOIN u ON s.conv_id = u.conv_id WHERE s.kind = 'contract' AND u.kind <> 'contract'),
+firsts AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY uid ORDER BY pos, slot, o) = 1)
+SELECT uid, reason, row_number() OVER (ORDER BY pos, slot, o) AS pos FROM firsts ORDER BY pos LIMIT 12""")
+def expand_neighbours(spark, sf_dir):
+    u = _turns(spark, sf_dir).select("uid", "kind", "ord", F.col("conv_id").cast("string").alias("anchor_id"), F.col("conv_id").cast("string").alias("parent_anchor"))
+    seeds = u.filter("ord % 7 = 0").orderBy("ord").limit(8)
+    hits = seeds.select("uid", F.lit(1.0).alias("score"), F.lit("seed").alias("reason"), F.row_number().over(Window.orderBy("ord")).alias("pos"))
+    return retrieval.expanded(u, hits, 12).select("uid", "reason", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""WITH {_TURNS_SQL} SELECT uid, '[' || turn || '] ' || upper(kind) || ' ' || CASE kind WHEN 'contract' THEN '^' || conv_id ELSE kind || ' -> ^' || conv_id END || ' | status: ' ||
+  CASE turn % 3 WHEN 0 THEN 'deprecated  [NOT IN FORCE]' WHEN 1 THEN 'active' ELSE 'unknown' END || ' | layer: -' || chr(10) || 'title: ' || role || chr(10) || 'source: - (document: ' || conv_id || ')' || chr(10) || coalesce(nullif(text, ''), '(empty body)') AS block FROM turns""")
+def prompt_blocks(spark, sf_dir):
+    u = _turns(spark, sf_dir)
+    c = F.col("conv_id").cast("string")
+    own = F.when(F.col("turn") % 3 == 0, "deprecated").when(F.col("turn") % 3 == 1, "active").otherwise("")
+    u = u.withColumns({"anchor_id": c, "parent_anchor": c, "computed_status": F.lit(""), "status": own, "invalidated": F.lit(False), "layer": F.lit(""), "title": F.col("role"), "source_file": F.lit(""), "document_title": F.lit(""), "document_id": c})
+    return u.select("uid", retrieval.block(F.col("turn")).alias("block"))
+
+
+# --- layout ------------------------------------------------------------------------------------------------------------
+@query(sql("""SELECT source_file, p.id AS "partition", p.scope, regexp_extract(source_file, '([^/]+)\\.debate\\.en\\.md$', 1) AS document_id, 'debate' AS role, 'en' AS locale
+FROM (SELECT DISTINCT source_file FROM callouts) c JOIN partitions p ON starts_with(source_file, p.path || '/')""", "partitions", "callouts"))
+def classify_paths(spark, sf_dir):
+    files = b.callouts(spark, sf_dir).select("source_file").distinct()
+    return layout.classified(files, CONFIG, "source_file").select("source_file", "partition", "scope", "document_id", "role", "locale")
+
+
+@query(sql("SELECT partition_id AS \"partition\", count(DISTINCT source_file) AS n_files, count(*) AS n_contracts FROM contracts WHERE partition_id IN ('core', 'adr', 'ops') GROUP BY 1", "contracts"))
+def target_prune_counts(spark, sf_dir):
+    files = layout.classified(b.contracts(spark, sf_dir).select("source_file"), CONFIG, "source_file")
+    return layout.of_target(files, CONFIG, "public", "en").groupBy("partition").agg(F.countDistinct("source_file").alias("n_files"), F.count("*").alias("n_contracts"))
+
+
+_NAMES_SQL = "names AS (SELECT p_partkey, 'docs/public/core/' || (CASE p_partkey % 6 WHEN 0 THEN 'a' || p_partkey || '.en.md' WHEN 1 THEN 'a.contarct.en.md' WHEN 2 THEN 'a.debate.fr.md' WHEN 3 THEN 'a' || p_partkey || '.evi.vi.md' WHEN 4 THEN 'a.txt' ELSE 'a.b.ops.en.md' END) AS path FROM part)"
+
+
+@query(f"WITH {_NAMES_SQL} SELECT path, CASE p_partkey % 6 WHEN 1 THEN 'role' WHEN 2 THEN 'locale' WHEN 4 THEN 'extension' ELSE 'pattern' END AS fault FROM names WHERE p_partkey % 6 IN (1, 2, 4, 5)")
+def file_naming_check(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    name = F.when(k % 6 == 0, F.concat(F.lit("a"), n, F.lit(".en.md"))).when(k % 6 == 1, "a.contarct.en.md").when(k % 6 == 2, "a.debate.fr.md").when(k % 6 == 3, F.concat(F.lit("a"), n, F.lit(".evi.vi.md"))).when(k % 6 == 4, "a.txt").otherwise("a.b.ops.en.md")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("docs/public/core/"), name).alias("path"))
+    return rows.select("path", layout.naming_fault(F.col("path"), CONFIG).alias("fault")).filter("fault is not null")
+
+
+# --- integrity ---------------------------------------------------------------------------------------------------------
+@query(sql("SELECT target_id, node_id, source_file FROM callouts WHERE l_partkey % 50 = 0", "callouts"))
+def orphan_refs(spark, sf_dir):
+    c = b.contracts(spark, sf_dir).filter("ord % 50 <> 0")
+    return integrity.orphans(c, b.callouts(spark, sf_dir)).select("target_id", "node_id", "source_file")
+
+
+@query("SELECT lower(replace(p_brand, '#', '-')) || '-' || p_size AS spec_id, count(*) AS n, count(DISTINCT p_type) AS n_files FROM part GROUP BY 1 HAVING count(*) > 1")
+def duplicate_anchors(spark, sf_dir):
+    c = table(spark, sf_dir, "part").select(F.concat_ws("-", F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.col("p_size").cast("string")).alias("spec_id"), F.col("p_type").alias("source_file"))
+    return integrity.duplicates(c).select("spec_id", "n", F.size("files").cast("long").alias("n_files"))
+
+
+@query(sql("SELECT spec_id, e.id AS expected, a.id AS actual FROM (SELECT spec_id, ord, 'docs/' || (CASE WHEN ord % 9 = 0 THEN 'public/core' ELSE substr(source_file, 6, length(source_file) - 5 - length(regexp_extract(source_file, '/[^/]+$'))) END) || '/x.en.md' AS f FROM contracts) c JOIN partitions e ON split_part(spec_id, '-', 1) = e.domain JOIN partitions a ON starts_with(f, a.path || '/') WHERE e.id <> a.id", "partitions", "contracts"))
+def misplaced_anchors(spark, sf_dir):
+    moved = F.when(F.col("ord") % 9 == 0, F.lit("docs/public/core/x.en.md")).otherwise(F.col("source_file"))
+    c = b.contracts(spark, sf_dir).withColumn("source_file", moved)
+    return integrity.misplaced(c, CONFIG, spark).select("spec_id", "expected", "actual")
+
+
+@query(sql("""SELECT node_id, c.source_file, f.scope AS from_scope, coalesce(h.scope, t.scope) AS to_scope FROM callouts c JOIN partitions f ON starts_with(c.source_file, f.path || '/')
+LEFT JOIN contracts k ON c.target_id = k.spec_id LEFT JOIN partitions h ON starts_with(k.source_file, h.path || '/') JOIN partitions t ON split_part(c.target_id, '-', 1) = t.domain WHERE f.level < coalesce(h.level, t.level)""", "partitions", "contracts", "callouts"))
+def cross_boundary_refs(spark, sf_dir):
+    return integrity.crossing(b.contracts(spark, sf_dir), b.callouts(spark, sf_dir), CONFIG, spark).select("node_id", "source_file", "from_scope", "to_scope")
+
+
+@query(sql("""SELECT id, CASE WHEN parent IN (SELECT spec_id FROM contracts WHERE ord % 3 <> 0) THEN parent END AS parent FROM (
+SELECT node_id AS id, split_part(node_id, '#', 1) AS parent FROM callouts UNION SELECT spec_id || '-c01', spec_id FROM contracts UNION SELECT spec_id || '-x99', NULL FROM contracts UNION SELECT spec_id, NULL FROM contracts WHERE ord % 3 <> 0)""", "contracts", "callouts"))
+def parent_anchor_resolution(spark, sf_dir):
+    c = b.contracts(spark, sf_dir)
+    own = c.filter("ord % 3 <> 0").select(F.col("spec_id").alias("id"))
+    every = own.union(b.callouts(spark, sf_dir).select("node_id")).union(c.select(F.concat("spec_id", F.lit("-c01")))).union(c.select(F.concat("spec_id", F.lit("-x99")))).distinct()
+    return integrity.parents(every, CONFIG)
+
+
+_DEPENDENTS_SQL = """deps AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS line_no,
+ CASE l_returnflag WHEN 'R' THEN 'debate' WHEN 'A' THEN 'ops' ELSE 'contract' END AS role, (['active', 'archived', 'deprecated', 'nonsense'])[l_suppkey % 4 + 1] AS status,
+ (['obsolete_logic', 'because', ''])[l_partkey % 3 + 1] AS reason, (['spec-x-1', 'nowhere'])[l_linenumber % 2 + 1] AS sup FROM lineitem)"""
+
+
+@query(f"""WITH {_DEPENDENTS_SQL}, d AS (SELECT *, l_orderkey || '/' || line_no AS rel_path FROM deps WHERE role <> 'contract')
+SELECT rel_path, 'status' AS fault, 'status' AS field FROM d WHERE status = 'nonsense'
+UNION ALL SELECT rel_path, CASE reason WHEN '' THEN 'missing' ELSE 'free text' END, 'archived_reason' FROM d WHERE status IN ('archived', 'deprecated') AND reason <> 'obsolete_logic'
+UNION ALL SELECT rel_path, 'not an anchor', 'superseded_by' FROM d WHERE status = 'deprecated' AND sup = 'nowhere'""")
+def lifecycle_check(spark, sf_dir):
+    item = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    pick = lambda xs, c: F.get(F.array(*map(F.lit, xs)), (F.col(c) % len(xs)).cast("int"))
+    raw = F.create_map(F.lit("status"), pick(["Active ", "archived", "deprecated", "nonsense"], "l_suppkey"), F.lit("archived_reason"), pick(["obsolete_logic", "because", ""], "l_partkey"), F.lit("superseded_by"), pick(["spec-x-1", "nowhere"], "l_linenumber"))
+    role = F.when(F.col("l_returnflag") == "R", "debate").when(F.col("l_returnflag") == "A", "ops").otherwise("contract")
+    docs = item.select(F.concat_ws("/", F.col("l_orderkey").cast("string"), F.row_number().over(w).cast("string")).alias("rel_path"), role.alias("role"), raw.alias("raw"))
+    return integrity.lifecycle(docs, CONFIG)
+
+
+# --- graph -------------------------------------------------------------------------------------------------------------
+_WALK_SQL = "walk AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN target_id || '-c01' ELSE target_id END AS named FROM callouts)"
+
+
+def _walking(spark, sf_dir):
+    calls = b.callouts(spark, sf_dir)
+    even = F.regexp_extract("title", "note ([0-9]+)", 1).cast("int") % 2 == 0
+    return calls.withColumn("target_id", F.when(even, F.concat("target_id", F.lit("-c01"))).otherwise(F.col("target_id")))
+
+
+@query(sql(f", {_WALK_SQL} SELECT named AS target_id, target_id AS anchor, source_file, line_no FROM walk WHERE l_partkey % 50 <> 0", "callouts").replace("\n, ", ", "))
+def callout_attach_walkup(spark, sf_dir):
+    c = b.contracts(spark, sf_dir).filter("ord % 50 <> 0")
+    return graph.attached(c, _walking(spark, sf_dir), CONFIG).select("target_id", "anchor", "source_file", F.col("line_no").cast("long").alias("line_no"))
+
+
+_MATRIX_SQL = "CASE WHEN d IS NULL THEN c WHEN c IS NULL THEN d WHEN list_position(['active', 'pending', 'draft', 'deprecated', 'archived'], d) >= list_position(['active', 'pending', 'draft', 'deprecated', 'archived'], c) THEN d WHEN c IN ('deprecated', 'archived') THEN 'invalidated' ELSE c END"
+
+
+@query(f"WITH s(s) AS (VALUES ('active'), ('pending'), ('draft'), ('deprecated'), ('archived'), (NULL)) SELECT c, d, {_MATRIX_SQL} AS computed FROM (SELECT a.s AS c, z.s AS d FROM s a, s z)")
+def status_matrix(spark, sf_dir):
+    s = spark.createDataFrame([(x,) for x in (*CONFIG.statuses, None)], "s string")
+    pairs = s.select(F.col("s").alias("c")).crossJoin(s.select(F.col("s").alias("d")))  # six by six
+    return pairs.select("c", "d", status.resolved(F.col("c"), F.col("d"), CONFIG).alias("computed"))
+
+
+_ENTRIES_SQL = f"""pairs AS (SELECT k.*, x.status_override AS c, f.status AS d, x.ord AS contract_ord, x.partition_id FROM callouts k JOIN contracts x ON k.target_id = x.spec_id JOIN file_status f ON k.source_file = f.source_file),
+entries AS (SELECT *, {_MATRIX_SQL} AS computed_status, coalesce(c = 'deprecated', false) AS invalidated FROM pairs)"""
+
+
+def _entries(spark, sf_dir):
+    c, k = b.contracts(spark, sf_dir), b.callouts(spark, sf_dir)
+    return graph.entries(c.withColumn("status", F.col("status_override")), k, b.file_status(k), CONFIG)
+
+
+@query(sql(f", {_ENTRIES_SQL} SELECT c AS contract_status, computed_status, invalidated, count(*) AS n FROM entries GROUP BY ALL", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def computed_status_counts(spark, sf_dir):
+    return _entries(spark, sf_dir).groupBy("contract_status", "computed_status", "invalidated").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT source_file, line_no, node_id FROM callouts", "callouts"))
+def composite_ids(spark, sf_dir):
+    return b.callouts(spark, sf_dir).select("source_file", F.col("line_no").cast("long").alias("line_no"), "node_id")
+
+
+@query(sql(f""", {_ENTRIES_SQL} SELECT target_id AS anchor, count(*) FILTER (kind = 'debate') AS debates, count(*) FILTER (kind = 'ops') AS ops, count(*) FILTER (kind = 'evi') AS evidence,
+coalesce(string_agg(node_id, ',' ORDER BY source_file, line_no) FILTER (kind = 'debate'), '') AS debate_ids FROM entries GROUP BY 1""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def node_entries_nested(spark, sf_dir):
+    n = graph.nested_entries(_entries(spark, sf_dir), CONFIG, "node_id", "title", "computed_status")
+    count = lambda c: F.size(c).cast("long").alias(c)
+    return n.select("anchor", count("debates"), count("ops"), count("evidence"), F.array_join(F.transform("debates", lambda x: x["node_id"]), ",").alias("debate_ids"))
+
+
+@query("""WITH f AS (SELECT lower(replace(p_brand, '#', '-')) AS document_id, (['contract', 'axiom', 'debate', 'ops'])[p_size % 4 + 1] AS role, p_size, p_partkey FROM part)
+SELECT document_id, arg_min(name, (r, name)) AS "primary", count(*) AS n_files FROM (SELECT DISTINCT document_id, CASE WHEN p_size % 5 = 0 THEN -1 ELSE p_size % 4 END AS r, document_id || CASE WHEN p_size % 5 = 0 THEN '' ELSE '.' || role END || '.' || (CASE p_size % 3 WHEN 0 THEN 'vi' ELSE 'en' END) || '.md' AS name FROM f) GROUP BY 1""")
+def document_primary_file(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    role = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.lit("."), F.get(F.array(*map(F.lit, CONFIG.document_roles)), (F.col("p_size") % 4).cast("int"))))
+    name = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), role, F.when(F.col("p_size") % 3 == 0, ".vi.md").otherwise(".en.md"))
+    files = p.select(F.concat(F.lit("docs/public/core/"), name).alias("rel_path")).distinct()
+    got = graph.primary_files(layout.classified(files, CONFIG), CONFIG)
+    return got.select("document_id", F.substring_index("primary", "/", -1).alias("primary"), "n_files")
+
+
+@query(sql(f""", {_ENTRIES_SQL} SELECT p.id AS "partition", coalesce(n.docs, 0) AS docs, coalesce(n.nodes, 0) AS nodes, coalesce(e.debates, 0) AS debates, coalesce(e.ops, 0) AS ops, coalesce(e.evidence, 0) AS evidence
+FROM partitions p LEFT JOIN (SELECT partition_id, count(DISTINCT document_id) AS docs, count(*) AS nodes FROM contracts WHERE partition_id <> 'exec' GROUP BY 1) n ON p.id = n.partition_id
+LEFT JOIN (SELECT partition_id, count(*) FILTER (kind = 'debate') AS debates, count(*) FILTER (kind = 'ops') AS ops, count(*) FILTER (kind = 'evi') AS evidence FROM entries WHERE partition_id <> 'exec' GROUP BY 1) e ON p.id = e.partition_id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def partition_rollup_summary(spark, sf_dir):
+    c = b.contracts(spark, sf_dir).filter("partition <> 'exec'")
+    n = c.groupBy("partition").agg(F.countDistinct("document_id").alias("docs"), F.count("*").alias("nodes"))
+    e = graph.attached(c, b.callouts(spark, sf_dir), CONFIG).withColumn("domain", ids.domain_of(F.col("anchor"))).groupBy("domain").agg(*[F.count_if(F.col("kind") == r.role).alias(r.graph_key) for r in CONFIG.roles])
+    dims = CONFIG.partition_frame(spark).select(F.col("id").alias("partition"), "domain")
+    full = dims.join(n, "partition", "left").join(e, "domain", "left")
+    return full.select("partition", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("docs", "nodes", "debates", "ops", "evidence")])
+
+
+@query(sql("""SELECT anchor, arg_max(src, (tier, ord)) AS src, arg_max(title, (tier, ord)) AS title FROM (SELECT spec_id AS anchor, 0 AS tier, ord, source_file AS src, title FROM contracts
+UNION ALL SELECT node_id, 1, ord, source_file, title FROM callouts WHERE target_id IN (SELECT spec_id FROM contracts)) GROUP BY 1""", "contracts", "callouts"))
+def anchor_index_lookup(spark, sf_dir):
+    c = b.contracts(spark, sf_dir)
+    return graph.anchor_index(c, graph.attached(c, b.callouts(spark, sf_dir), CONFIG)).select("anchor", "src", "title")
+
+
+def nested_graph(spark, sf_dir) -> DataFrame:
+    """The whole artifact of the bridge: one row a locale."""
+    c = graph.layers(b.contracts(spark, sf_dir).withColumn("status", F.col("status_override")), "spec_id", None, CONFIG, spark)
+    e = graph.layers(_entries(spark, sf_dir), "anchor", "kind", CONFIG, spark).withColumn("body", F.col("content"))
+    own = graph.nested_entries(e, CONFIG, "node_id", "title", "body", "contract_status", "dependent_status", "computed_status", "invalidated", "layer")
+    rows = c.join(own, c.spec_id == own.anchor, "left")
+    empty = lambda r: F.coalesce(r.graph_key, F.array().cast(own.schema[r.graph_key].dataType)).alias(r.graph_key)
+    node = F.struct(F.col("spec_id").alias("anchor_id"), "title", "layer", F.col("content").alias("body"), "status", "source_file", *[empty(r) for r in CONFIG.roles])
+    keys = [F.lit("en").alias("locale"), "partition", F.array().cast("array<string>").alias("tractate"), "document_id"]
+    nodes = rows.select(*keys, F.struct("line_no", "spec_id").alias("node_ord"), node.alias("node"))
+    docs = c.groupBy("partition", "document_id").agg(F.min("source_file").alias("src")).select(*keys, F.struct(F.col("document_id").alias("title"), "src", F.lit("active").alias("status")).alias("doc"))
+    return graph.nested(nodes, docs, CONFIG, spark)
+
+
+_LAYER_SQL = """CASE {k} WHEN 'contract' THEN (CASE flavor WHEN 'kernel' THEN 'KERNEL_CONTRACT' WHEN 'policy' THEN 'POLICY_CONTRACT' ELSE 'META_CONSTITUTION' END)
+ WHEN 'debate' THEN (CASE flavor WHEN 'kernel' THEN 'TECHNICAL_DEBATE' WHEN 'policy' THEN 'POLICY_DEBATE' ELSE 'META_DEBATE' END) ELSE (CASE flavor WHEN 'kernel' THEN 'OPERATIONAL_EXTENSIONS' WHEN 'policy' THEN 'EXECUTION_CHECKLIST' ELSE 'META_CHECKLIST' END) END"""
+
+
+@query(sql(f""", {_ENTRIES_SQL}, u AS (SELECT spec_id AS uid, 'contract' AS kind, spec_id AS anchor_id, title, content AS text, partition_id, '' AS computed_status FROM contracts
+UNION ALL SELECT target_id || '#' || kind || '-' || (row_number() OVER (PARTITION BY target_id, kind ORDER BY source_file, line_no) - 1), kind, target_id, title, content, partition_id, computed_status FROM entries WHERE kind <> 'evi')
+SELECT uid, kind, anchor_id, title, text, id AS "partition", {_LAYER_SQL.format(k='kind')} AS layer, computed_status FROM u JOIN partitions ON partition_id = id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def flatten_units(spark, sf_dir):
+    u = graph.flattened(nested_graph(spark, sf_dir), CONFIG)
+    return u.select("uid", "kind", "anchor_id", "title", "text", "partition", "layer", "computed_status")
+
+
+@query()
+def graph_digest(spark, sf_dir):
+    import json
+
+    rows = nested_graph(spark, sf_dir).select("locale", F.to_json("partitions", {"ignoreNullFields": "false"}).alias("j")).collect()  # the artifact itself
+    return spark.createDataFrame([(graph.graph_hash({r.locale: {"partitions": json.loads(r.j)} for r in rows}),)], "graph_hash string")
+
+
+# --- parity and versions -----------------------------------------------------------------------------------------------
+@query(sql("""SELECT "partition", count(DISTINCT document_id) FILTER (l > 0) AS left_docs, count(DISTINCT document_id) FILTER (r > 0) AS right_docs, sum(l) AS left_nodes, sum(r) AS right_nodes,
+count(*) FILTER (r = 0) AS only_left_docs, count(*) FILTER (l = 0) AS only_right_docs, count(*) FILTER (l > 0 AND r > 0 AND l <> r) AS disagree, sum(lo) AS only_left_anchors, sum(ro) AS only_right_anchors
+FROM (SELECT partition_id AS "partition", document_id, count(*) FILTER (ord % 7 <> 0) AS l, count(*) FILTER (ord % 11 <> 0) AS r, count(*) FILTER (ord % 7 <> 0 AND ord % 11 = 0) AS lo, count(*) FILTER (ord % 7 = 0 AND ord % 11 <> 0) AS ro
+FROM contracts WHERE ord % 77 <> 0 GROUP BY 1, 2) GROUP BY 1""", "contracts"))
+def locale_parity(spark, sf_dir):
+    c = b.contracts(spark, sf_dir)
+    vi, en = c.filter("ord % 7 <> 0").withColumn("locale", F.lit("vi")), c.filter("ord % 11 <> 0").withColumn("locale", F.lit("en"))
+    got = parity.locale_parity(vi.unionByName(en).withColumn("anchor_id", F.col("spec_id")), "vi", "en")
+    return got.select("partition", *[F.col(x).cast("long").alias(x) for x in got.columns if x != "partition"])
+
+
+@query(sql("""SELECT coalesce(h.spec_id, i.spec_id) AS spec_id, '_row' AS field, CASE WHEN h.spec_id IS NOT NULL THEN 'present' END AS "left", CASE WHEN i.spec_id IS NOT NULL THEN 'present' END AS "right" FROM head h FULL JOIN idx i USING (spec_id) WHERE h.spec_id IS NULL OR i.spec_id IS NULL
+UNION ALL SELECT spec_id, 'content', h.content, i.content FROM head h JOIN idx i USING (spec_id) WHERE h.content IS DISTINCT FROM i.content
+UNION ALL SELECT spec_id, 'status', h.status, i.status FROM head h JOIN idx i USING (spec_id) WHERE h.status IS DISTINCT FROM i.status""", "contracts", "versions"))
+def source_parity_diff(spark, sf_dir):
+    head, index = b.head_index(spark, sf_dir)
+    return parity.field_diff(head, index, ["spec_id"], ["title", "content", "status"])
+
+
+@query(sql("SELECT coalesce(h.rel_path, i.rel_path) AS rel_path, CASE WHEN h.rel_path IS NULL THEN 'added' WHEN i.rel_path IS NULL THEN 'removed' WHEN sha1('blob ' || octet_length(encode(h.content)) || chr(0) || h.content) = sha1('blob ' || octet_length(encode(i.content)) || chr(0) || i.content) THEN 'unchanged' ELSE 'updated' END AS change FROM head h FULL JOIN idx i USING (rel_path)", "contracts", "versions"))
+def ingest_diff(spark, sf_dir):
+    head, index = (x.withColumn("blob_id", hashing.blob_id(F.col("content"))) for x in b.head_index(spark, sf_dir))
+    return changes.difference(head, index)
+
+
+@query(sql("SELECT spec_id, content FROM idx WHERE ord % 13 = 0 UNION ALL SELECT spec_id, content FROM head WHERE ord % 17 <> 0 AND NOT (ord % 13 = 0 AND ord % 17 <> 0)", "contracts", "versions"))
+def upsert_view(spark, sf_dir):
+    head, index = (x.select("spec_id", "content", "ord") for x in b.head_index(spark, sf_dir))
+    return changes.upserted(head, index.filter("ord % 13 = 0"), "spec_id", head.filter("ord % 17 = 0")).select("spec_id", "content")
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def parse_cache_misses(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("rel_path"), hashing.file_hash(F.col("text")).alias("sha256"))
+    cache = d.filter("doc_id % 5 <> 0").select("rel_path", F.when(F.col("doc_id") % 7 == 0, F.lit("stale")).otherwise(F.col("sha256")).alias("sha256"), F.lit("1").alias("version"))
+    return changes.cache_misses(d, cache, "1").select("doc_id", "sha256")
+
+
+@query(sql("SELECT h.spec_id, CASE WHEN i.spec_id IS NULL THEN 'removed' ELSE 'edited' END AS violation FROM head h LEFT JOIN idx i USING (spec_id) WHERE h.spec_id IN (SELECT target_id FROM callouts WHERE kind = 'debate') AND h.content IS DISTINCT FROM i.content", "contracts", "callouts", "versions"))
+def payload_lock_violations(spark, sf_dir):
+    head, index = b.head_index(spark, sf_dir)
+    refs = changes.references(b.callouts(spark, sf_dir).filter("kind = 'debate'").withColumn("locale", F.lit("en")))
+    return changes.lock_violations(head, index, refs)
+
+
+@query("SELECT event_id, 'k' AS name, k AS before, CASE WHEN event_id % 3 = 0 THEN k || '!' WHEN event_id % 5 = 0 THEN NULL END AS after FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) WHERE (event_id % 3 = 0 OR event_id % 5 = 0) AND k IS NOT NULL")
+def frontmatter_key_diff(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k")).filter("k is not null")
+    n = F.col("event_id")
+    head = e.select("event_id", F.create_map(F.lit("k"), F.col("k"), F.lit("status"), F.lit("draft")).alias("raw"))
+    index = e.select("event_id", F.when(n % 3 == 0, F.create_map(F.lit("k"), F.concat("k", F.lit("!")), F.lit("status"), F.lit("active"))).when(n % 5 == 0, F.create_map(F.lit("tags"), F.lit("x"))).otherwise(F.create_map(F.lit("k"), F.col("k"))).alias("raw"))
+    return changes.locked_keys(head, index, "event_id")
+
+
+@query(sql("SELECT h.spec_id AS anchor, i.source_file AS path FROM head h JOIN idx i USING (spec_id) WHERE i.status IN ('deprecated', 'archived') AND (h.status IS NULL OR h.status NOT IN ('deprecated', 'archived'))", "contracts", "versions"))
+def status_transitions(spark, sf_dir):
+    return _transitions(spark, sf_dir).select("anchor", "path")
+
+
+def _transitions(spark, sf_dir):
+    head, index = (x.select(F.lit("en").alias("locale"), F.col("spec_id").alias("anchor"), "status", F.col("source_file").alias("path")) for x in b.head_index(spark, sf_dir))
+    return changes.transitions(head, index, CONFIG)
+
+
+@query(sql("""SELECT DISTINCT m.spec_id AS anchor, k.source_file AS dependent, CASE WHEN l_orderkey % 3 = 0 THEN 'not staged' ELSE 'still references' END AS reason
+FROM (SELECT h.spec_id FROM head h JOIN idx i USING (spec_id) WHERE i.status IN ('deprecated', 'archived') AND (h.status IS NULL OR h.status NOT IN ('deprecated', 'archived'))) m
+JOIN callouts k ON k.target_id = m.spec_id JOIN file_status f ON f.source_file = k.source_file WHERE l_orderkey % 3 = 0 OR (l_orderkey % 3 = 1 AND coalesce(f.status, '') NOT IN ('deprecated', 'archived'))""", "contracts", "callouts", "file_status", "versions"))
+def atomic_deprecation(spark, sf_dir):
+    k = b.callouts(spark, sf_dir)
+    refs = k.select(F.lit("en").alias("locale"), F.col("target_id").alias("anchor"), F.col("source_file").alias("dependent")).distinct()
+    order = F.regexp_extract("source_file", "/o-([0-9]+)", 1).cast("long")
+    staged = k.select("source_file").distinct().withColumn("o", order).filter("o % 3 <> 0")
+    c = staged.select(F.when(F.col("o") % 3 == 2, "D").otherwise("M").alias("status"), F.col("source_file").alias("path"), F.col("source_file").alias("old_path"))
+    return changes.unresolved(_transitions(spark, sf_dir), refs, c, k, b.file_status(k), CONFIG).select("anchor", "dependent", "reason")
+
+
+# --- text --------------------------------------------------------------------------------------------------------------
+def _fenced(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    parts = ["# ", F.col("p_name"), "\n!!! note\n```py\n| a | b |\n```\n", F.when(F.col("p_size") % 2 == 0, "| x | y |\n").otherwise(""), F.when(F.col("p_size") % 3 == 0, "  ``` \nlost\n| in | it |").otherwise("^legal-1\n> [!refs-spec-1] t\n^spec-1")]
+    return p.select(F.col("p_partkey").cast("string").alias("rel_path"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rel_path, CASE WHEN p_size % 2 = 0 THEN 7 ELSE 6 END AS line_no, true AS unbalanced FROM part WHERE p_size % 3 = 0")
+def fence_parity(spark, sf_dir):
+    f = _fenced(spark, sf_dir)
+    return blocks.unclosed_fences(f).join(f.select("rel_path", text.unbalanced_fences(F.col("text")).alias("unbalanced")), "rel_path").filter("unbalanced")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rel_path, 2 AS line_no, 'admonition' AS construct FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 6, 'table' FROM part WHERE p_size % 2 = 0")
+def banned_constructs(spark, sf_dir):
+    return blocks.banned(_fenced(spark, sf_dir))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS rel_path, (CASE WHEN p_size % 2 = 0 THEN 7 ELSE 6 END) + i AS line_no, t AS token FROM part, (VALUES (0, 'legal-1'), (1, 'refs-spec-1')) x(i, t) WHERE p_size % 3 <> 0")
+def likely_typos(spark, sf_dir):
+    return blocks.typos(_fenced(spark, sf_dir), CONFIG)
+
+
+def _markdown(spark, sf_dir) -> DataFrame:
+    """A file a brand, a block a part: heading, prose, a status line now and then, the anchor."""
+    c = b.contracts(spark, sf_dir)
+    block = F.concat(F.lit("## "), "title", F.lit("\n"), "content", F.lit("\n\n"), F.coalesce(F.concat(F.lit("{status: "), "status_override", F.lit("}\n")), F.lit("")), F.lit("  ^"), "spec_id", F.lit("\n\nloose\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]), "")
+    return c.groupBy(F.col("source_file").alias("rel_path")).agg(F.concat(F.lit("---\nstatus: active\n---\n\n# Doc "), F.first("document_id"), F.lit("\nIntro text.\n\n> [!ref-spec-1] early\n\n"), body).alias("text"))
+
+
+@query(sql("SELECT spec_id, title, content, source_file, status_override FROM contracts", "contracts"))
+def parse_contracts(spark, sf_dir):
+    return blocks.contracts(_markdown(spark, sf_dir), CONFIG).select("spec_id", "title", "content", "source_file", "status_override")
+
+
+@query(sql("SELECT kind, target_id, title, content || chr(10) || '> [!ref-spec-9] quoted' AS content, source_file, (line_no - 1) * 4 + 3 AS line_no, node_id, token FROM (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ord) AS nth FROM callouts) QUALIFY true", "callouts").replace("(line_no - 1) * 4 + 3", "(nth - 1) * 4 + 3").replace(" QUALIFY true", ""))
+def parse_callouts(spark, sf_dir):
+    k = b.callouts(spark, sf_dir)
+    block = F.concat(F.lit("> [!"), "token", F.lit("-"), "target_id", F.lit("]  "), "title", F.lit(" \n> "), "content", F.lit("\n>> [!ref-spec-9] quoted\n\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]), "")
+    files = k.groupBy(F.col("source_file").alias("rel_path")).agg(F.concat(F.lit("> plain quote\n\n"), body).alias("text"))
+    return blocks.callouts(files, CONFIG).select("kind", "target_id", "title", "content", "source_file", F.col("line_no").cast("long").alias("line_no"), "node_id", "token")
+
+
+@query(sql("SELECT DISTINCT source_file AS rel_path, 'Doc ' || document_id AS title FROM contracts", "contracts"))
+def document_titles(spark, sf_dir):
+    return _markdown(spark, sf_dir).select("rel_path", text.title(F.col("text"), F.lit("-")).alias("title"))
+
+
+@query(sql("SELECT DISTINCT source_file AS rel_path, 'Intro text.' AS prologue FROM contracts", "contracts"))
+def prologue_text(spark, sf_dir):
+    return _markdown(spark, sf_dir).select("rel_path", text.prologue(F.col("text"), CONFIG.callout_pattern).alias("prologue"))
+
+
+_STRIP_SQL = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {_STRIP_SQL} AS text FROM pages")
+def strip_html_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, CASE WHEN length(t) > 160 THEN regexp_replace(left(t, 160), ' [^ ]*$', '') || '…' ELSE t END AS summary FROM (SELECT page_id, regexp_replace({_STRIP_SQL}, '\\s+([,.;:!?)\\]])', '\\1', 'g') AS t FROM pages)")
+def page_summaries(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.summary(F.col("html")).alias("summary"))
+
+
+@query(sql("SELECT node_id || '.source_file' AS location, source_file AS value FROM callouts WHERE starts_with(source_file, 'docs/private/') OR starts_with(source_file, 'docs/corporate/')", "callouts"))
+def leak_gate(spark, sf_dir):
+    rows = b.callouts(spark, sf_dir).select("node_id", "target_id", "title", "source_file")
+    return retrieval.leaks(rows, CONFIG.restricted_prefixes("public"), "node_id")
+
+
+# --- audit and facade --------------------------------------------------------------------------------------------------
+_PAYLOAD_SQL = "event_type || '|' || user_id || '|' || CAST(round(value * 100) AS BIGINT)"
+
+
+@query(f"""WITH e AS (SELECT event_id, {_PAYLOAD_SQL} AS payload FROM events), d AS (SELECT event_id, payload, sha256(payload || CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END) AS digest FROM e),
+c AS (SELECT event_id, payload, CASE WHEN event_id % 101 = 0 AND event_id > 0 THEN 'broken' ELSE coalesce(lag(digest) OVER (ORDER BY event_id), repeat('0', 64)) END AS prev, lag(digest) OVER (ORDER BY event_id) AS before FROM d)
+SELECT event_id AS sequence, sha256(payload || chr(0) || 't' || chr(0) || event_id || chr(0) || prev) AS expected, CASE WHEN prev <> coalesce(before, repeat('0', 64)) THEN 'link' ELSE 'hash' END AS fault FROM c""")
+def hash_chain_links(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    payload = F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.round(F.col("value") * 100).cast("long").cast("string"))
+    e = e.select(F.col("event_id").alias("sequence"), payload.alias("payload"), F.lit("t").alias("timestamp"))
+    e = e.withColumn("hash", F.sha2(F.concat("payload", F.when(F.col("sequence") % 97 == 0, "x").otherwise("")), 256))
+    last = e.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("p"))
+    prev = F.when((F.col("sequence") % 101 == 0) & (F.col("sequence") > 0), "broken").otherwise(F.coalesce("p", F.lit(hashing.GENESIS)))
+    chain = e.join(last, "sequence", "left").withColumn("prev_hash", prev).drop("p")
+    got = audit.links(chain, block=1000)
+    return got.select("sequence", hashing.chain_hash(F.col("payload"), F.col("timestamp"), F.col("sequence"), F.col("prev_hash")).alias("expected"), "fault")
+
+
+@query(sql("""SELECT c.document_id, count(*) AS nodes, sum(coalesce(d.n, 0)) AS debates, arg_min(c.title, c.ord) AS title FROM contracts c
+LEFT JOIN (SELECT target_id, (['brand-11', 'brand-12', 'brand-13', 'brand-21', 'brand-22'])[l_suppkey % 5 + 1] AS document_id, count(*) AS n FROM callouts WHERE kind = 'debate' GROUP BY 1, 2) d ON d.target_id = c.spec_id AND d.document_id = c.document_id GROUP BY 1""", "contracts", "callouts"))
+def mongo_style_grouping(spark, sf_dir):
+    k = b.callouts(spark, sf_dir).filter("kind = 'debate'")
+    names = ["brand-11", "brand-12", "brand-13", "brand-21", "brand-22"]
+    supplier = F.regexp_extract("content", "by ([0-9]+)", 1).cast("int")
+    d = k.select("target_id", F.get(F.array(*map(F.lit, names)), supplier % 5).alias("document_id")).groupBy("target_id", "document_id").agg(F.count("*").alias("n"))
+    c = b.contracts(spark, sf_dir).withColumnRenamed("spec_id", "target_id")
+    rows = c.join(d, ["target_id", "document_id"], "left")
+    return rows.groupBy("document_id").agg(F.count("*").alias("nodes"), F.sum(F.coalesce("n", F.lit(0))).alias("debates"), F.min_by("title", "ord").alias("title"))
