@@ -85,4 +85,55 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op7_language_id, op8_jaccard_join, op9_license_scan, op10_quality_rules)}
 
-ORACLE: dict[str, str] = {}
+_SPACE = "'[^\\x20\\x09-\\x0D]+'"
+_ASCII = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_STRIP = "trim({t}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, {_ASCII.format(t=_STRIP.format(t='line'))} AS key FROM l),
+hot AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id""",
+    "op4_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE}) AS w FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS s, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM d WHERE len(w) >= 50),
+lo AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM win JOIN lo USING (h) WHERE lo < doc_id),
+ws AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+m AS (SELECT ws.*, gone.i IS NOT NULL AS g FROM ws LEFT JOIN gone USING (doc_id, i))
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN
+(SELECT doc_id, count(*) AS n, count(*) FILTER (g) AS r, string_agg(x, ' ' ORDER BY i) FILTER (NOT g) AS t FROM m GROUP BY doc_id) USING (doc_id)""",
+    "op5_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({_ASCII.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(13, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS s, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS win FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m),
+hit AS (SELECT DISTINCT doc_id, m, s, win FROM dw SEMI JOIN bw USING (m, win)),
+n AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + m)) AS i FROM hit) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit JOIN bw USING (m, win)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_ASCII.format(t="coalesce(text, '')")}, {_SPACE}) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sh AS (SELECT doc_id, x FROM s SEMI JOIN (SELECT x FROM s GROUP BY x HAVING count(*) > 1) USING (x)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n nu ON u = nu.doc_id JOIN n nv ON v = nv.doc_id WHERE 100 * i >= 85 * (nu.n + nv.n - i)),
+e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(u, v) AS (SELECT u, v FROM e2 UNION SELECT r.u, e2.v FROM r JOIN e2 ON r.v = e2.u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT u AS doc_id, min(v) AS m FROM r GROUP BY u) USING (doc_id)""",
+    "op10_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACE}) AS w FROM documents),
+ws AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+tri AS (SELECT doc_id, i, x || ' ' || lead(x) OVER q || ' ' || lead(x, 2) OVER q AS y FROM ws WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM tri WHERE y IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, y) > 1),
+rw AS (SELECT doc_id, count(*) AS r FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM rep) GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+dl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup FROM ln WHERE {_STRIP.format(t='l')} <> '' GROUP BY doc_id),
+m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r, 0) AS n_repeat_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id)),
+f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT) + 8 * CAST(100 * n_dup_lines > 30 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 15 * n_words AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 > 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+}
