@@ -274,8 +274,9 @@ def label_languages(spark: SparkSession, docs: DataFrame, model: Model | None, k
     return read.mapInArrow(run, schema)
 
 
-def identified(spark: SparkSession, docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known: not `und`, and for most of their words."""
+def identified(spark: SparkSession, docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose language is told: not `und`, and with a score of `least`: short clean texts with a
+    foreign line score just below a half, so only texts that no label fits go."""
     own = ("__language", "__score")
     rows = label_languages(spark, docs, trained(docs), docs.columns, own)
     return rows.filter((F.col(own[0]) != UND) & (F.col(own[1]) >= least)).drop(*own)
