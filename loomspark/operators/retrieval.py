@@ -80,7 +80,7 @@ class Bm25Retriever:
     seed_kinds: tuple[str, ...] = ("contract", "debate", "ops")
 
     def __post_init__(self):
-        self.index = postings(self.units)
+        self.index = postings(self.units).cache()
         self.stats = totals(self.units, self.index)
 
     def retrieve(self, query: str, limit: int = 5) -> DataFrame:
@@ -116,10 +116,11 @@ def expanded(units: DataFrame, hits: DataFrame, budget: int) -> DataFrame:
     """(uid, score, reason, pos): a dependent's contract goes before it, a contract's dependents after it; a unit keeps
     its first place, and the first `budget` stay."""
     u = units.select("uid", "kind", "ord", F.lower("anchor_id").alias("a"), F.lower("parent_anchor").alias("pa"))
+    none = F.lit(None).cast(units.schema["ord"].dataType)
     seeds = hits.join(u, "uid")
     is_contract = F.col("kind") == "contract"
-    own = seeds.select("uid", "score", "reason", "pos", F.when(is_contract, 0).otherwise(1).alias("slot"), F.lit(0).cast("long").alias("ord"))
-    parents = parent_of(units, hits.select("uid")).join(hits.select("uid", "pos"), "uid").select(F.col("parent").alias("uid"), F.lit(0.0).alias("score"), F.concat(F.lit("parent-of:"), "uid").alias("reason"), "pos", F.lit(0).alias("slot"), F.lit(0).cast("long").alias("ord"))
+    own = seeds.select("uid", "score", "reason", "pos", F.when(is_contract, 0).otherwise(1).alias("slot"), none.alias("ord"))
+    parents = parent_of(units, hits.select("uid")).join(hits.select("uid", "pos"), "uid").select(F.col("parent").alias("uid"), F.lit(0.0).alias("score"), F.concat(F.lit("parent-of:"), "uid").alias("reason"), "pos", F.lit(0).alias("slot"), none.alias("ord"))
     kids = u.filter(~is_contract).select(F.col("uid").alias("child"), F.col("pa").alias("under"), F.col("ord").alias("child_ord"))
     children = seeds.filter(is_contract).join(kids, F.col("a") == F.col("under")).select(F.col("child").alias("uid"), F.lit(0.0).alias("score"), F.concat(F.lit("child-of:"), "uid").alias("reason"), "pos", F.lit(1).alias("slot"), F.col("child_ord").alias("ord"))
     every = own.unionByName(parents).unionByName(children)
