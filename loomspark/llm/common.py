@@ -88,6 +88,19 @@ def to_ids(col) -> list:
     return [None if x == NULL_ID else x for x in col.to_pylist()]
 
 
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
+    """rows that may have a key of wanted: none of those is missed, few others pass while wanted is small against bits.
+
+    wanted becomes a bitmap of at most `bits` bits, one broadcast row, so a join that follows shuffles only what passes.
+    The bitmap's size is fixed: a larger wanted lets more rows pass and changes no result. Built-in functions only."""
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b"))
+    every = rows.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("__bits"))  # bits / 64 words
+    hit = F.call_function("shiftright", F.get("__bits", F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.crossJoin(F.broadcast(dense)).filter(hit).drop("__bits")
+
+
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, kept for words seen of late."""
 

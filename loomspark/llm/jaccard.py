@@ -8,7 +8,7 @@ Distance is 1 - |x & y| / |x | y|, a metric; eps is the greatest distance of a l
    than eps of their union, so its own first pivot is among the rarest floor(eps |x|) + 1 of either: this window is
    where a document is replicated. Sizes and ranks in the window rule out pairs inside a region (no common shingle
    comes before the first common one).
-2. Regions of more than `leaf` documents are joined recursively with document pivots: a pivot is the member with the
+2. Regions that would compare more than leaf * leaf pairs are joined recursively with document pivots: a pivot is the member with the
    fewest shingles outside the window's common ones. Every member's distance to it is taken; members within eps are
    linked to it, thus to each other, and need no comparison. By the triangle inequality only members y with
    |d(x, p) - d(y, p)| <= eps can link with a member x outside; these boundary members are replicated into the next
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, WordHash, doc_id, gram_hashes, keyed, slots
+from loomspark.llm.common import Scratch, WordHash, doc_id, gram_hashes, keyed, likely, slots
 from loomspark.llm.components import components
 
 CELLS, SEGMENT = 1 << 20, 1 << 14
@@ -114,13 +114,15 @@ def windows(rows: DataFrame, size: int, percent: int, cells) -> DataFrame:
 def sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(x, h): the shingle hashes of the documents named in ids."""
 
+    wanted = ids.select(F.col("x").alias("k"))
+
     def run(batches):
         words = WordHash()
         for b in batches:
             hs = [shingle_set(t, words, size).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_pydict({"x": b.column("k"), "h": pa.array(hs, pa.list_(pa.int64()))})
 
-    return rows.select("k", "text").join(ids.select(F.col("x").alias("k")), "k", "left_semi").mapInArrow(run, "x long, h array<long>")
+    return likely(rows.select("k", "text"), wanted, ["k"]).join(wanted, "k", "left_semi").mapInArrow(run, "x long, h array<long>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,12 +143,17 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
     """(u, v): links between classes that connect all that is connected."""
     eps = 1 - percent / 100
     placed = classes.select("x", "n", F.posexplode("window").alias("pos", "region"))
-    shared = placed.groupBy("region").agg(F.count("*").alias("c")).filter("c > 1")
+    # Of a linked pair the smaller set holds the region's shingle among its rarest few: no region without such a member.
+    early = (100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")
+    placed = placed.withColumn("early", early)
+    shared = placed.groupBy("region").agg(F.count("*").alias("c"), F.count_if("early").alias("e")).filter("c > 1 and e > 0")
     members = scratch.write(placed.join(shared, "region"), "members")
-    small, large = members.filter(F.col("c") <= leaf), members.filter(F.col("c") > leaf)
-    pairs = small.alias("a").join(small.alias("b"), (F.col("a.region") == F.col("b.region")) & (F.col("a.x") < F.col("b.x")) & fits("a", "b", percent))
+    work = F.col("c") * F.col("e")
+    small, large = members.filter(work <= leaf * leaf), members.filter(work > leaf * leaf)
+    smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.x") < F.col("b.x")))
+    pairs = small.filter("early").alias("a").join(small.alias("b"), (F.col("a.region") == F.col("b.region")) & smaller & fits("a", "b", percent))
     pairs = scratch.write(pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), "pairs")
-    ids = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(large.select("x")).distinct()
+    ids = scratch.write(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(large.select("x")).distinct(), "ids")
     sets = scratch.write(sets_of(rows, ids, size), "sets")
     found = [scratch.write(compared(pairs, sets, percent).filter("linked").select("x", "y"), "links-small")]
 
@@ -198,6 +205,7 @@ def groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 8
     split = of.groupBy("k").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi").select("k", "lo")
     bridged = of.join(split, "k").filter("x > lo").select(F.col("lo").alias("u"), F.col("x").alias("v"))
     roots = components(edges.unionByName(bridged), scratch)
+    scratch.drop("members", "pairs", "ids", "sets", "links-small", *(f"{t}-{r}" for t in ("state", "pivots", "distances") for r in range(rounds + 1)))
     labels = classes.select("s1", "s2", "x").join(roots.select(F.col("u").alias("x"), "v"), "x", "left").select("s1", "s2", "x", F.coalesce("v", "x").alias("c"))
     out = sets.select("k", "n", "s1", "s2").join(labels, ["s1", "s2"], "left")
     own = F.col("n") == 0
