@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -66,6 +67,12 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def settle(self) -> None:
+        """Waits until the cleaner has freed large shuffles: what they hang on goes in a second collection."""
+        for _ in range(2):
+            self.tidy()
+            time.sleep(0.7)
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(k, th, text): the row key and the whole text (null: empty)."""

@@ -4,7 +4,7 @@ Difference-cover anchors: a document's words are hashed in short windows, but on
 is in a difference cover. For any two positions some shift below the period moves both into the cover, so any two equal
 passages of `span` words share an anchor of span - period + 1 words at a common place. Anchors that two documents
 share are found by an aggregation; only passages around them are extended: each window of `span` words near one is
-hashed in full (128 bits), the lowest document of each hash is found by an aggregation too, and no pairs are made.
+hashed in full (96 bits), the lowest document of each hash is found by an aggregation too, and no pairs are made.
 
 Words are runs without ASCII white space, unchanged. Windows are judged on the input. Documents with one doc_id are no
 copies of each other; a null doc_id counts as the lowest. A null text has no words. Equal rows get equal results; an
@@ -50,13 +50,14 @@ def anchors(rows: DataFrame, span: int = SPAN, period: int = PERIOD, cover: tupl
 
 
 def near_windows(rows: DataFrame, span: int = SPAN, period: int = PERIOD) -> DataFrame:
-    """(h1, h2, k, th, s): every window that one of its document's shared anchors `ps` lies in the first `period` words of."""
+    """(h1, h2, k, th, s): every window that one of its document's shared anchors `ps` lies in the first `period` words of.
+    The hash has 96 bits. th is 0 but for documents whose doc_id others have too (`many`): it would cost its 8 bytes a row."""
 
     def run(batches):
         known = WordHash()
         for b in batches:
             out = [[] for _ in range(5)]
-            for k, th, t, ps in zip(*(b.column(c).to_pylist() for c in ("k", "th")), b.column("text").cast(pa.binary()).to_pylist(), b.column("ps").to_pylist()):
+            for k, th, t, ps in zip(*(b.column(c).to_pylist() for c in ("k", "own")), b.column("text").cast(pa.binary()).to_pylist(), b.column("ps").to_pylist()):
                 words = t.split()
                 n = len(words) - span + 1
                 if n < 1:
@@ -69,20 +70,24 @@ def near_windows(rows: DataFrame, span: int = SPAN, period: int = PERIOD) -> Dat
                 s = np.flatnonzero(np.cumsum(marks[:n]) > 0)
                 w = known.of(words)
                 h1, h2 = gram_hashes(w, span)[s], gram_hashes(mix(w + np.uint64(0x51ED270B)), span)[s]
-                for c, v in zip(out, (h1.view(np.int64), h2.view(np.int64), np.full(len(s), k), np.full(len(s), th), s.astype(np.int32))):
+                for c, v in zip(out, (h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(s), k), np.full(len(s), th), s.astype(np.int32))):
                     c.append(v)
             if out[0]:
                 yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(("h1", "h2", "k", "th", "s"), out)})
 
-    return rows.select("k", "th", "text", "ps").mapInArrow(run, "h1 long, h2 long, k long, th long, s int")
+    own = F.when(F.col("many"), F.col("th")).otherwise(F.lit(0)).alias("own")
+    return rows.select("k", own, "text", "ps").mapInArrow(run, "h1 long, h2 int, k long, th long, s int")
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, span: int = SPAN) -> DataFrame:
-    """(k, th, starts): starts of windows that start in an earlier document too."""
+    """(k, th, starts): starts of windows that start in an earlier document too; th is 0 where k tells the text."""
     rows = keyed(docs)
     shared = anchors(rows, span).groupBy("a").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("a")
-    near = scratch.write(anchors(rows, span).join(shared, "a").groupBy("k").agg(F.collect_set("p").alias("ps")), "anchors")
-    windows = scratch.write(near_windows(rows.join(near, "k"), span), "windows")
+    near = anchors(rows, span).join(shared, "a").groupBy("k").agg(F.collect_set("p").alias("ps"))
+    near = scratch.write(near.join(rows.select("k").groupBy("k").agg((F.count("*") > 1).alias("many")), "k"), "anchors")
+    scratch.settle()
+    windows = scratch.write(near_windows(rows.join(near, "k"), span), "windows", "zstd")
+    scratch.settle()
     first = windows.groupBy("h1", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     again = windows.join(first, ["h1", "h2"]).filter("k > lo").groupBy("k", "th").agg(F.collect_set("s").alias("starts"))
     out = scratch.write(again, "starts")
@@ -92,7 +97,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, span: int = SPAN) -> Dat
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(k, th, n_words, n_removed, kept): the words that stay, joined by spaces."""
-    starts = repeated_windows(docs, Scratch(spark, "substrings"), span)
+    starts = repeated_windows(docs, Scratch(spark, "substrings"), span).select(F.col("k").alias("sk"), F.col("th").alias("sth"), "starts")
 
     def run(batches):
         for b in batches:
@@ -110,7 +115,8 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, span: int = SPAN) ->
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "th": b.column("th"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return keyed(docs).join(starts, ["k", "th"], "left").select("k", "th", "text", "starts").mapInArrow(run, "k long, th long, n_words long, n_removed long, kept string")
+    own = (F.col("k") == F.col("sk")) & ((F.col("sth") == 0) | (F.col("sth") == F.col("th")))
+    return keyed(docs).join(starts, own, "left").select("k", "th", "text", "starts").mapInArrow(run, "k long, th long, n_words long, n_removed long, kept string")
 
 
 def digest(rows: DataFrame) -> DataFrame:
