@@ -14,7 +14,7 @@ Distance is 1 - |x & y| / |x | y|, a metric; eps is the greatest distance of a l
    |d(x, p) - d(y, p)| <= eps can link with a member x outside; these boundary members are replicated into the next
    round, with a new pivot from outside. What rounds leave is compared pair by pair under the same windows.
 
-Every link that decides a group is checked with the whole sets. Rarity comes from a counter table of fixed size over
+Every link that decides a group is checked with the whole sets; pairs that fixed-size cell maps rule out are not fetched. Rarity comes from a counter table of fixed size over
 all shingles of all documents; any order gives the same result, rarity only makes regions small.
 Equal sets are one class, and classes are joined; groups come from alternating stars, in Spark.
 
@@ -37,6 +37,7 @@ from loomspark.llm.common import Scratch, WordHash, doc_id, gram_hashes, keyed,
 from loomspark.llm.components import components
 
 CELLS, SEGMENT = 1 << 20, 1 << 14
+SIG = 2048
 LEAF = 48
 ROUNDS = 4
 
@@ -112,17 +113,32 @@ def windows(rows: DataFrame, size: int, percent: int, cells) -> DataFrame:
 
 
 def sets_of(rows: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(x, h): the shingle hashes of the documents named in ids."""
+    """(x, h, n, sig): the shingle hashes of the documents named in ids, how many, and which of SIG cells they fall in."""
 
     wanted = ids.select(F.col("x").alias("k"))
 
     def run(batches):
         words = WordHash()
         for b in batches:
-            hs = [shingle_set(t, words, size).view(np.int64) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"x": b.column("k"), "h": pa.array(hs, pa.list_(pa.int64()))})
+            hs = [shingle_set(t, words, size) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            cells = np.zeros((len(hs), SIG), bool)
+            for row, h in zip(cells, hs):
+                row[(h & np.uint64(SIG - 1)).astype(np.int64)] = True
+            sigs = list(np.packbits(cells, 1, "little").view("<i8"))
+            yield pa.RecordBatch.from_pydict({"x": b.column("k"), "h": pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64())), "n": pa.array([len(h) for h in hs], pa.int64()), "sig": pa.array(sigs, pa.list_(pa.int64()))})
 
-    return likely(rows.select("k", "text"), wanted, ["k"]).join(wanted, "k", "left_semi").mapInArrow(run, "x long, h array<long>")
+    return likely(rows.select("k", "text"), wanted, ["k"]).join(wanted, "k", "left_semi").mapInArrow(run, "x long, h array<long>, n long, sig array<long>")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their cells do not rule out: each cell that only one set falls in holds a shingle of it alone."""
+    a, b = sets.select("x", F.col("n").alias("nx"), F.col("sig").alias("sx")), sets.select(F.col("x").alias("y"), F.col("n").alias("ny"), F.col("sig").alias("sy"))
+
+    def alone(p: str, q: str) -> Column:
+        return F.aggregate(F.zip_with(p, q, lambda i, j: F.bit_count(i.bitwiseAND(F.bitwise_not(j)))), F.lit(0), lambda acc, n: acc + n)
+
+    both = F.least(F.col("nx") - alone("sx", "sy"), F.col("ny") - alone("sy", "sx"))
+    return pairs.join(a, "x").join(b, "y").filter((100 + percent) * both >= percent * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,6 +164,7 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
     placed = placed.withColumn("early", early)
     shared = placed.groupBy("region").agg(F.count("*").alias("c"), F.count_if("early").alias("e")).filter("c > 1 and e > 0")
     members = scratch.write(placed.join(shared, "region"), "members")
+    scratch.settle()
     work = F.col("c") * F.col("e")
     small, large = members.filter(work <= leaf * leaf), members.filter(work > leaf * leaf)
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.x") < F.col("b.x")))
@@ -155,7 +172,8 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
     pairs = scratch.write(pairs.select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct(), "pairs")
     ids = scratch.write(pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(large.select("x")).distinct(), "ids")
     sets = scratch.write(sets_of(rows, ids, size), "sets")
-    found = [scratch.write(compared(pairs, sets, percent).filter("linked").select("x", "y"), "links-small")]
+    scratch.settle()
+    found = [scratch.write(compared(possible(pairs, sets, percent), sets, percent).filter("linked").select("x", "y"), "links-small")]
 
     # Large regions: tag is the first pivot of the region's linked members (null outside), d the distance to the last pivot.
     state = scratch.write(large.select("region", "x", "n", "pos", F.lit(None).cast("long").alias("tag"), F.lit(1.0).alias("d")), "state-0")
@@ -184,7 +202,7 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
     apart = F.coalesce(F.col("a.tag") != F.col("b.tag"), F.lit(True)) & (F.abs(F.col("a.d") - F.col("b.d")) <= eps + 1e-9)
     first = F.col("a.tag").isNull() & (F.col("b.tag").isNotNull() | (F.col("a.x") < F.col("b.x"))) | (F.col("a.tag") < F.col("b.tag"))
     rest = a.join(b, (F.col("a.region") == F.col("b.region")) & first & apart & fits("a", "b", percent)).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")).distinct()
-    found.append(compared(rest, sets, percent).filter("linked").select("x", "y"))
+    found.append(compared(possible(rest, sets, percent), sets, percent).filter("linked").select("x", "y"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
