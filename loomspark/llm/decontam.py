@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed
+from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed, likely
 
 SPAN_WORDS = 13
 GRAM = 5
@@ -85,8 +85,8 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, scratch: Sc
         everywhere = worded(rows, "k", "th").select("k", "th", "n", F.posexplode(grams(size)).alias("p", "fp"))
         own = everywhere.join(anchors, "fp").select("k", "th", "n", (F.col("p") - F.col("a")).alias("s"), "m").filter("s >= 0 and s + m <= n")
         at = at.unionByName(own.groupBy("k", "th").agg(F.collect_set(F.struct("s", "m")).alias("at")))
-    at = scratch.write(at.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")) if short.limit(1).count() else at, "candidates")
-    spans = worded(rows.join(at, ["k", "th"]), "k", "th", "at").select("k", "th", "w", F.explode("at").alias("x"))
+    at = scratch.write(at.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "candidates")
+    spans = worded(likely(rows, at, ["k", "th"]).join(at, ["k", "th"]), "k", "th", "at").select("k", "th", "w", F.explode("at").alias("x"))
     spans = spans.select("k", "th", "x.s", "x.m", F.array_join(F.slice("w", F.col("x.s") + 1, F.col("x.m")), " ").alias("win"))
     windows = window_items(items, span).select("win").distinct()
     return kept.select("k", "th", "n"), scratch.write(spans.join(windows, "win"), "hits")
