@@ -1,15 +1,15 @@
 """License scans: known notices in texts, with the share of each that matched and where.
 
-Templates are winnowed: of every WINNOW consecutive GRAM-word hashes the least is kept, and an inverted index maps kept
-hashes to (template, position). Texts are winnowed alike; a hit votes for the diagonal on which template and text would
-run side by side. Each voted place is then aligned word by word in a band around its diagonal, so words may be changed,
-missing or added; what is matched gives the coverage, its first and last words give the span. Matches of a template
-that reach the least coverage are reported, best first where they overlap.
+An inverted index maps words to the templates that have them. A template is looked for in a text that has enough of its
+words, along each diagonal (the place where the template's first word would stand) whose band has enough of them in
+place. These counts bound what an alignment there can match, so no text that reaches the coverage is passed over,
+whichever words are changed. Each place left is then aligned word by word in the band around its diagonal, so words may
+be changed, missing or added; what is matched gives the coverage, its first and last words give the span. Matches of a
+template that reach the least coverage are reported, best first where they overlap.
 
 The index holds the templates alone, so it goes along with the task's code. Words are runs of ASCII letters and digits
 and of all above U+007F, A-Z lower-cased. Spans are code points, ends exclusive. A null or empty text has no
-matches; templates of fewer than GRAM words are found by their words as one gram. Equal rows get equal results; an empty
-table gives no rows; other columns are ignored.
+matches. Equal rows get equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import WordHash, doc_id, gram_hashes, keyed
+from loomspark.llm.common import WordHash, doc_id, keyed
 
-GRAM, WINNOW, BAND = 3, 3, 6
+BAND = 6
 COVERAGE = 0.7
+_ROWS = 4096  # diagonals bounded at a time
 
 #: Notices as they are written beside licensed work.
 TEMPLATES: dict[str, str] = {
@@ -50,58 +51,68 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
-def winnowed(g: np.ndarray) -> np.ndarray:
-    """Positions of kept hashes: the first of the least of every WINNOW in a row; all of fewer keep their least."""
-    if len(g) <= WINNOW:
-        return np.array([int(np.argmin(g))]) if len(g) else np.empty(0, np.int64)
-    rows = np.lib.stride_tricks.sliding_window_view(g, WINNOW)
-    return np.unique(np.arange(len(rows)) + rows.argmin(1))
-
-
 @dataclass
 class Index:
     names: list[str]
     words: list[list[bytes]]
-    marks: np.ndarray  # kept hashes, sorted
-    template: np.ndarray
-    at: np.ndarray
+    marks: np.ndarray  # hashes of all words of templates, sorted
+    has: np.ndarray  # (templates, marks): how often a template has a word
+    places: list[np.ndarray]  # the mark of each word of a template
     coverage: float
 
     @classmethod
     def of(cls, templates: dict[str, str], coverage: float = COVERAGE) -> Index:
-        known, rows, names, words = WordHash(), [], [], []
+        known, names, words = WordHash(), [], []
         for name, text in sorted(templates.items()):
             ws = words_of(text.encode())
-            if not ws:
-                continue
-            g = gram_hashes(known.of(ws), min(GRAM, len(ws)))
-            rows += [(int(g[p]), len(names), int(p)) for p in winnowed(g)]
-            names.append(name)
-            words.append(ws)
-        rows.sort()
-        return cls(names, words, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), coverage)
+            if ws:
+                names.append(name)
+                words.append(ws)
+        hashes = [known.of(ws) for ws in words]
+        marks = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+        places = [np.searchsorted(marks, h) for h in hashes]
+        has = np.array([np.bincount(p, minlength=len(marks)) for p in places]).reshape(len(names), len(marks))
+        return cls(names, words, marks, has, places, coverage)
+
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        """The mark of each word of a text, -1 for words of no template."""
+        if not len(self.marks):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.marks, hashes), len(self.marks) - 1)
+        return np.where(self.marks[at] == hashes, at, -1)
+
+    def least(self, t: int) -> float:
+        """The words to be matched of a template; one at least."""
+        return max(1, self.coverage * len(self.words[t]))
+
+    def bounds(self, t: int, marks: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+        """How many words of a template have an equal one within the band of each diagonal."""
+        size = len(self.words[t])
+        padded = np.concatenate([np.full(size + BAND, -1), marks, np.full(size + 2 * BAND, -1)])
+        seen = np.lib.stride_tricks.sliding_window_view(padded, size + 2 * BAND)[diagonals + size]
+        out = np.zeros((len(diagonals), size), bool)
+        for o in range(2 * BAND + 1):
+            out |= seen[:, o : o + size] == self.places[t]
+        return out.sum(1)
 
     def candidates(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) places worth an alignment; diagonals within the band of one already taken are not."""
-        out = set()
-        sizes = {min(GRAM, len(w)) for w in self.words}
-        for n in sizes:
-            g = gram_hashes(hashes, n)
-            if n == GRAM:
-                g_at = winnowed(g)
-            else:
-                g_at = np.arange(len(g))
-            lo = np.searchsorted(self.marks, g[g_at], "left")
-            hi = np.searchsorted(self.marks, g[g_at], "right")
-            for j in np.flatnonzero(hi > lo):
-                for i in range(lo[j], hi[j]):
-                    if min(GRAM, len(self.words[self.template[i]])) == n:
-                        out.add((int(self.template[i]), int(g_at[j] - self.at[i])))
-        kept: list[tuple[int, int]] = []
-        for t, d in sorted(out):
-            if not kept or kept[-1][0] != t or d - kept[-1][1] > BAND // 2:
-                kept.append((t, d))
-        return kept
+        """(template, diagonal) places worth an alignment: all whose band can hold a match of the least coverage."""
+        marks = self.marked(hashes)
+        found = np.bincount(marks[marks >= 0], minlength=len(self.marks))
+        enough = np.minimum(self.has, found).sum(1)
+        out = []
+        for t, size in enumerate(map(len, self.words)):
+            if enough[t] < self.least(t):
+                continue
+            own = np.append(self.has[t] > 0, False)[marks]
+            run = np.concatenate([np.zeros(size + BAND + 1, np.int64), np.cumsum(own), np.full(size + 2 * BAND, own.sum())])
+            # Words of the template in the text that each diagonal's band covers, from diagonal -size on.
+            count = run[size + 2 * BAND :] - run[: -size - 2 * BAND]
+            near = np.flatnonzero(count >= self.least(t)) - size
+            for i in range(0, len(near), _ROWS):
+                d = near[i : i + _ROWS]
+                out += [(t, int(x)) for x in d[self.bounds(t, marks, d) >= self.least(t)]]
+        return out
 
 
 def aligned(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:

@@ -111,6 +111,37 @@ def test_licenses_in_noise():
             assert coverage >= licenses.COVERAGE and (changes or (coverage == 1 and full[start:end] == body[: end - start] and end - start >= len(body) - 1))
 
 
+def best_anywhere(index, t, words):
+    """The most words that an alignment along any diagonal matches."""
+    return max(licenses.aligned(index.words[t], words, d)[0] for d in range(-len(index.words[t]), len(words) + 1))
+
+
+def test_licenses_of_changed_words_are_found_as_by_brute_force():
+    index, known = licenses.Index.of(licenses.TEMPLATES), WordHash()
+    pad = ["über"] * 9
+    for t, (name, ws) in enumerate(zip(index.names, index.words)):
+        ws = [w.decode() for w in ws]
+        if len(ws) > 20:
+            texts = [[w if i % 4 != j else "x" for i, w in enumerate(ws)] for j in range(4)]
+        else:
+            texts = [ws[:i] + new + ws[i + 1 :] for i, w in enumerate(ws) for new in (["x"], [], [w, "x"], [w, "x", "y"])]
+            texts += [[w if k not in (i, j) else "x" for k, w in enumerate(ws)] for i in range(len(ws)) for j in range(i)]
+            texts += [[x for w in ws for x in (w, "x")]]
+        for text in texts:
+            for full in (text, pad + text + pad):
+                text_words = [w.encode() for w in full]
+                n = best_anywhere(index, t, text_words)
+                want = [round(n / len(ws), 4)] if n >= licenses.COVERAGE * len(ws) else []
+                assert [m[1] for m in licenses.matches(index, " ".join(full).encode(), known) if m[0] == name] == want
+
+
+def test_short_notices_with_another_first_word():
+    index, known = licenses.Index.of(licenses.TEMPLATES), WordHash()
+    for first in ("Licensed", "Distributed", "Available"):
+        text = f"Note: {first} under the MIT License."
+        assert ("mit-line", 0.8, len(f"Note: {first} "), len(text) - 1) in licenses.matches(index, text.encode(), known)
+
+
 def test_banded_alignment_is_the_full_one_near_the_diagonal():
     rnd = random.Random(6)
     for _ in range(60):
