@@ -5,7 +5,8 @@ words, along each diagonal (the place where the template's first word would stan
 place. These counts bound what an alignment there can match, so no text that reaches the coverage is passed over,
 whichever words are changed. Each place left is then aligned word by word in the band around its diagonal, so words may
 be changed, missing or added; what is matched gives the coverage, its first and last words give the span. Matches of a
-template that reach the least coverage are reported, best first where they overlap.
+template that reach the least coverage are reported, best first; the words of one are not used for another of the same
+template, and what is left beside it is aligned again, so occurrences that stand close together are all reported.
 
 The index holds the templates alone, so it goes along with the task's code. Words are runs of ASCII letters and digits
 and of all above U+007F, A-Z lower-cased. Spans are code points, ends exclusive. A null or empty text has no
@@ -14,6 +15,7 @@ matches. Equal rows get equal results; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -85,19 +87,22 @@ class Index:
         """The words to be matched of a template; one at least."""
         return max(1, self.coverage * len(self.words[t]))
 
-    def bounds(self, t: int, marks: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    def padded(self, t: int, marks: np.ndarray) -> np.ndarray:
+        """marks with room for the bands of all diagonals from -size on; word i stands at size + BAND + i."""
+        size = len(self.words[t])
+        return np.concatenate([np.full(size + BAND, -1), marks, np.full(size + 2 * BAND, -1)])
+
+    def bounds(self, t: int, padded: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
         """How many words of a template have an equal one within the band of each diagonal."""
         size = len(self.words[t])
-        padded = np.concatenate([np.full(size + BAND, -1), marks, np.full(size + 2 * BAND, -1)])
         seen = np.lib.stride_tricks.sliding_window_view(padded, size + 2 * BAND)[diagonals + size]
         out = np.zeros((len(diagonals), size), bool)
         for o in range(2 * BAND + 1):
             out |= seen[:, o : o + size] == self.places[t]
         return out.sum(1)
 
-    def candidates(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """(template, diagonal) places worth an alignment: all whose band can hold a match of the least coverage."""
-        marks = self.marked(hashes)
+    def candidates(self, marks: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+        """For templates worth an alignment, (bound, diagonal) of all whose band can hold a match of the least coverage."""
         found = np.bincount(marks[marks >= 0], minlength=len(self.marks))
         enough = np.minimum(self.has, found).sum(1)
         out = []
@@ -109,20 +114,26 @@ class Index:
             # Words of the template in the text that each diagonal's band covers, from diagonal -size on.
             count = run[size + 2 * BAND :] - run[: -size - 2 * BAND]
             near = np.flatnonzero(count >= self.least(t)) - size
+            padded, places = self.padded(t, marks), []
             for i in range(0, len(near), _ROWS):
-                d = near[i : i + _ROWS]
-                out += [(t, int(x)) for x in d[self.bounds(t, marks, d) >= self.least(t)]]
+                n = self.bounds(t, padded, near[i : i + _ROWS])
+                places += [(int(n[j]), int(near[i + j])) for j in np.flatnonzero(n >= self.least(t))]
+            if places:
+                out.append((t, places))
         return out
 
 
-def aligned(template: list[bytes], words: list[bytes], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words, first word, end word) of the best local alignment within band of the diagonal: a match is worth
-    2, a changed, missing or added word costs 1. first == end where nothing matches."""
-    best, result, prev = 0, (0, 0, 0), {}
+def aligned(template: list[bytes], words: list[bytes | None], diagonal: int, band: int = BAND, least: float = 0) -> tuple[int, int, int]:
+    """(matched words, first word, end word) of the best local alignment within band of the diagonal, of those with the
+    least matched words: a match is worth 2, a changed, missing or added word costs 1. Of equal scores the one
+    with more matches counts. No alignment crosses a None. first == end where nothing matches."""
+    best, result, prev = (0, 0), (0, 0, 0), {}
     for i, a in enumerate(template):
         cur = {}
         lo, hi = max(0, i + diagonal - band), min(len(words), i + diagonal + band + 1)
         for j in range(lo, hi):
+            if words[j] is None:
+                continue
             same = a == words[j]
             ways = [(0, 0, j)]  # score, matched, first word
             s, m, f = prev.get(j - 1, (0, 0, j))
@@ -134,31 +145,50 @@ def aligned(template: list[bytes], words: list[bytes], diagonal: int, band: int
                 s, m, f = cur[j - 1]
                 ways.append((s - 1, m, f))
             cur[j] = top = max(ways, key=lambda x: (x[0], x[1], -x[2]))
-            if top[0] > best:
-                best, result = top[0], (top[1], top[2], j + 1)
+            if top[:2] > best and top[1] >= least:
+                best, result = top[:2], (top[1], top[2], j + 1)
         prev = cur
     return result
 
 
+def occurrences(index: Index, t: int, words: list[bytes], marks: np.ndarray, places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(matched words, first word, end word) of a template's matches, none of which overlap: the best alignment is taken
+    first, then the best of what the words left allow."""
+    left, padded, least, out = list(words), index.padded(t, marks), index.least(t), []
+    at = len(index.words[t]) + BAND
+    # (-matched words, 0, first, end, diagonal) of an alignment; (-bound, 1, diagonal, 0, diagonal) of a place.
+    queue = [(-n, 1, d, 0, d) for n, d in places]
+    heapq.heapify(queue)
+    while queue:
+        n, place, first, end, d = heapq.heappop(queue)
+        if not place and None not in left[first:end]:
+            out.append((-n, first, end))
+            left[first:end] = [None] * (end - first)
+            padded[at + first : at + end] = -1
+        bound = int(index.bounds(t, padded, np.array([d]))[0]) if out else -n
+        if bound < least:
+            continue
+        if not place or bound < -n:
+            heapq.heappush(queue, (-bound, 1, d, 0, d))
+            continue
+        m, first, end = aligned(index.words[t], left, d, least=least)
+        if m >= least:
+            heapq.heappush(queue, (-m, 0, first, end, d))
+    return out
+
+
 def matches(index: Index, text: bytes, known: WordHash) -> list[tuple[str, float, int, int]]:
     """(template, coverage, start, end) of reported matches, by start."""
     words = words_of(text)
     if not words:
         return []
-    found = []
-    for t, d in index.candidates(known.of(words)):
-        n, first, end = aligned(index.words[t], words, d)
-        if n and n >= index.coverage * len(index.words[t]):
-            found.append((-n / len(index.words[t]), -n, t, first, end))
-    kept: list[tuple] = []
-    for c in sorted(set(found)):
-        if all(c[2] != o[2] or c[4] <= o[3] or c[3] >= o[4] for o in kept):
-            kept.append(c)
+    marks = index.marked(known.of(words))
+    kept = [(n / len(index.words[t]), t, first, end) for t, places in index.candidates(marks) for n, first, end in occurrences(index, t, words, marks, places)]
     if not kept:
         return []
     places = [m.span() for m in _WORD.finditer(text.lower())]
     chars = lambda at: len(text[:at].decode(errors="replace"))
-    return sorted((index.names[t], round(-c, 4), chars(places[first][0]), chars(places[end - 1][1])) for c, _, t, first, end in kept)
+    return sorted((index.names[t], round(c, 4), chars(places[first][0]), chars(places[end - 1][1])) for c, t, first, end in kept)
 
 
 MATCH = "array<struct<license:string,coverage:double,start:int,end:int>>"

@@ -112,8 +112,8 @@ def test_licenses_in_noise():
 
 
 def best_anywhere(index, t, words):
-    """The most words that an alignment along any diagonal matches."""
-    return max(licenses.aligned(index.words[t], words, d)[0] for d in range(-len(index.words[t]), len(words) + 1))
+    """The most words that an alignment along any diagonal matches, of those that reach the coverage."""
+    return max(licenses.aligned(index.words[t], words, d, least=licenses.COVERAGE * len(index.words[t]))[0] for d in range(-len(index.words[t]), len(words) + 1))
 
 
 def test_licenses_of_changed_words_are_found_as_by_brute_force():
@@ -142,6 +142,21 @@ def test_short_notices_with_another_first_word():
         assert ("mit-line", 0.8, len(f"Note: {first} "), len(text) - 1) in licenses.matches(index, text.encode(), known)
 
 
+def test_notices_side_by_side_are_all_found():
+    index, known = licenses.Index.of(licenses.TEMPLATES), WordHash()
+    whole, other = "Released under the MIT License.", "Licensed under the MIT License."
+    for parts in ([whole] * 2, [whole] * 5, [whole, other, whole], [other, whole, other], [whole, "x", whole], ["the", whole, "MIT", other]):
+        text, want, at = " ".join(parts), [], 0
+        for p in parts:
+            if p in (whole, other):
+                start = at if p == whole else at + len("Licensed ")
+                want.append(("mit-line", 1.0 if p == whole else 0.8, start, at + len(p) - 1))
+            at += len(p) + 1
+        assert sorted(m for m in licenses.matches(index, text.encode(), known) if m[0] == "mit-line") == sorted(want)
+    for name, text in licenses.TEMPLATES.items():
+        assert [m[1] for m in licenses.matches(index, " ".join([text] * 3).encode(), known) if m[0] == name].count(1.0) == 3
+
+
 def test_banded_alignment_is_the_full_one_near_the_diagonal():
     rnd = random.Random(6)
     for _ in range(60):
