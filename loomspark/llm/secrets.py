@@ -3,7 +3,8 @@
 Base kinds (fixed values) are found leftmost and non-overlapping, each kind by itself. Beyond them, weak candidates
 (long mixed-case tokens, and endpoints) are parts: a part is reported only where a complementary one lies within the
 scope. Access identifiers, secrets and endpoints meet by an interval join inside a document: windows over positions
-tell each part whether its complement lies within `scope` code points, so no pairs are made, however dense a text.
+tell each part whether at most `scope` code points lie between it and a complement, so no pairs are made, however dense
+a text. The greatest end of what starts before a part and the least start of what starts after it decide.
 
 All patterns stay within a line. Offsets are code points, ends exclusive. A null text is an empty one: no spans.
 Equal rows get equal spans; an empty table gives no rows; other columns are ignored.
@@ -91,12 +92,20 @@ def _mixed(x: Column) -> Column:
 
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(k, th, weak): weak parts with a complement in scope. A secret complements an access identifier or an endpoint;
-    an endpoint, a secret of any kind."""
-    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.concat("assign", "access", "secret", "endpoint")).alias("s"))
-    near = Window.partitionBy("k", "th").orderBy("at").rangeBetween(-scope, scope)
-    has = {kind: F.max((F.col("s.kind") == kind).cast("int")).over(near) for kind in (0, 1, 3, 4)}
-    parts = parts.withColumn("at", F.col("s.start")).select("k", "th", "s", *[v.alias(f"near_{k}") for k, v in has.items()])
-    kept = ((F.col("s.kind") == 3) & (F.col("near_1") + F.col("near_4") > 0)) | ((F.col("s.kind") == 4) & (F.col("near_3") + F.col("near_0") > 0))
+    an endpoint, a secret of any kind (assigned, hex or weak)."""
+    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.concat("assign", "access", "hex", "secret", "endpoint")).alias("s"))
+    start, end, kind = F.col("s.start"), F.col("s.end"), F.col("s.kind")
+    # Both frames run to the current row: one that runs from it to the last is computed anew for each row.
+    before = Window.partitionBy("k", "th").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy("k", "th").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def near(*kinds: int) -> Column:
+        left = F.max(F.when(kind.isin(*kinds), end)).over(before) >= start - scope
+        right = F.min(F.when(kind.isin(*kinds), start)).over(after) <= end + scope
+        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+
+    parts = parts.withColumn("at", start).select("k", "th", "s", near(1, 4).alias("by_access"), near(0, 2, 3).alias("by_secret"))
+    kept = ((kind == 3) & F.col("by_access")) | ((kind == 4) & F.col("by_secret"))
     return parts.filter(kept).groupBy("k", "th").agg(F.collect_set("s").alias("weak"))
 
 

@@ -1,5 +1,7 @@
 """Operators 3, 5 and 10 against plain versions, and their SQL."""
 
+import re
+
 import pytest
 from cases import docs, frame, prose, rows, same
 from pyspark.sql import functions as F
@@ -32,6 +34,20 @@ def test_weak_parts_need_a_complement(spark):
     assert got[4] == "endpoint:0:19,secret:20:62" and got[5] == ""
 
 
+def test_scope_lies_between_parts(spark):
+    weak, access, hexed = "aB3" * 14, "AKIA" + "A" * 16, "0af3" * 8
+    url, long = "https://h.example/p", "https://h.example/p?q=" + "x." * 300
+    texts = [f"{long} {weak}", f"{weak * 12} {access}", f"{access} {weak * 12} {hexed}", f"{url} {hexed}", f"{hexed} {url}", f"{url}{' ' * 400}{hexed}", f"{url}{' ' * 401}{hexed}", f"{weak}{' ' * 400}{access}", f"{weak}{' ' * 401}{access}", f"{access} {'x ' * 300} {weak} {hexed} {long} {'x ' * 190} {weak}"]
+    base = spans(spark, frame(spark, list(enumerate(texts)))).collect()
+    for r in base:
+        found = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(","))] if r.spans else []
+        every = set(found) | {("secret", m.start(), m.end()) for m in re.finditer(f"({weak})+", texts[r.doc_id])} | {("endpoint", m.start(), m.end()) for m in re.finditer(r"https://\S+", texts[r.doc_id])}
+        mates = {"secret": ("access", "endpoint"), "endpoint": ("assign", "hex", "secret")}
+        want = {x for x in every if x[0] in mates and any(y[0] in mates[x[0]] and max(y[1] - x[2], x[1] - y[2]) <= 400 for y in every)}
+        assert {x for x in found if x[0] in mates} == want, r.doc_id
+    assert [bool(r.spans and ("secret" in r.spans or "endpoint" in r.spans)) for r in sorted(base)] == [True] * 6 + [False, True, False, True]
+
+
 def test_many_matches_in_one_text(spark):
     text = "token=abcdef\n" * 3000
     same(rows(spans(spark, frame(spark, [(1, text)])), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), brute.op3([(1, text)]))
