@@ -1,7 +1,8 @@
 """Language ID: a linear-chain conditional random field over the words of a text.
 
 Features of a word are hashed: affixes of up to three letters, letter 2- and 3-grams with the word's ends, single
-letters beyond ASCII, and its entry in a lexicon of words that one language favours. With learned transitions between
+letters beyond ASCII, and its entry in a lexicon of words that one language favours. All features of a word count,
+however long it is: a run of letters without spaces is one word. With learned transitions between
 labels, forward-backward gives every word the probability of each label, so code-switched texts are labelled word by
 word; a document's score for a language is the mean over its words. Chains hold CHAIN words; a text's next chain
 starts where the last one ended, so whole texts are labelled.
@@ -20,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,6 @@ from pyspark.sql import functions as F
 UND = "und"
 CHAIN = 48
 BUCKETS = 1 << 16
-WIDTH = 40  # features of a word at most; longer words keep their first n-grams
 LEXICON = 2000  # words a label
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,19 +46,25 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
         out += [f"p{w[:n]}", f"s{w[-n:]}"]
     if (at := lexicon.get(w)) is not None:
         out.append(f"l{at}:{w}")
-    out += [f"c{c}" for c in set(w) if c > "\x7f"]
+    if not w.isascii():
+        out += [f"c{c}" for c in sorted(set(w)) if c > "\x7f"]
     b = f"^{w}$"
     out += [f"g{b[i : i + n]}" for n in (2, 3) for i in range(len(b) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in out[:WIDTH]]
+    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in out]
 
 
-def feature_rows(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """One row of WIDTH feature numbers a word; BUCKETS stands for none."""
-    out = np.full((len(words), WIDTH), BUCKETS, np.int32)
-    for i, w in enumerate(words):
-        f = features(w, lexicon)
-        out[i, : len(f)] = f
-    return out
+def feature_rows(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The feature numbers of all words in a row, and how many each word has (six at least)."""
+    rows = [features(w, lexicon) for w in words]
+    counts = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(counts.sum())), counts
+
+
+def summed(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The summed weights of each word's features."""
+    if not len(counts):
+        return np.zeros((0, weights.shape[1]), weights.dtype)
+    return np.add.reduceat(weights[flat], np.cumsum(counts) - counts)
 
 
 def forward_backward(psi: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,12 +92,12 @@ def forward_backward(psi: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tu
 @dataclass
 class Model:
     labels: list[str]
-    weights: np.ndarray  # (BUCKETS + 1, labels); the last row is zero
+    weights: np.ndarray  # (BUCKETS, labels)
     trans: np.ndarray  # log potentials
     lexicon: dict[str, int]
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        return self.weights[feature_rows(words, self.lexicon)].sum(1)
+        return summed(self.weights, *feature_rows(words, self.lexicon))
 
 
 def learned_lexicon(texts: list[tuple[str, list[str]]], labels: list[str]) -> dict[str, int]:
@@ -134,23 +141,21 @@ def fit(texts: list[tuple[str, list[str]]], labels: list[str], chains: int = 400
             at += n
             if mixed:
                 label = usable[int(rng.integers(len(usable)))]
-    feats = feature_rows(list(vocab), lexicon) if vocab else np.zeros((1, WIDTH), np.int32)
-    w, t = np.zeros((BUCKETS + 1, k)), np.zeros((k, k))
+    flat, sizes = feature_rows(list(vocab), lexicon)
+    w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     hot = np.eye(k)[y] * mask[..., None]
     pairs = mask[:, 1:]
     seen = np.zeros((k, k))
     np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
     for _ in range(epochs if usable else 0):
-        e = w[feats].sum(1)[x]
+        e = summed(w, flat, sizes)[x]
         psi = np.exp(e - e.max(2, keepdims=True))
         gamma, expected, _ = forward_backward(psi, np.exp(t), mask)
         d = (hot - gamma * mask[..., None]).reshape(-1, k)
-        flat = feats.reshape(-1)
         for j in range(k):
-            by_word = np.bincount(x.reshape(-1), d[:, j], minlength=len(feats))
-            g = np.bincount(flat, np.repeat(by_word, WIDTH), minlength=BUCKETS + 1) / chains - 1e-4 * w[:, j]
-            g[BUCKETS] = 0
+            by_word = np.bincount(x.reshape(-1), d[:, j], minlength=len(sizes))
+            g = np.bincount(flat, np.repeat(by_word, sizes), minlength=BUCKETS) / chains - 1e-4 * w[:, j]
             gw[:, j] += g * g
             w[:, j] += 0.3 * g / np.sqrt(gw[:, j])
         g = (seen - expected) / chains - 1e-3 * t

@@ -84,6 +84,25 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert sorted(langid.languages(spark, d).collect()) == sorted(langid.languages(spark, spoilt).collect())
 
 
+def test_the_whole_of_a_long_word_counts():
+    rnd = random.Random(8)
+    run = lambda letters: "gleich" * 9 + "".join(rnd.choice(letters) for _ in range(60)) + "ende"
+    texts = [(x, [run(letters) for _ in range(20)]) for x, letters in (("aa", "bcdfg"), ("bb", "kmnop")) for _ in range(20)]
+    labeller = langid.Labeller(langid.fit(texts, ["aa", "bb"], chains=200))
+    got = labeller.scores([run("bcdfg") for _ in range(20)] + [run("kmnop") for _ in range(20)])
+    assert [x for x, _ in got] == ["aa"] * 20 + ["bb"] * 20
+
+
+def test_features_do_not_hang_on_the_hash_seed():
+    import os
+    import subprocess
+    import sys
+
+    code = "from loomspark.llm.langid import features; print(features('äöüßéèêñçåøæëïõãâîûôőűčšžřďťňłżźćśęąğışđðþ', {}))"
+    run = lambda seed: subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, capture_output=True, text=True, check=True).stdout
+    assert len({run(str(seed)) for seed in range(1, 5)}) == 1
+
+
 def full_alignment(a, b):
     """The best score of any local alignment, without a band."""
     h = np.zeros((len(a) + 1, len(b) + 1), int)
