@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -84,6 +85,29 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert sorted(langid.languages(spark, d).collect()) == sorted(langid.languages(spark, spoilt).collect())
 
 
+def test_texts_of_no_clear_language_are_rejected(spark):
+    from pyspark.sql import functions as F
+
+    rnd, d = random.Random(9), documents(spark, SF).select("doc_id", "text", "lang")
+    held = d.filter(langid.held_out() & F.col("lang").isNotNull()).orderBy("doc_id").collect()
+    runs = {}
+    for r in held:
+        runs.setdefault(r.lang, []).extend(langid.words_of(r.text)[:300])
+    cut = lambda x, n: " ".join(runs[x][(at := rnd.randrange(len(runs[x]) - n)) : at + n])
+    new = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 10))) for _ in range(n))
+    langs = sorted(runs)
+    mixed = [" ".join(cut(x, 80) for x in rnd.sample(langs, k)) for k in (3, 4) for _ in range(20)]
+    none = [new(letters, 300) for letters in ("абвгдежзиклмнопрстуфхцчшщыьэюя", "कखगघचछजझटठडढणतथदधन", "bcdfghjklmnpqrstvwxz") for _ in range(10)]
+    clean = [cut(x, n) for x in langs for n in (12, 40, 150) for _ in range(5)]
+    texts = mixed + none + clean
+    # Known ids count as held out, so nothing is learned from these texts.
+    ids = [i for i in range(10**6, 10**6 + 20 * len(texts)) if zlib.crc32(b"%d" % i) % 4 == 2][: len(texts)]
+    added = spark.createDataFrame([(i, t, None) for i, t in zip(ids, texts)], d.schema)
+    kept = {r.doc_id for r in langid.identified(spark, d.unionByName(added)).select("doc_id").collect()}
+    assert [i in kept for i in ids] == [False] * len(mixed + none) + [True] * len(clean)
+    assert len({r.doc_id for r in held} & kept) >= 0.99 * len(held)
+
+
 def test_the_whole_of_a_long_word_counts():
     rnd = random.Random(8)
     run = lambda letters: "gleich" * 9 + "".join(rnd.choice(letters) for _ in range(60)) + "ende"
