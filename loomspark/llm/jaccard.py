@@ -232,12 +232,18 @@ def groups(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 8
 
 def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group of near duplicates: the lowest doc_id's (of several texts of it, the one with the
-    lowest hash; of equal rows, one). Rows without a doc_id are compared with none and stay."""
-    known = docs.filter(F.col("doc_id").isNotNull())
+    lowest hash; of equal rows, one). A row without a doc_id is a document of its own text, behind all ids below 2^62, so
+    a group keeps one only where none of its members has an id. Those of them without words link with nothing and stay."""
+    worded = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0d]")
+    named = F.col("doc_id").isNotNull()
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    own = F.lit(2**63 - 1) - F.shiftrightunsigned(th, 2)
+    rows = docs.filter(named | worded).withColumns({"__k": F.coalesce(F.col("doc_id").cast("long"), own), "__th": th})
+    known = rows.select(F.col("__k").alias("doc_id"), "text")
     kept = groups(spark, known, size, percent).filter("k = component").select("k").distinct()
     lowest = keyed(known).groupBy("k").agg(F.min("th").alias("__th")).join(kept, "k").select(F.col("k").alias("__k"), "__th")
-    rows = known.withColumns({"__k": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}).join(lowest, ["__k", "__th"])
-    return rows.dropDuplicates(["__k", "__th"]).select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    one = rows.join(lowest, ["__k", "__th"]).dropDuplicates(["__k", "__th"]).select(*docs.columns)
+    return one.unionByName(docs.filter(~named & ~worded))
 
 
 def digest(rows: DataFrame) -> DataFrame:
