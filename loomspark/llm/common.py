@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,49 +32,87 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, one of our own, but only if driver
+    and executors are one process; on a cluster that folder would be another one on each machine, so it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomspark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/") if "://" in found or found.startswith("file:") else "file://" + os.path.abspath(found)
 
 
 class Scratch:
-    """Tables of one run in the shared folder. They outlive lost executors; drop() removes what is read no more."""
+    """Tables of one run in the shared folder. They outlive lost executors; drop() removes what is read no more.
+
+    Results read some of them, so they stay until the caller, done with the results, calls release()."""
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/loomspark/{name}-{uuid.uuid4().hex[:12]}"
+        self.tables: list[str] = []
+        Scratch.made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, df: DataFrame, table: str, codec: str = "snappy") -> DataFrame:
-        """Writes df and returns the table read again: lineage ends here, and shuffles before it can be freed."""
+    def write(self, df: DataFrame, table: str, codec: str = "snappy", free: bool = False) -> DataFrame:
+        """Writes df and returns the table read again: lineage ends here. free: df took large shuffles, so their files are
+        freed now, as they would be once the driver happens to collect its garbage."""
+        self.tables.append(table)
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(table))
         schema = df.schema
         del df
-        self.tidy()
+        if free:
+            self.tidy()
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
         for t in tables:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(t))
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(self.path(t))
+
+    def drop_others(self, *kept: str) -> None:
+        """Removes all tables but those kept."""
+        self.drop(*(t for t in self.tables if t not in kept))
+
+    def close(self) -> None:
+        """Removes all tables of the run."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def tidy(self) -> None:
         """Lets Spark's cleaner free the shuffle files of frames that are gone."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def settle(self) -> None:
-        """Waits until the cleaner has freed large shuffles: what they hang on goes in a second collection."""
-        for _ in range(2):
-            self.tidy()
-            time.sleep(0.7)
+
+def release(spark: SparkSession) -> None:
+    """Removes the scratch tables of all runs of a session. Their results can't be read after that."""
+    for s in [s for s in Scratch.made if s.spark is spark]:
+        s.close()
+        Scratch.made.remove(s)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch cut where `most` bytes of a column (text, or lists of longs) are full, a row at least each: what a worker holds at a time does not
+    grow with the texts' length times Arrow's rows a batch."""
+    held = batch.column(column)
+    sizes = pc.list_value_length(held) if pa.types.is_list(held.type) else pc.binary_length(held.cast(pa.binary()))
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False) * (8 if pa.types.is_list(held.type) else 1)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -80,6 +121,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """names as none of docs' columns is called, whatever their case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        name = f"__{n}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def doc_id(k: str = "k") -> Column:
     """The doc_id of a key."""
     return F.when(F.col(k) != NULL_ID, F.col(k)).alias("doc_id")
@@ -95,17 +147,28 @@ def to_ids(col) -> list:
     return [None if x == NULL_ID else x for x in col.to_pylist()]
 
 
+def bitmap(hashes: DataFrame, bits: int = 1 << 23) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """(one row with __bits, test): which of `bits` bits the hashes (a column `h` of longs) fall on, and whether the bit of
+    a hash is set beside such a row. The row is of fixed size, so it may be broadcast. Built-in functions only."""
+    at = F.pmod(F.col("h"), F.lit(bits))
+    words = hashes.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b"))
+    every = hashes.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("__bits"))  # bits / 64 words
+
+    def test(h: Column) -> Column:
+        at = F.pmod(h, F.lit(bits))
+        return F.call_function("shiftright", F.get("__bits", F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return dense, test
+
+
 def likely(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
     """rows that may have a key of wanted: none of those is missed, few others pass while wanted is small against bits.
 
     wanted becomes a bitmap of at most `bits` bits, one broadcast row, so a join that follows shuffles only what passes.
-    The bitmap's size is fixed: a larger wanted lets more rows pass and changes no result. Built-in functions only."""
-    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
-    words = wanted.select(at.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("b"))
-    every = rows.sparkSession.range(bits // 64).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
-    dense = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("b", F.lit(0).cast("long")).alias("b")))), lambda x: x["b"]).alias("__bits"))  # bits / 64 words
-    hit = F.call_function("shiftright", F.get("__bits", F.shiftright(at, 6).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return rows.crossJoin(F.broadcast(dense)).filter(hit).drop("__bits")
+    The bitmap's size is fixed: a larger wanted lets more rows pass and changes no result."""
+    dense, test = bitmap(wanted.select(F.xxhash64(*keys).alias("h")), bits)
+    return rows.crossJoin(F.broadcast(dense)).filter(test(F.xxhash64(*keys))).drop("__bits")
 
 
 class WordHash(dict):

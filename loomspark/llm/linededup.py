@@ -1,22 +1,23 @@
 """Line dedup: lines found in many documents go.
 
-Two Bloom filters tell which lines can repeat: one of hashes seen once, one of hashes seen twice. Every task fills its
-own pair; pairs are merged by segment (twice = either's twice, or both's once), so a line that two documents share is
-always in the second filter. Only lines that it holds (suspected repeats) are shuffled, as 128-bit digests, to be
-counted exactly; of those confirmed, all lines go, or all but the first occurrence.
+Two Bloom filters (seen.py) tell which lines can repeat: one of hashes seen once, one of hashes seen twice. A line that
+two documents share is always in the second filter. Only lines that it holds (suspected repeats) are shuffled, as
+128-bit digests, to be counted exactly; of those confirmed, all lines go, or all but the first occurrence. Confirmed
+lines are a table with a row for each, so a line of very many documents is joined in as many tasks as it needs.
 
 The second filter has a fixed greatest size (max_bits), so it may be broadcast; a corpus that outgrows it gets more
 false suspects, which cost shuffle and change no result.
 
 A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Lines with an empty key stay. A null
-or empty text is one empty line. Each row counts as a document, so repeated rows count each. An empty table gives no
+or empty text is one empty line. Whole texts are read, in batches of a few MB; a text without line ends is one line,
+however long. Ties for the first occurrence go to the lowest (doc_id, text hash). Each row counts as a document, so repeated rows count each. An empty table gives no
 rows. Other columns are kept as they are by without_repeats(), ignored by the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed, slots
-
-SEGMENT = 1 << 20  # bits; a segment of both filters takes 256 kB
-HASHES = 2
+from loomspark.llm.common import NULL_ID, Scratch, doc_id, free_names, keyed, slices
+from loomspark.llm.seen import size_for, twice_seen
 
 
 def keys_of(text: bytes) -> list[bytes]:
@@ -35,68 +34,12 @@ def keys_of(text: bytes) -> list[bytes]:
     return [x.strip() for x in text.lower().split(b"\n")]
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """A row of HASHES bit positions for each hash; bits is a power of two."""
-    low, high = hashes, (hashes >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) & np.uint64(bits - 1) for i in range(HASHES)], 1)
-
-
-class Filter:
-    """The twice-seen filter, as bits."""
-
-    def __init__(self, bits: int, data: bytes):
-        self.bits, self.data = bits, np.frombuffer(data, np.uint8)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = positions(hashes, self.bits)
-        return ((self.data[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
-
-
-def twice_seen(rows: DataFrame, bits: int) -> Filter:
-    """The filter of line hashes that at least two documents hold."""
-
-    def fill(batches):
-        once, twice = [], []
-
-        def squeeze():
-            at, n = np.unique(np.concatenate(once), return_counts=True) if once else (np.empty(0, np.uint32), np.empty(0, int))
-            again = at[n > 1]
-            return at, np.unique(np.concatenate([*twice, again])) if twice else again
-
-        held = 0
-        for b in batches:
-            for t in b.column("text").cast(pa.binary()).to_pylist():
-                ks = {k for k in keys_of(t) if k}
-                if ks:
-                    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks))
-                    # A document counts once, even where two of its lines meet in a bit.
-                    once.append(np.unique(positions(h, bits)).astype(np.uint32))
-                    held += len(once[-1])
-            if held > 4_000_000:
-                at, again = squeeze()
-                once, twice, held = [at], [again], len(at) // 2
-        at, again = squeeze()
-        for s in np.unique(at // SEGMENT):
-            lo, hi = (np.searchsorted(x, [s * SEGMENT, (s + 1) * SEGMENT]) for x in (at, again))
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([int(s)], pa.int32()), "once": [at[lo[0] : lo[1]].tobytes()], "twice": [again[hi[0] : hi[1]].tobytes()]})
-
-    def merge(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                once, twice = held.setdefault(r["segment"], [np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)])
-                own = np.frombuffer(r["once"], np.uint32) % SEGMENT
-                twice[own[once[own]]] = True
-                twice[np.frombuffer(r["twice"], np.uint32) % SEGMENT] = True
-                once[own] = True
-        for s, (_, twice) in held.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([s], pa.int32()), "bits": [zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)]})
-
-    parts = rows.select("text").mapInArrow(fill, "segment int, once binary, twice binary").repartition(slots(rows.sparkSession), "segment")
-    data = np.zeros(bits // 8, np.uint8)
-    for r in parts.mapInArrow(merge, "segment int, bits binary").toLocalIterator():  # bits / SEGMENT rows at most
-        data[r.segment * SEGMENT // 8 :][: SEGMENT // 8] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return Filter(bits, data.tobytes())
+def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The hashes of the distinct keys of each text."""
+    for part in slices(batch):
+        for t in part.column("text").cast(pa.binary()).to_pylist():
+            ks = {k for k in keys_of(t) if k}
+            yield np.fromiter(map(xxhash.xxh3_64_intdigest, ks), np.uint64, len(ks))
 
 
 SUSPECTS = "d1 long, d2 long, k long, th long, lines array<int>"
@@ -106,7 +49,7 @@ def suspects(rows: DataFrame, known) -> DataFrame:
     """A row for each document and suspected key: its digest and the lines that have it."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             out = {x: [] for x in ("d1", "d2", "k", "th", "lines")}
             ks, ths = b.column("k").to_pylist(), b.column("th").to_pylist()
             for k, th, t in zip(ks, ths, b.column("text").cast(pa.binary()).to_pylist()):
@@ -131,18 +74,19 @@ def suspects(rows: DataFrame, known) -> DataFrame:
 def filter_bits(rows: DataFrame, per_line: int = 16, max_bits: int = 1 << 29) -> int:
     """A power of two: per_line bits for each line of the corpus, max_bits at most."""
     n = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
-    return min(max_bits, max(SEGMENT, 1 << (per_line * int(n)).bit_length()))
+    return size_for(int(n), per_line, max_bits)
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, min_docs: int = 10, keep_first: bool = False, max_bits: int = 1 << 29) -> DataFrame:
     """(k, th, gone): the numbers of lines that each text loses; texts that lose none are not there."""
     spark, rows = docs.sparkSession, keyed(docs)
     bits = filter_bits(rows, max_bits=max_bits)
-    known = spark.sparkContext.broadcast(twice_seen(rows, bits))
+    known = spark.sparkContext.broadcast(twice_seen(rows.select("text"), hashes, bits))
     found = scratch.write(suspects(rows, known), "suspects")
     known.unpersist()
     counts = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct("k", "th")).alias("first") if keep_first else F.lit(0).alias("first"))
-    hit = found.join(counts.filter(F.col("n") >= min_docs), ["d1", "d2"])
+    # Written first: of a join of two tables Spark splits what a hot line has too many rows of.
+    hit = found.join(scratch.write(counts.filter(F.col("n") >= min_docs), "confirmed"), ["d1", "d2"])
     lines = F.col("lines")
     if keep_first:
         lines = F.when(F.struct("k", "th") == F.col("first"), F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines"))
@@ -155,7 +99,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = 10, keep_f
     gone = scratch.write(repeated_lines(docs, scratch, min_docs, keep_first), "gone")
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             n, dropped, kept = [], [], []
             for t, g in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("gone").to_pylist()):
                 lines = t.split(b"\n")
@@ -172,16 +116,16 @@ def without_repeats(spark: SparkSession, docs: DataFrame, min_docs: int = 10, ke
     """docs with its columns, lines that repeat taken out of text. n_chars, where it is there, counts the new text.
     A null text stays null; a text of which nothing is left stays as an empty one."""
     scratch = Scratch(spark, "lines")
-    gone = scratch.write(repeated_lines(docs, scratch, min_docs, keep_first), "gone").select(F.col("k").alias("__k"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     columns = docs.columns
-    at = columns.index("text")
+    at, (k, th, lost) = columns.index("text"), free_names(docs, "k", "th", "gone")
+    gone = scratch.write(repeated_lines(docs, scratch, min_docs, keep_first), "gone").select(F.col("k").alias(k), F.col("th").alias(th), F.col("gone").alias(lost))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = b.column("text")
-            if b.column("__gone").null_count < b.num_rows:
+            if b.column(lost).null_count < b.num_rows:
                 out = []
-                for t, g in zip(texts.cast(pa.binary()).to_pylist(), b.column("__gone").to_pylist()):
+                for t, g in zip(texts.cast(pa.binary()).to_pylist(), b.column(lost).to_pylist()):
                     g = set(g or ())
                     out.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in g]) if g else t)
                 texts = pa.array(out, pa.binary()).cast(pa.string())
@@ -190,7 +134,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, min_docs: int = 10, ke
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"__k": key[0], "__th": key[1]}).join(gone, ["__k", "__th"], "left").select(*columns, "__gone").mapInArrow(run, docs.schema)
+    rows = docs.withColumns({k: key[0], th: key[1]}).join(gone, [k, th], "left").select(*columns, lost).mapInArrow(run, docs.schema)
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else rows
 
 

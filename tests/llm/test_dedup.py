@@ -19,7 +19,7 @@ def test_line_dedup(spark, data, least):
 
 def test_a_full_filter_changes_nothing(spark):
     data = docs(n=40)
-    gone = linededup.repeated_lines(frame(spark, data), Scratch(spark, "t"), 3, max_bits=linededup.SEGMENT)
+    gone = linededup.repeated_lines(frame(spark, data), Scratch(spark, "t"), 3, max_bits=SEGMENT)
     wide = linededup.repeated_lines(frame(spark, data), Scratch(spark, "t"), 3)
     assert sorted(gone.select("k", "th").collect()) == sorted(wide.select("k", "th").collect())
     full = linededup.Filter(linededup.SEGMENT, bytes([255]) * (linededup.SEGMENT // 8))
