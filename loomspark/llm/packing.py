@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, doc_id, keyed
+from loomspark.llm.common import Scratch, doc_id, keyed, slices
 from loomspark.llm.tokenio import END_ID, encoder
 
 WINDOW = 2048
@@ -181,13 +181,14 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int
 
         enc, pid = encoder(tokenizer), TaskContext.get().partitionId()
         end, seen, windows = np.array([end_id], enc.dtype).tobytes(), np.zeros(window, np.int64), 0
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             cols = {x: [] for x in ("n", "window_crcs", "unit_crcs", "rest", "rank", "windows_before")}
             for t in b.column("text").cast(pa.binary()).to_pylist():
-                ids = np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")
-                full, rest = divmod(len(ids), window)
-                at = full * window
-                row = (len(ids), [zlib.crc32(ids[i * window : (i + 1) * window]) for i in range(full)], [zlib.crc32(ids[i : i + unit]) for i in range(at, len(ids), unit)], rest, int(seen[rest]), windows)
+                ids = memoryview(np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")).cast("B")
+                n = len(ids) // 4
+                full, rest = divmod(n, window)
+                at = 4 * full * window
+                row = (n, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, at, 4 * window)], [zlib.crc32(ids[i : i + 4 * unit]) for i in range(at, len(ids), 4 * unit)], rest, int(seen[rest]), windows)
                 seen[rest] += 1
                 windows += full
                 for c, v in zip(cols.values(), row):

@@ -21,6 +21,7 @@ import functools
 import json
 import os
 import re
+import struct
 import uuid
 import zlib
 
@@ -29,55 +30,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, keyed, slots, to_ids
+from loomspark.llm.common import Scratch, keyed, slices, slots, to_ids
 
 END_ID = 1
 #: A chunk that one look-up table can stand for: Latin letters, then common stops.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: What a tokenizer's file must say for chunks to be encoded one by one (fixed values of the file format).
-_NORMAL = ["NFC", "Replace", "Lowercase"]
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PRE = [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
-class Encoder(dict):
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer's description says that no token reaches across ASCII white space and none stands for it."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    plain = normal.get("normalizers") == _NORMAL and pre.get("pretokenizers") == _PRE and spec.get("post_processor") is None
+    added = [t for t in spec.get("added_tokens") or () if t["content"].split() != [t["content"]] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+    return plain and not added and not spec.get("truncation") and not spec.get("padding")
+
+
+class Kept(dict):
+    """What was made of late: once `limit` entries are there they are the old ones, and those that are not asked for
+    until the next `limit` are full go. 2 * limit entries at most."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Encoder(Kept):
     """chunk (bytes without ASCII white space) -> its ids as bytes; encode() gives those of a text.
 
     The tokenizer of word_bpe files drops white space and never joins across it, so the ids of a text are those of
-    its chunks; chunks seen of late are kept. Letters go straight to the BPE model, all else through the whole
-    tokenizer. Of any other tokenizer whole texts are encoded.
+    its chunks; chunks seen of late are kept, and so are their words without stops, in lower case. Letters go straight
+    to the BPE model, all else through the whole tokenizer. Of any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 600_000):
+        super().__init__(limit)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.limit = self.tok.model, limit
+        self.model, self.words = self.tok.model, Kept(limit // 2)
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        spec = json.loads(self.tok.to_str())
-        normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_chunk = normal == _NORMAL and len(pre) == 2 and pre[0].get("pattern", {}).get("Regex") == _PATTERN and pre[0].get("behavior") == "Removed" and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and spec["post_processor"] is None
+        self.by_chunk = drops_white_space(json.loads(self.tok.to_str()))
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in visible)}
         self.byte_chars = {c: "".join(rest.get(b, chr(b)) for b in chr(c).encode()) for c in range(128, 256)}
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of lower-case letters, or of stops."""
+        if (found := self.words.get(word)) is None:
+            found = self.words.old.get(word)
+            if found is None:
+                found = self._packed([t.id for t in self.model.tokenize(word.translate(self.byte_chars))])
+            self.words.keep(word, found)
+        return found
+
     def __missing__(self, chunk: bytes) -> bytes:
+        if (found := self.old.get(chunk)) is not None:
+            return self.keep(chunk, found)
         text = chunk.decode(errors="replace")
         if m := _PLAIN.fullmatch(text):
-            ids = [t.id for part in (m[1].lower().translate(self.byte_chars), m[2]) if part for t in self.model.tokenize(part)]
-        else:
-            ids = self.tok.encode(text, add_special_tokens=False).ids
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = out = np.array(ids, self.dtype).tobytes()
-        return out
+            word, stops = m.groups()
+            found = self._word(word.lower())
+            return self.keep(chunk, found + self._word(stops) if stops else found)
+        return self.keep(chunk, self._packed(self.tok.encode(text, add_special_tokens=False).ids))
 
     def encode(self, text: bytes) -> bytes:
         if self.by_chunk:
             return b"".join(map(self.__getitem__, text.split()))
-        return np.array(self.tok.encode(text.decode(errors="replace"), add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._packed(self.tok.encode(text.decode(errors="replace"), add_special_tokens=False).ids)
 
 
 @functools.lru_cache(maxsize=2)
@@ -103,7 +140,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_I
 
         enc, out, counts, keys, name = encoder(tokenizer), None, [], [], ""
         end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             if out is None:
                 store, base = fs.FileSystem.from_uri(root)
                 store.create_dir(base, recursive=True)
