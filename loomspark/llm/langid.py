@@ -1,37 +1,38 @@
 """Language ID: a linear-chain conditional random field over the words of a text.
 
-Features of a word are hashed: affixes of up to three letters, letter 2- and 3-grams with the word's ends, single
-letters beyond ASCII, and its entry in a lexicon of words that one language favours. All features of a word count,
-however long it is: a run of letters without spaces is one word. With learned transitions between
-labels, forward-backward gives every word the probability of each label, so code-switched texts are labelled word by
-word; a document's score for a language is the mean over its words. Chains hold CHAIN words; a text's next chain
-starts where the last one ended, so whole texts are labelled.
+Features of a word are hashed: letter 2- and 3-grams of the word between marks for its ends (so affixes of one and two
+letters are among them), affixes of three letters, single letters beyond ASCII, and its entry in a lexicon of words that
+one language favours. All features of a word count, however long it is: a run of letters without spaces is one word. With
+learned transitions between labels, forward-backward over the whole text gives every word the probability of each label,
+so code-switched texts are labelled word by word; a document's score for a language is the mean over its words. Long texts
+are worked on in pieces that pass on exactly what forward-backward needs of the rest, so pieces change no result.
 
 The model is fitted on the driver from a bounded sample: of eligible rows (lang not null, and not held out), those of
-each language with the lowest hash of doc_id, `per_label` at most, and of each of these texts `windows` runs of CHAIN
-words spread over it. Training chains join runs of several languages, so that transitions are seen.
+each language with the lowest hash of doc_id, `per_label` at most, with their whole texts. Half of what they hold is
+trained on as it stands, half in runs of several languages put together, so that transitions are seen.
 lang, source and doc_id are never inputs of a prediction.
 
 A null text and one without a letter get `und` and score 0. Ties go to the first label in order. Without any labelled
-row everything is `und`. Equal texts get equal results; an empty table gives no rows; other columns are ignored.
+row everything is `und`. Equal texts get equal results; texts are read whole, a few MB at a time; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import free_names, slices
+
 UND = "und"
-CHAIN = 48
+PIECE = 256  # words of a text that are worked on at a time
 BUCKETS = 1 << 16
-LEXICON = 2000  # words a label
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,24 +41,40 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    w, out = word, []
-    for n in (1, 2, 3):
-        out += [f"p{w[:n]}", f"s{w[-n:]}"]
-    if (at := lexicon.get(w)) is not None:
-        out.append(f"l{at}:{w}")
-    if not w.isascii():
-        out += [f"c{c}" for c in sorted(set(w)) if c > "\x7f"]
-    b = f"^{w}$"
-    out += [f"g{b[i : i + n]}" for n in (2, 3) for i in range(len(b) - n + 1)]
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in out]
+def _bucket(kind: int, *codes: np.ndarray) -> np.ndarray:
+    h = np.full(len(codes[0]), 0x9E3779B1 * (kind + 1) & 0xFFFFFFFF, np.uint32)
+    for c in codes:
+        h = (h ^ c) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+    return (h * np.uint32(0xC2B2AE35) >> np.uint32(8)) & np.uint32(BUCKETS - 1)
 
 
 def feature_rows(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The feature numbers of all words in a row, and how many each word has (six at least)."""
-    rows = [features(w, lexicon) for w in words]
-    counts = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.fromiter(chain.from_iterable(rows), np.int32, int(counts.sum())), counts
+    """The feature numbers of all words in a row, and how many each word has (three at least)."""
+    if not words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    codes = np.frombuffer(f"^{'$^'.join(words)}$".encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(start + sizes, sizes) - np.arange(len(codes))  # characters of the word from here on
+    at = lambda i: codes[i : len(codes) - 3 + i]
+    codes = np.concatenate([codes, np.zeros(3, np.uint32)])
+    long = np.flatnonzero(sizes >= 5)
+    heads, tails = start[long], (start + sizes)[long] - 4
+    parts = [(np.flatnonzero(left >= 2), 0, 2), (np.flatnonzero(left >= 3), 1, 3), (heads, 2, 4), (tails, 3, 4)]
+    flat = [_bucket(kind, *(at(i)[where] for i in range(n))) for where, kind, n in parts]
+    own = [owner[where] for where, _, _ in parts]
+    odd = np.flatnonzero(codes[:-3] > 0x7F)
+    flat.append(_bucket(4, codes[odd]))
+    own.append(owner[odd])
+    known = [(i, label) for i, label in enumerate(map(lexicon.get, words)) if label is not None]
+    if known:
+        index, label = np.array(known).T
+        flat.append(_bucket(5, label.astype(np.uint32)))
+        own.append(index)
+    flat, own = np.concatenate(flat), np.concatenate(own)
+    return flat[np.argsort(own, kind="stable")].astype(np.int64), np.bincount(own, minlength=len(words))
 
 
 def summed(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -67,26 +84,96 @@ def summed(weights: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.add.reduceat(weights[flat], np.cumsum(counts) - counts)
 
 
-def forward_backward(psi: np.ndarray, trans: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals (chains, time, labels), expected transitions, log likelihood normalisers of chains.
-
-    psi: potentials of words, trans: of label pairs, mask: which cells hold words (a prefix of each chain)."""
-    n, t, k = psi.shape
-    alpha, norm, beta = np.empty_like(psi), np.ones((n, t), psi.dtype), np.ones_like(psi)
-    for i in range(t):
-        a = psi[:, i] if i == 0 else (alpha[:, i - 1] @ trans) * psi[:, i]
-        if i:
-            a = np.where(mask[:, i, None], a, alpha[:, i - 1])
-        z = a.sum(1)
-        norm[:, i] = np.where(mask[:, i], z, 1)
-        alpha[:, i] = a / z[:, None]
-    expected = np.zeros((k, k))
-    for i in range(t - 2, -1, -1):
-        m = mask[:, i + 1]
-        b = (psi[:, i + 1] * beta[:, i + 1]) / norm[:, i + 1, None]
-        expected += trans * (alpha[m, i].T @ b[m])
-        beta[:, i] = np.where(m[:, None], b @ trans.T, 1)
-    return alpha * beta, expected, np.log(norm).sum(1)
+class Steps:
+    """Words of chains laid out step by step, the first words of all chains, then the second ones, and so on, with the
+    longest chains first: what a step works on is one slice, and no cell is empty."""
+
+    def __init__(self, lens: np.ndarray):
+        self.order = np.argsort(-lens, kind="stable")
+        ordered = -lens[self.order]
+        self.alive = np.searchsorted(ordered, -np.arange(int(-ordered[0]) if len(lens) else 0), "left").tolist()
+        self.offset = np.concatenate(([0], np.cumsum(self.alive))).astype(np.int64)
+        rank = np.empty(len(lens), np.int64)
+        rank[self.order] = np.arange(len(lens))
+        step = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.place = self.offset[step] + np.repeat(rank, lens)
+
+    def laid(self, words: np.ndarray) -> np.ndarray:
+        out = np.empty_like(words)
+        out[self.place] = words
+        return out
+
+    def of(self, rows: np.ndarray, t: int) -> np.ndarray:
+        return rows[self.offset[t] : self.offset[t + 1]]
+
+
+def forward_backward(psi: np.ndarray, lens: np.ndarray, trans: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of all words, expected transitions, log likelihood normalisers of chains.
+
+    psi: potentials of the words of all chains in a row, lens: words of each chain, trans: potentials of label pairs.
+    first, last: what comes into a chain's first word from before it, and into its last one from after it (ones)."""
+    lay, k = Steps(lens), psi.shape[1]
+    psi = lay.laid(psi)
+    alpha, beta, norm = np.empty_like(psi), np.empty_like(psi), np.empty((len(psi), 1), psi.dtype)
+    top, expected = len(lay.alive), np.zeros((k, k))
+    for t in range(top):
+        n = lay.alive[t]
+        into = lay.of(alpha, t - 1)[:n] @ trans if t else (first[lay.order][:n] if first is not None else 1)
+        a = lay.of(psi, t) * into
+        z = a.sum(1, keepdims=True)
+        lay.of(norm, t)[:] = z
+        np.divide(a, z, out=lay.of(alpha, t))
+    ends = None if last is None else last[lay.order]
+    for t in range(top - 1, -1, -1):
+        more = lay.alive[t + 1] if t + 1 < top else 0
+        own = lay.of(beta, t)
+        own[more:] = 1 if ends is None else ends[more : lay.alive[t]]
+        if more:
+            b = lay.of(psi, t + 1) * lay.of(beta, t + 1) / lay.of(norm, t + 1)
+            own[:more] = b @ trans.T
+            expected += trans * (lay.of(alpha, t)[:more].T @ b)
+    gamma = alpha * beta
+    gamma /= gamma.sum(1, keepdims=True)
+    return gamma[lay.place], expected, np.add.reduceat(np.log(norm[lay.place, 0]), np.cumsum(lens) - lens) if len(lens) else np.empty(0)
+
+
+def _passages(psi: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """(chains, labels, labels): for each label that comes in alone before a chain's first word, what its forward pass
+    ends with, up to a factor of the chain."""
+    lay = Steps(lens)
+    psi = lay.laid(psi.astype(np.float64))
+    state = np.empty((len(lens), psi.shape[1], psi.shape[1]))
+    for t, n in enumerate(lay.alive):
+        p = lay.of(psi, t)[:, None, :]
+        state[:n] = np.eye(psi.shape[1]) * p if t == 0 else (state[:n] @ trans) * p
+        state[:n] /= state[:n].sum((1, 2), keepdims=True)
+    out = np.empty_like(state)
+    out[lay.order] = state
+    return out
+
+
+def whole_marginals(psi: np.ndarray, lens: np.ndarray, trans: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """The marginals of forward_backward() over whole texts of any length, in steps of one piece."""
+    parts = -(-lens // piece)
+    base = np.cumsum(parts) - parts
+    sizes = np.full(int(parts.sum()), piece, np.int64)
+    filled = lens > 0
+    sizes[(base + parts - 1)[filled]] = (lens - (parts - 1) * piece)[filled]
+    if not len(sizes):
+        return np.empty((0, psi.shape[1]), psi.dtype)
+    first, last, long = np.ones((len(sizes), psi.shape[1])), np.ones((len(sizes), psi.shape[1])), np.flatnonzero(parts > 1)
+    if len(long):
+        within = np.repeat(parts > 1, parts)
+        through = np.empty((len(sizes), psi.shape[1], psi.shape[1]))
+        through[within] = _passages(psi[np.repeat(within, sizes)], sizes[within], trans)
+        unit = lambda x: x / x.sum(1, keepdims=True)
+        for r in range(1, int(parts.max())):
+            i = base[long[parts[long] > r]] + r
+            first[i] = unit(np.einsum("nk,nkl->nl", first[i - 1], through[i - 1]) @ trans)
+        for r in range(int(parts.max()) - 2, -1, -1):
+            i = base[long[parts[long] > r + 1]] + r
+            last[i] = unit(np.einsum("nlk,nk->nl", through[i + 1], last[i + 1]) @ trans.T)
+    return forward_backward(psi, sizes, trans, first.astype(psi.dtype), last.astype(psi.dtype))[0]
 
 
 @dataclass
@@ -102,63 +189,70 @@ class Model:
 
 def learned_lexicon(texts: list[tuple[str, list[str]]], labels: list[str]) -> dict[str, int]:
     """word -> label for words that one label has far more often than the others."""
-    from collections import Counter
-
     counts = {x: Counter() for x in labels}
     for label, ws in texts:
         counts[label].update(ws)
-    out: dict[str, int] = {}
+    totals, out = {x: sum(c.values()) or 1 for x, c in counts.items()}, {}
     for i, x in enumerate(labels):
-        total = sum(counts[x].values()) or 1
-        for w, n in sorted(counts[x].items(), key=lambda c: (-c[1], c[0]))[:LEXICON]:
-            others = max([counts[y][w] / (sum(counts[y].values()) or 1) for y in labels if y != x], default=0)
-            if n > 2 and n / total > 4 * others:
+        for w, n in counts[x].items():
+            others = max([counts[y][w] / totals[y] for y in labels if y != x], default=0)
+            if n > 2 and n / totals[x] > 4 * others:
                 out[w] = i
     return out
 
 
-def fit(texts: list[tuple[str, list[str]]], labels: list[str], chains: int = 4000, epochs: int = 40, seed: int = 7) -> Model:
-    """A model from (label, words of one run). Deterministic: same texts, same model."""
-    rng = np.random.default_rng(seed)
-    lexicon = learned_lexicon(texts, labels)
-    vocab: dict[str, int] = {}
-    runs = {i: [] for i in range(len(labels))}
-    for label, ws in texts:
-        if ws:
-            runs[labels.index(label)].append([vocab.setdefault(w, len(vocab)) for w in ws])
-    usable = [i for i in runs if runs[i]]
-    k = len(labels)
-    x, y, mask = np.zeros((chains, CHAIN), np.int64), np.zeros((chains, CHAIN), np.int64), np.zeros((chains, CHAIN), bool)
-    for c in range(chains if usable else 0):
-        at, size = 0, int(rng.integers(1, CHAIN + 1))
-        mixed = rng.random() < 0.5
-        label = usable[int(rng.integers(len(usable)))]
-        while at < size:
-            run = runs[label][int(rng.integers(len(runs[label])))]
-            n = min(len(run), size - at, int(rng.integers(4, 24)) if mixed else CHAIN)
-            start = int(rng.integers(len(run) - n + 1))
-            x[c, at : at + n], y[c, at : at + n], mask[c, at : at + n] = run[start : start + n], label, True
+def training_chains(texts: list[tuple[int, np.ndarray]], rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, labels) of chains: texts in pieces; of every second piece short runs, put together at random. Every
+    word of the texts is in one chain."""
+    pieces = [(label, ws[i : i + PIECE]) for label, ws in texts for i in range(0, len(ws), PIECE)]
+    chains, runs = [], []
+    for i in rng.permutation(len(pieces)):
+        label, ws = pieces[i]
+        if rng.random() < 0.5:
+            chains.append((ws, np.full(len(ws), label)))
+            continue
+        at = 0
+        while at < len(ws):
+            n = int(rng.integers(4, 24))
+            runs.append((ws[at : at + n], label))
             at += n
-            if mixed:
-                label = usable[int(rng.integers(len(usable)))]
+    order, held = rng.permutation(len(runs)), []
+    for j, i in enumerate(order):
+        held.append(runs[i])
+        if sum(len(ws) for ws, _ in held) >= PIECE // 2 or j == len(order) - 1:
+            chains.append((np.concatenate([ws for ws, _ in held]), np.concatenate([np.full(len(ws), x) for ws, x in held])))
+            held = []
+    return chains
+
+
+def fit(texts: list[tuple[str, list[str]]], labels: list[str], epochs: int = 40, seed: int = 7) -> Model:
+    """A model from (label, words). Deterministic: same texts, same model."""
+    rng, k = np.random.default_rng(seed), len(labels)
+    lexicon, vocab = learned_lexicon(texts, labels), {}
+    numbered = [(labels.index(label), np.array([vocab.setdefault(w, len(vocab)) for w in ws])) for label, ws in texts if ws]
+    chains = training_chains(numbered, rng)
     flat, sizes = feature_rows(list(vocab), lexicon)
     w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
-    hot = np.eye(k)[y] * mask[..., None]
-    pairs = mask[:, 1:]
-    seen = np.zeros((k, k))
-    np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
-    for _ in range(epochs if usable else 0):
-        e = summed(w, flat, sizes)[x]
-        psi = np.exp(e - e.max(2, keepdims=True))
-        gamma, expected, _ = forward_backward(psi, np.exp(t), mask)
-        d = (hot - gamma * mask[..., None]).reshape(-1, k)
+    if not chains:
+        return Model(labels, w.astype(np.float32), t.astype(np.float32), lexicon)
+    x, y = (np.concatenate([c[i] for c in chains]) for i in (0, 1))
+    lens = np.array([len(c[0]) for c in chains])
+    hot, seen, n = np.eye(k)[y], np.zeros((k, k)), len(chains)
+    inner = np.ones(len(x), bool)
+    inner[np.cumsum(lens) - 1] = False
+    np.add.at(seen, (y[:-1][inner[:-1]], y[1:][inner[:-1]]), 1)
+    for _ in range(epochs):
+        e = summed(w, flat, sizes)
+        psi = np.exp(e - e.max(1, keepdims=True))[x]
+        gamma, expected, _ = forward_backward(psi, lens, np.exp(t))
+        d = hot - gamma
         for j in range(k):
-            by_word = np.bincount(x.reshape(-1), d[:, j], minlength=len(sizes))
-            g = np.bincount(flat, np.repeat(by_word, sizes), minlength=BUCKETS) / chains - 1e-4 * w[:, j]
+            by_word = np.bincount(x, d[:, j], minlength=len(sizes))
+            g = np.bincount(flat, np.repeat(by_word, sizes), minlength=BUCKETS) / n - 1e-4 * w[:, j]
             gw[:, j] += g * g
             w[:, j] += 0.3 * g / np.sqrt(gw[:, j])
-        g = (seen - expected) / chains - 1e-3 * t
+        g = (seen - expected) / n - 1e-3 * t
         gt += g * g
         t += 0.3 * g / np.sqrt(gt)
     return Model(labels, w.astype(np.float32), t.astype(np.float32), lexicon)
@@ -169,10 +263,10 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, per_label: int = 600, windows: int = 3) -> Model | None:
-    """Fits a model on the bounded sample of docs' labelled rows; None where there are none."""
+def trained(docs: DataFrame, per_label: int = 160) -> Model | None:
+    """Fits a model on the bounded sample of docs' labelled rows, per_label of each language; None where there are none."""
     able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return None
     labels, texts = sorted(counts), []
@@ -180,14 +274,10 @@ def trained(docs: DataFrame, per_label: int = 600, windows: int = 3) -> Model |
     share = F.lit(None).cast("double")
     for x in labels:
         share = F.when(F.col("lang") == x, F.lit(min(1.0, 1.3 * per_label / counts[x]))).otherwise(share)
-    sample = able.filter(F.col("h") <= (2 * share - 1) * float(2**63)).toLocalIterator()
-    kept: dict[str, list] = {x: [] for x in labels}
-    for r in sample:
-        ws = [w for w in words_of(r.text) if any(map(str.isalpha, w))]
-        starts = sorted({min(i * max(1, len(ws) // windows), max(0, len(ws) - CHAIN)) for i in range(windows)})
-        kept[r.lang].append((r.h, [ws[s : s + CHAIN] for s in starts]))
+    sample = able.filter(F.col("h") <= (2 * share - 1) * float(2**63)).collect()  # per_label rows a language, and a third more
     for x in labels:
-        texts += [(x, run) for _, runs in sorted(kept[x])[:per_label] for run in runs]
+        own = sorted((r.h, r.text) for r in sample if r.lang == x)[:per_label]
+        texts += [(x, [w for w in words_of(t) if any(map(str.isalpha, w))]) for _, t in own]
     return fit(texts, labels)
 
 
@@ -235,15 +325,9 @@ class Labeller(dict):
             ids.append(a[a >= 0])
         self.settle()
         counts = [len(a) for a in ids]
-        chains = [a[i : i + CHAIN] for a in ids for i in range(0, len(a), CHAIN)]
-        if not chains:
+        if not sum(counts):
             return counts, np.empty((0, len(self.model.labels)), np.float32)
-        lens = np.array([len(c) for c in chains])
-        mask = np.arange(CHAIN) < lens[:, None]
-        psi = np.ones((len(chains), CHAIN, len(self.model.labels)), np.float32)
-        psi[mask] = self.table[np.concatenate(chains)]
-        gamma, _, _ = forward_backward(psi, self.trans, mask)
-        return counts, gamma[mask]
+        return counts, whole_marginals(self.table[np.concatenate(ids)], np.array(counts), self.trans)
 
     def scores(self, texts: list[str]) -> list[tuple[str, float]]:
         return [(label, score) for label, score, _ in self.counted(texts)]
@@ -273,12 +357,9 @@ def label_languages(spark: SparkSession, docs: DataFrame, model: Model | None, k
 
     def run(batches):
         labeller = None if shared.value is None else Labeller(shared.value)
-        for b in batches:
-            got: list[tuple[str, float, int]] = []
-            ts = b.column("text").cast(pa.binary())
-            for i in range(0, b.num_rows, 256):
-                part = [(x or b"").decode(errors="replace") for x in ts.slice(i, 256).to_pylist()]
-                got += labeller.counted(part) if labeller is not None else [(UND, 0.0, 0)] * len(part)
+        for b in (part for whole in batches for part in slices(whole, most=2 << 20)):
+            part = [(x or b"").decode(errors="replace") for x in b.column("text").cast(pa.binary()).to_pylist()]
+            got: list[tuple[str, float, int]] = labeller.counted(part) if labeller is not None else [(UND, 0.0, 0)] * len(part)
             own = [pa.array([x[i] for x in got], kind) for i, kind in zip(range(len(names)), (pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], names=[*keep, *names])
 
@@ -297,7 +378,8 @@ def least_score(labels: int, words: Column) -> Column:
 def identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs whose language is told: not `und`, and with the least score for their length, so texts mixed of
     several languages or of none that was learned go, unless they are too short to tell."""
-    own, model = ("__language", "__score", "__words"), trained(docs)
+    model = trained(docs)
+    own = tuple(free_names(docs, "language", "score", "words"))
     rows = label_languages(spark, docs, model, docs.columns, own)
     told = F.col(own[1]) >= least_score(len(model.labels) if model is not None else 1, F.col(own[2]))
     return rows.filter((F.col(own[0]) != UND) & told).drop(*own)

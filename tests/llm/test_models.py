@@ -16,24 +16,47 @@ SF = "/root/testdata/sf0.01"
 
 def test_forward_backward_sums_all_labellings():
     rng = np.random.default_rng(2)
-    psi, trans = rng.random((3, 5, 3)) + 0.1, rng.random((3, 3)) + 0.1
-    mask = np.arange(5) < np.array([5, 2, 1])[:, None]
-    gamma, expected, z = langid.forward_backward(psi, trans, mask)
-    pairs = np.zeros((3, 3))
-    for c, n in enumerate((5, 2, 1)):
+    lens = np.array([2, 5, 1])
+    flat, trans = rng.random((8, 3)) + 0.1, rng.random((3, 3)) + 0.1
+    gamma, expected, z = langid.forward_backward(flat, lens, trans)
+    pairs, at = np.zeros((3, 3)), 0
+    for c, n in enumerate(lens):
+        psi = flat[at : at + n]
         total, want, own = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
-        for ys in itertools.product(range(3), repeat=n):
-            p = np.prod([psi[c, i, y] for i, y in enumerate(ys)]) * np.prod([trans[a, b] for a, b in zip(ys, ys[1:])])
+        for ys in itertools.product(range(3), repeat=int(n)):
+            p = np.prod([psi[i, y] for i, y in enumerate(ys)]) * np.prod([trans[a, b] for a, b in zip(ys, ys[1:])])
             total += p
             for i, y in enumerate(ys):
                 want[i, y] += p
             for a, b in zip(ys, ys[1:]):
                 own[a, b] += p
-        assert np.allclose(gamma[c, :n], want / total) and np.isclose(z[c], np.log(total))
-        pairs += own / total
+        assert np.allclose(gamma[at : at + n], want / total) and np.isclose(z[c], np.log(total))
+        pairs, at = pairs + own / total, at + n
     assert np.allclose(expected, pairs)
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7])
+def test_pieces_change_nothing(piece):
+    rng = np.random.default_rng(5)
+    lens = np.array([0, 4, 40, 1, 7, 21, 0])
+    psi, trans = rng.random((int(lens.sum()), 3)) ** 3 + 1e-3, rng.random((3, 3)) ** 2 + 0.01
+    whole = langid.forward_backward(psi, lens[lens > 0], trans)[0]
+    assert np.allclose(langid.whole_marginals(psi, lens, trans, piece), whole)
+
+
+def test_features_are_those_of_each_word_alone():
+    words = ["a", "straße", "x" * 300, "ab", "über", "日本語", "abcd"]
+    lexicon = {"ab": 1}
+    flat, counts = langid.feature_rows(words, lexicon)
+    at = 0
+    for w, n in zip(words, counts):
+        alone, m = langid.feature_rows([w], lexicon)
+        assert m.tolist() == [n] and sorted(flat[at : at + n]) == sorted(alone)
+        # Pairs and triples between the end marks, affixes of three, letters beyond ASCII, the lexicon.
+        assert n == len(w) + 1 + len(w) + 2 * (len(w) >= 3) + sum(c > "\x7f" for c in w) + (w in lexicon)
+        at += n
+
+
 @pytest.fixture(scope="module")
 def predicted(spark):
     return {r.doc_id: r for r in langid.languages(spark, documents(spark, SF)).collect()}
@@ -43,7 +66,7 @@ def test_held_out_accuracy(spark, predicted):
     true = {r.doc_id: r.lang for r in documents(spark, SF).select("doc_id", "lang").collect()}
     held = [i for i, r in predicted.items() if r.held_out]
     assert 150 < len(held) < 350 and len(predicted) == len(true)
-    assert sum(predicted[i].lang_pred == true[i] for i in held) >= 0.97 * len(held)
+    assert sum(predicted[i].lang_pred == true[i] for i in held) >= 0.99 * len(held)
     assert all(0 <= r.score <= 1 for r in predicted.values())
 
 
@@ -112,7 +135,7 @@ def test_the_whole_of_a_long_word_counts():
     rnd = random.Random(8)
     run = lambda letters: "gleich" * 9 + "".join(rnd.choice(letters) for _ in range(60)) + "ende"
     texts = [(x, [run(letters) for _ in range(20)]) for x, letters in (("aa", "bcdfg"), ("bb", "kmnop")) for _ in range(20)]
-    labeller = langid.Labeller(langid.fit(texts, ["aa", "bb"], chains=200))
+    labeller = langid.Labeller(langid.fit(texts, ["aa", "bb"]))
     got = labeller.scores([run("bcdfg") for _ in range(20)] + [run("kmnop") for _ in range(20)])
     assert [x for x, _ in got] == ["aa"] * 20 + ["bb"] * 20
 
@@ -122,7 +145,7 @@ def test_features_do_not_hang_on_the_hash_seed():
     import subprocess
     import sys
 
-    code = "from loomspark.llm.langid import features; print(features('äöüßéèêñçåøæëïõãâîûôőűčšžřďťňłżźćśęąğışđðþ', {}))"
+    code = "from loomspark.llm.langid import feature_rows; print(feature_rows(['äöüßéèêñçåøæëïõãâîûôőűčšžřďťňłżźćśęąğışđðþ'], {})[0].tolist())"
     run = lambda seed: subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed}, capture_output=True, text=True, check=True).stdout
     assert len({run(str(seed)) for seed in range(1, 5)}) == 1
 
@@ -165,19 +188,37 @@ def test_licenses_of_changed_words_are_found_as_by_brute_force():
     for t, (name, ws) in enumerate(zip(index.names, index.words)):
         ws = [w.decode() for w in ws]
         if len(ws) > 20:
-            texts = [[w if i % 4 != j else "x" for i, w in enumerate(ws)] for j in range(4)]
+            texts = [[w if i % 4 != t % 4 else "x" for i, w in enumerate(ws)]]
         else:
             texts = [ws[:i] + new + ws[i + 1 :] for i, w in enumerate(ws) for new in (["x"], [], [w, "x"], [w, "x", "y"])]
             texts += [[w if k not in (i, j) else "x" for k, w in enumerate(ws)] for i in range(len(ws)) for j in range(i)]
             texts += [[x for w in ws for x in (w, "x")]]
         for text in texts:
-            for full in (text, pad + text + pad):
+            for full in (text, pad + text + pad) if len(ws) <= 20 else (pad[: t % 9] + text,):
                 text_words = [w.encode() for w in full]
                 n = best_anywhere(index, t, text_words)
                 want = [round(n / len(ws), 4)] if n >= licenses.COVERAGE * len(ws) else []
                 assert [m[1] for m in licenses.matches(index, " ".join(full).encode(), known) if m[0] == name] == want
 
 
+def test_fingerprints_of_every_template_outnumber_what_a_match_may_lack():
+    index = licenses.Index.of(licenses.TEMPLATES)
+    assert len(index.names) == len(licenses.TEMPLATES) >= 30
+    for t, ws in enumerate(index.words):
+        kept = int(index.has[t].sum())
+        lacking = len(ws) - -(-7 * len(ws) // 10)
+        assert index.needed[t] == kept - lacking > 0
+    hashes = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
+    at = licenses.winnowed(hashes, 4)
+    assert all(min(at[(at >= i) & (at < i + 4)], key=lambda j: hashes[j], default=-1) >= 0 and hashes[at[(at >= i) & (at < i + 4)]].min() == hashes[i : i + 4].min() for i in range(197))
+
+
+def test_very_many_matches():
+    index, known = licenses.Index.of({"mit-line": licenses.TEMPLATES["mit-line"]}), WordHash()
+    found = licenses.matches(index, "Ünder: Released under the MIT License.\n".encode() * 3000, known)
+    assert len(found) == 3000 and found[-1][2:] == (2999 * 39 + 7, 2999 * 39 + 37)
+
+
 def test_short_notices_with_another_first_word():
     index, known = licenses.Index.of(licenses.TEMPLATES), WordHash()
     for first in ("Licensed", "Distributed", "Available"):
