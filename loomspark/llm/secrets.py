@@ -1,13 +1,16 @@
 """Secret scans: spans of credentials, with multipart linking. DataFrame functions only.
 
 Base kinds (fixed values) are found leftmost and non-overlapping, each kind by itself. Beyond them, weak candidates
-(long mixed-case tokens, and endpoints) are parts: a part is reported only where a complementary one lies within the
-scope. Access identifiers, secrets and endpoints meet by an interval join inside a document: windows over positions
-tell each part whether at most `scope` code points lie between it and a complement, so no pairs are made, however dense
-a text. The greatest end of what starts before a part and the least start of what starts after it decide.
-
-All patterns stay within a line. Offsets are code points, ends exclusive. A null text is an empty one: no spans.
-Equal rows get equal spans; an empty table gives no rows; other columns are ignored.
+(long mixed-case tokens, and endpoints) are parts: a part is reported only where a complementary one lies within its
+scope: in the same block (lines without an empty one between them), at most `scope` code points between the end of one
+and the start of the other. Access identifiers, secrets and endpoints meet by an interval join inside a document: each
+interval is two events in order of position, and running extremes over them tell the greatest end before a part's start
+and the least start after its end. So no pairs are made, however dense a text; and no part complements one that it
+overlaps, such as the URL that it stands in.
+
+All patterns stay within a line. Offsets are code points, ends exclusive. A null or empty text has no spans; whole texts
+are scanned. Parts that begin together are ordered by kind. Equal rows get equal spans; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ HEX = r"[0-9a-f]{24,}"
 SECRET = r"[A-Za-z0-9+/_-]{32,}={0,2}"
 ENDPOINT = r"""(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+"""
 KINDS = ("assign", "access", "hex", "secret", "endpoint")
+#: What ends a block, as a kind of its own.
+BREAK, BLOCK_END = 5, r"\n[\x20\x09\x0D]*\n"
 SCOPE = 400
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -83,7 +88,9 @@ def scan(docs: DataFrame) -> DataFrame:
     secret = F.when((F.size("access") + F.size("endpoint") > 0) & t.rlike(SECRET), found(t, 3, SECRET)).otherwise(_none())
     # Mixed case with digits: else long words, paths and hex would count.
     mixed = F.filter(secret, lambda s: _mixed(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
-    return rows.withColumn("secret", mixed).select("k", "th", "assign", "access", "hex", "secret", "endpoint")
+    rows = rows.withColumn("secret", mixed)
+    breaks = F.when(F.size("secret") + F.size("endpoint") > 0, found(t, BREAK, BLOCK_END)).otherwise(_none())
+    return rows.select("k", "th", "assign", "access", "hex", "secret", "endpoint", breaks.alias("breaks"))
 
 
 def _mixed(x: Column) -> Column:
@@ -93,20 +100,25 @@ def _mixed(x: Column) -> Column:
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(k, th, weak): weak parts with a complement in scope. A secret complements an access identifier or an endpoint;
     an endpoint, a secret of any kind (assigned, hex or weak)."""
-    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.concat("assign", "access", "hex", "secret", "endpoint")).alias("s"))
+    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.array_distinct(F.concat("assign", "access", "hex", "secret", "endpoint", "breaks"))).alias("s"))
     start, end, kind = F.col("s.start"), F.col("s.end"), F.col("s.kind")
+    in_order = Window.partitionBy("k", "th").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = parts.withColumn("block", F.count_if(kind == BREAK).over(in_order)).filter(kind != BREAK)
+    events = parts.select("k", "th", "block", "s", F.explode(F.array(F.struct(start.alias("at"), F.lit(False).alias("ends")), F.struct(end.alias("at"), F.lit(True).alias("ends")))).alias("e"))
+    events = events.select("k", "th", "block", "s", "e.at", "e.ends")
     # Both frames run to the current row: one that runs from it to the last is computed anew for each row.
-    before = Window.partitionBy("k", "th").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy("k", "th").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("k", "th", "block")
+    before = own.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = own.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def near(*kinds: int) -> Column:
-        left = F.max(F.when(kind.isin(*kinds), end)).over(before) >= start - scope
-        right = F.min(F.when(kind.isin(*kinds), start)).over(after) <= end + scope
-        return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
+        ended = F.max(F.when(F.col("ends") & kind.isin(*kinds), end)).over(before)  # of those that end where this starts, or before
+        begun = F.min(F.when(~F.col("ends") & kind.isin(*kinds), start)).over(after)
+        return F.coalesce(F.when(F.col("ends"), begun <= end + scope).otherwise(ended >= start - scope), F.lit(False))
 
-    parts = parts.withColumn("at", start).select("k", "th", "s", near(1, 4).alias("by_access"), near(0, 2, 3).alias("by_secret"))
+    events = events.select("k", "th", "s", near(1, 4).alias("by_access"), near(0, 2, 3).alias("by_secret"))
     kept = ((kind == 3) & F.col("by_access")) | ((kind == 4) & F.col("by_secret"))
-    return parts.filter(kept).groupBy("k", "th").agg(F.collect_set("s").alias("weak"))
+    return events.filter(kept).groupBy("k", "th").agg(F.collect_set("s").alias("weak"))
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 3, 5 and 10 against plain versions, and their SQL."""
 
+import random
 import re
 
 import pytest
@@ -48,14 +49,44 @@ def test_scope_lies_between_parts(spark):
     assert [bool(r.spans and ("secret" in r.spans or "endpoint" in r.spans)) for r in sorted(base)] == [True] * 6 + [False, True, False, True]
 
 
+def plain_spans(text, scope=400):
+    """All spans of a text by its definition: every pair of parts is looked at."""
+    find = lambda p, least=0, g=0: [(m.start(), m.end()) for m in re.finditer(p, text, re.ASCII) if len(m[g]) >= least]
+    parts = {
+        "assign": find("""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 6, 2), "access": find("AKIA[A-Z0-9]+", 20), "hex": find("[0-9a-f]+", 24),
+        "endpoint": find("""(?:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]+"""),
+    }
+    parts["secret"] = [x for x in find("[A-Za-z0-9+/_-]{32,}={0,2}") if all(re.search(c, text[x[0] : x[1]]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+    ends = [m.start() for m in re.finditer(r"\n[\x20\x09\r]*\n", text)]
+    block = lambda at: sum(e < at for e in ends)
+    mates = {"secret": ("access", "endpoint"), "endpoint": ("assign", "hex", "secret")}
+
+    def meets(x, y):
+        gap = y[0] - x[1] if y[0] >= x[1] else x[0] - y[1]
+        return 0 <= gap <= scope and block(x[0]) == block(y[0])
+
+    kinds = ("assign", "access", "hex", "secret", "endpoint")
+    out = [(s, i, e, k) for i, k in enumerate(kinds) for s, e in parts[k] if k not in mates or any(meets((s, e), y) for m in mates[k] for y in parts[m])]
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def test_spans_are_those_of_all_pairs(spark):
+    rnd, weak = random.Random(6), lambda: "".join(rnd.choice("aB3/_x") for _ in range(rnd.randint(30, 45)))
+    part = [lambda: f"https://h.example/{weak()}", weak, lambda: "AKIA" + "A" * rnd.randint(14, 18), lambda: "0af3" * 8, lambda: "token = " + "q" * rnd.randint(4, 8), lambda: "s3://b", lambda: "x " * rnd.choice([3, 150, 199, 200, 201]), lambda: "\n", lambda: "\n \t\n", lambda: "wörd 🙂"]
+    data = [(i, "".join(rnd.choice(part)() + rnd.choice(["", " ", " "]) for _ in range(rnd.randint(1, 14)))) for i in range(300)]
+    data += [(1000, "https://h.example/" + "aB3" * 14), (1001, "https://h.example/" + "aB3" * 14 + " AKIA" + "A" * 16)]
+    got = dict(rows(spans(spark, frame(spark, data)), "doc_id", "spans"))
+    for i, t in data:
+        assert got[i] == plain_spans(t), t
+    assert got[1000] == "" and sum("secret" in x for x in got.values()) > 30
+
+
 def test_many_matches_in_one_text(spark):
     text = "token=abcdef\n" * 3000
     same(rows(spans(spark, frame(spark, [(1, text)])), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), brute.op3([(1, text)]))
 
 
 def items():
-    import random
-
     rnd = random.Random(9)
     base = next(t for i, t in docs() if i == 60).split()
     return [(1, " ".join(base[50:90])), (2, " ".join(base[100:113])), (3, " ".join(base[7:12])), (4, "home about"), (10, prose(rnd, 40)), (None, " ".join(base[50:90])), (5, ""), (6, None), (7, "zig")]
