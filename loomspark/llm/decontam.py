@@ -3,21 +3,24 @@
 Of every 13 consecutive words, the least of their nine 5-gram hashes is kept: whatever document and benchmark share
 for 13 words or more, they share a kept hash of it. Kept hashes of documents meet those of the benchmark in an
 equi-join; hits are extended to the windows around them, which are compared as words, so nothing rests on hashes.
-Items of fewer words are one window each: their anchor is looked up at every position, one gram size at a time.
+Items of fewer words are one window each: their anchor is looked up at every position, in one pass for all gram sizes,
+behind a bitmap of fixed size.
 
 Words: A-Z lower-cased, runs of digits, letters and all above U+007F. A null text has no words, so do empty ones;
-an item without words is no window. A null item_id counts as ''. Equal rows get equal results; empty tables give
+an item without words is no window. A null item_id counts as ''. Whole texts are compared, however long. Of equal least
+hashes the first position is kept; equal items count each. Equal rows get equal results; empty tables give
 no rows (documents) or no hits (benchmark). Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import NULL_ID, Scratch, doc_id, keyed, likely
+from loomspark.llm.common import NULL_ID, Scratch, bitmap, doc_id, free_names, keyed, likely
 
 SPAN_WORDS = 13
 GRAM = 5
@@ -79,11 +82,20 @@ def hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, scratch: Sc
     starts = F.array_distinct(F.flatten(F.transform("ps", lambda p: F.sequence(F.greatest(p - (span - gram), F.lit(0)), F.least(p, F.col("n") - span)))))
     at = near.select("k", "th", F.transform(starts, lambda s: F.struct(s.alias("s"), F.lit(span).alias("m"))).alias("at"))
     short = items.filter(F.col("n") < span)
-    for size in sorted(r[0] for r in short.select(F.least("n", F.lit(gram)).alias("size")).distinct().collect()):  # `gram` sizes at most
-        anchors = short.filter(F.least("n", F.lit(gram)) == size).select("n", grams(size).alias("g"))
-        anchors = anchors.select(F.col("n").alias("m"), (F.array_position("g", F.array_min("g")) - 1).cast("int").alias("a"), F.array_min("g").alias("fp")).distinct()
-        everywhere = worded(rows, "k", "th").select("k", "th", "n", F.posexplode(grams(size)).alias("p", "fp"))
-        own = everywhere.join(anchors, "fp").select("k", "th", "n", (F.col("p") - F.col("a")).alias("s"), "m").filter("s >= 0 and s + m <= n")
+    sizes = sorted(r[0] for r in short.select(F.least("n", F.lit(gram)).alias("size")).distinct().collect())  # `gram` sizes at most
+    if sizes:
+        # An item's anchor is its least gram. Documents are read once for all sizes, and what a bitmap of the anchors
+        # rules out is dropped before any position becomes a row.
+        per_size = [short.filter(F.least("n", F.lit(gram)) == size).select(F.lit(size).alias("size"), "n", grams(size).alias("g")) for size in sizes]
+        anchors = functools.reduce(DataFrame.unionByName, per_size)
+        anchors = anchors.select("size", F.col("n").alias("m"), (F.array_position("g", F.array_min("g")) - 1).cast("int").alias("a"), F.array_min("g").alias("fp")).distinct()
+        anchors = scratch.write(anchors, "anchors")
+        dense, hit = bitmap(anchors.select(F.col("fp").alias("h")))
+        wide = worded(rows, "k", "th").crossJoin(F.broadcast(dense))
+        place = lambda size: lambda fp, p: F.struct(F.lit(size).alias("size"), p.alias("p"), fp.alias("fp"))
+        found = F.concat(*[F.filter(F.transform(grams(size), place(size)), lambda x: hit(x["fp"])) for size in sizes])
+        met = wide.select("k", "th", "n", F.explode(found).alias("x")).select("k", "th", "n", "x.*")
+        own = met.join(anchors, ["size", "fp"]).select("k", "th", "n", (F.col("p") - F.col("a")).alias("s"), "m").filter("s >= 0 and s + m <= n")
         at = at.unionByName(own.groupBy("k", "th").agg(F.collect_set(F.struct("s", "m")).alias("at")))
     at = scratch.write(at.groupBy("k", "th").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")), "candidates")
     spans = worded(likely(rows, at, ["k", "th"]).join(at, ["k", "th"]), "k", "th", "at").select("k", "th", "w", F.explode("at").alias("x"))
@@ -119,9 +131,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, sp
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated."""
-    bad = contamination(spark, docs, benchmark).filter("contaminated").select(F.col("k").alias("__k"), F.col("th").alias("__th"))
-    key = {"__k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "__th": F.xxhash64(F.coalesce("text", F.lit("")))}
-    return docs.withColumns(key).join(bad, ["__k", "__th"], "left_anti").select(*docs.columns)
+    k, th = free_names(docs, "k", "th")
+    bad = contamination(spark, docs, benchmark).filter("contaminated").select(F.col("k").alias(k), F.col("th").alias(th))
+    key = {k: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), th: F.xxhash64(F.coalesce("text", F.lit("")))}
+    return docs.withColumns(key).join(bad, [k, th], "left_anti").select(*docs.columns)
 
 
 def digest(rows: DataFrame) -> DataFrame:
