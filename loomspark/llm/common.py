@@ -171,6 +171,12 @@ def likely(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 <<
     return rows.crossJoin(F.broadcast(dense)).filter(test(F.xxhash64(*keys))).drop("__bits")
 
 
+def unlikely(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 1 << 23) -> DataFrame:
+    """The rows that likely() leaves out."""
+    dense, test = bitmap(wanted.select(F.xxhash64(*keys).alias("h")), bits)
+    return rows.crossJoin(F.broadcast(dense)).filter(~test(F.xxhash64(*keys))).drop("__bits")
+
+
 class WordHash(dict):
     """word (bytes) -> 64-bit hash, kept for words seen of late."""
 

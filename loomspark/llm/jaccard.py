@@ -289,14 +289,18 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
         state = scratch.write(own.join(live, "region"), f"state-{r}")
         work = F.col("apart") * F.col("c")
         # Members carry their cell maps, so pairs that these rule out never become rows.
-        few = scratch.write(state.filter(work <= leaf * leaf).join(maps, ["x", "n"]), f"few-{r}")
+        few = state.filter(work <= leaf * leaf)
+        held = few.groupBy("x").agg(F.collect_set("region").alias("held"))  # of one window
+        few = scratch.write(few.join(maps, ["x", "n"]).join(held, "x"), f"few-{r}")
         a, b = few.filter("tag <> top").alias("a"), few.alias("b")
-        once = (F.col("b.tag") == F.col("b.top")) | (F.col("a.x") < F.col("b.x"))
-        early = F.when(smaller("a", "b"), F.col("a.early")).otherwise(F.col("b.early"))
+        once = (F.col("b.tag") == F.col("b.top")) | (F.col("a.x") < F.col("b.x"))  # top is the region's
+        sized = F.lit(100) * F.least("a.n", "b.n") >= F.lit(percent) * F.greatest("a.n", "b.n")
         # Each cell that one map has alone holds a shingle of its set alone; `met` shingles of a set share its cells.
         most = F.least("a.met", "b.met") + summed([F.bit_count(F.col(f"a.m{i}").bitwiseAND(F.col(f"b.m{i}"))) for i in range(SIG // 64)])
         possible = F.lit(100 + percent) * most >= F.lit(percent) * (F.col("a.n") + F.col("b.n"))
-        pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.tag") != F.col("b.tag")) & once & early & fits("a", "b", percent, common) & possible)
+        # Two members that meet in several regions are a pair in one of them.
+        here = F.col("a.region") == F.array_min(F.array_intersect("a.held", "b.held"))
+        pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.tag") != F.col("b.tag")) & once & sized & possible & here)
         pairs = pairs.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y"), (most / (F.col("a.n") + F.col("b.n") - most)).alias("m"))
         rest.append(scratch.write(pairs.groupBy("x", "y").agg(F.max("m").alias("m")), f"pairs-{r}"))
         state = state.filter(work > leaf * leaf)

@@ -11,8 +11,9 @@ Windows that best fit leaves far from full would be padding (a third of a corpus
 The emptiest ones are dissolved and their documents cut, at multiples of `unit` ids, to fill the gaps of the rest;
 so less than `unit` ids of padding stay in a window. Windows filled to a power of two stay as they are.
 
-Nulls: a null text is empty (its end id alone); a null doc_id stays null. Equal rows are packed one by one. An empty
-table gives no rows. Other columns are ignored.
+Nulls: a null text is empty (its end id alone); a null doc_id stays null. Equal rows are packed one by one. Documents of
+one length are placed in the order of the tasks that encode them. Whole texts are encoded; a very long one takes its full
+windows and one piece more. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,10 +101,7 @@ class Plan:
                     rank, left, used = rank + left, 0, full + 1
                 put(capacity, first + used, n - used, held)
         self.runs = np.array(sorted(runs), np.int64).reshape(-1, 7)
-        self.starts = {}
-        for i, r in enumerate(self.runs):
-            self.starts.setdefault(int(r[0]), []).append(i)
-        self.starts = {k: (v[0], self.runs[v, 1]) for k, v in self.starts.items()}
+        self.keys = (self.runs[:, 0] << 40) + self.runs[:, 1]  # no length has 2^40 pieces
         self._fill_gaps(groups)
         self.windows = opened
 
@@ -129,10 +128,19 @@ class Plan:
         self.filled = at  # units of the tape that gaps take; what is left fills windows of its own
         self.tail = max(0, -(-(tape - at) // (w // u)))
 
+    def places(self, lengths: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, offset, whether the window is dissolved) of pieces, as best fit places them."""
+        r = self.runs[np.searchsorted(self.keys, (lengths << 40) + ranks, "right") - 1].reshape(-1, 7)
+        row, j = np.divmod(ranks - r[:, 1], r[:, 4])
+        window = r[:, 3] + row
+        if not len(self.donors):
+            return window, r[:, 5] + j * lengths, np.zeros(len(window), bool)
+        d = np.searchsorted(self.donors[:, 0], window, "right") - 1
+        return window, r[:, 5] + j * lengths, (d >= 0) & (window < self.donors[d, 1])
+
     def place(self, length: int, rank: int):
         """[(start, length, window, offset, tape position or -1)] of a piece; windows of the tail count on from self.windows."""
-        first, ranks = self.starts[length]
-        r = self.runs[first + int(np.searchsorted(ranks, rank, "right")) - 1]
+        r = self.runs[int(np.searchsorted(self.keys, (length << 40) + rank, "right")) - 1]
         row, j = divmod(rank - int(r[1]), int(r[4]))
         window, u = int(r[3]) + row, self.unit
         d = int(np.searchsorted(self.donors[:, 0], window, "right")) - 1
@@ -168,7 +176,7 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
     return total
 
 
-LENGTHS = "k long, n long, window_crcs array<long>, unit_crcs array<long>, pid long, rest int, rank long, windows_before long"
+LENGTHS = "k long, n long, window_crcs array<long>, unit_crcs array<long>, rest_crc long, pid long, rest int, rank long, windows_before long"
 PIECES = "k long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tape long"
 
 
@@ -182,19 +190,19 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int
         enc, pid = encoder(tokenizer), TaskContext.get().partitionId()
         end, seen, windows = np.array([end_id], enc.dtype).tobytes(), np.zeros(window, np.int64), 0
         for b in (part for whole in batches for part in slices(whole)):
-            cols = {x: [] for x in ("n", "window_crcs", "unit_crcs", "rest", "rank", "windows_before")}
+            cols = {x: [] for x in ("n", "window_crcs", "unit_crcs", "rest_crc", "rest", "rank", "windows_before")}
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 ids = memoryview(np.frombuffer(enc.encode(t) + end, enc.dtype).astype("<u4")).cast("B")
                 n = len(ids) // 4
                 full, rest = divmod(n, window)
                 at = 4 * full * window
-                row = (n, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, at, 4 * window)], [zlib.crc32(ids[i : i + 4 * unit]) for i in range(at, len(ids), 4 * unit)], rest, int(seen[rest]), windows)
+                row = (n, [zlib.crc32(ids[i : i + 4 * window]) for i in range(0, at, 4 * window)], [zlib.crc32(ids[i : i + 4 * unit]) for i in range(at, len(ids), 4 * unit)], zlib.crc32(ids[at:]), rest, int(seen[rest]), windows)
                 seen[rest] += 1
                 windows += full
                 for c, v in zip(cols.values(), row):
                     c.append(v)
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_pydict({"k": b.column("k"), "n": pa.array(cols["n"], pa.int64()), "window_crcs": pa.array(cols["window_crcs"], lists), "unit_crcs": pa.array(cols["unit_crcs"], lists), "pid": pa.array([pid] * b.num_rows, pa.int64()), "rest": pa.array(cols["rest"], pa.int32()), "rank": pa.array(cols["rank"], pa.int64()), "windows_before": pa.array(cols["windows_before"], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"k": b.column("k"), "n": pa.array(cols["n"], pa.int64()), "window_crcs": pa.array(cols["window_crcs"], lists), "unit_crcs": pa.array(cols["unit_crcs"], lists), "rest_crc": pa.array(cols["rest_crc"], pa.int64()), "pid": pa.array([pid] * b.num_rows, pa.int64()), "rest": pa.array(cols["rest"], pa.int32()), "rank": pa.array(cols["rank"], pa.int64()), "windows_before": pa.array(cols["windows_before"], pa.int64())})
 
     return keyed(docs).select("k", "text").mapInArrow(run, LENGTHS)
 
@@ -216,23 +224,32 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END
     shared = spark.sparkContext.broadcast(plan)
 
     def run(batches):
-        p = shared.value
+        p, names = shared.value, [x.split()[0] for x in PIECES.split(", ")]
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                for i, c in enumerate(r["window_crcs"]):
-                    out.append((r["k"], i * p.window, p.window, c, r["n"], r["window_base"] + r["windows_before"] + i, 0, -1))
-                if r["rest"]:
-                    at, crcs, size = r["n"] - r["rest"], r["unit_crcs"], 4 * p.unit
-                    for start, length, seq, offset, tape in p.place(r["rest"], r["rank_base"] + r["rank"]):
-                        first, last = start // p.unit, (start + length - 1) // p.unit
-                        crc = joined_crc([(crcs[i], min(size, 4 * (start + length) - i * size)) for i in range(first, last + 1)])
-                        out.append((r["k"], at + start, length, crc, r["n"], seq, offset, tape))
-            if out:
-                names = [x.split()[0] for x in PIECES.split(", ")]
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, zip(*out))})
-
-    placed = rows.join(ranks, ["pid", "rest"]).join(firsts, "pid").select("k", "n", "window_crcs", "unit_crcs", "rest", "rank", "windows_before", "rank_base", "window_base")
+            k, n, rest, rank, base, whole = (b.column(c).to_numpy() for c in ("k", "n", "rest", "rank", "window_base", "rest_crc"))
+            rest = rest.astype(np.int64)
+            # Full windows.
+            each = pc.list_value_length(b.column("window_crcs")).to_numpy()
+            own = np.repeat(np.arange(len(k)), each)
+            i = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+            same = np.zeros(len(own), np.int64)
+            parts = [(k[own], i * p.window, same + p.window, b.column("window_crcs").flatten().to_numpy(), n[own], base[own] + i, same, same - 1)]
+            # What remains of documents, where best fit puts it; what stands in a dissolved window is cut.
+            at = np.flatnonzero(rest)
+            window, offset, cut = p.places(rest[at], rank[at])
+            stay = at[~cut]
+            parts.append((k[stay], n[stay] - rest[stay], rest[stay], whole[stay], n[stay], window[~cut], offset[~cut], np.full(len(stay), -1)))
+            out, size = [], 4 * p.unit
+            for r in at[cut].tolist():
+                crcs, start0 = b.column("unit_crcs")[r].as_py(), int(n[r] - rest[r])
+                for start, length, seq, place, tape in p.place(int(rest[r]), int(rank[r])):
+                    first, last = start // p.unit, (start + length - 1) // p.unit
+                    crc = joined_crc([(crcs[j], min(size, 4 * (start + length) - j * size)) for j in range(first, last + 1)])
+                    out.append((int(k[r]), start0 + start, length, crc, int(n[r]), seq, place, tape))
+            parts.append(tuple(np.array(c, np.int64) for c in zip(*out)) if out else tuple(np.empty(0, np.int64) for _ in names))
+            yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(names, zip(*parts))})
+
+    placed = rows.join(ranks, ["pid", "rest"]).join(firsts, "pid").select("k", "n", "window_crcs", "unit_crcs", "rest_crc", "rest", (F.col("rank_base") + F.col("rank")).alias("rank"), (F.col("window_base") + F.col("windows_before")).alias("window_base"))
     pieces = scratch.write(placed.mapInArrow(run, PIECES), "pieces")
     # Cut documents follow each other in a gap; a gap holds window / unit of them at most.
     before = Window.partitionBy("sequence_id").orderBy("tape").rowsBetween(Window.unboundedPreceding, -1)

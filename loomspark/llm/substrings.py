@@ -3,7 +3,7 @@
 Difference-cover anchors: a document's words are hashed in short windows, but only where the position modulo a period
 is in a difference cover. For any two positions some shift below the period moves both into the cover, so any two equal
 passages of `span` words share an anchor of span - period + 1 words at a common place. Anchors that two documents
-share are found by an aggregation over those that a twice-seen filter (seen.py) suspects; only passages around them are extended: each window of `span` words near one is
+share are found by an aggregation; only passages around them are extended: each window of `span` words near one is
 hashed in full (96 bits), the lowest document of each hash is found by an aggregation too, and no pairs are made.
 
 Words are runs without ASCII white space, unchanged. Windows are judged on the input. Documents with one doc_id are no
@@ -14,60 +14,47 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, WordHash, doc_id, gram_hashes, keyed, mix, slices
-from loomspark.llm.seen import size_for, twice_seen
+from loomspark.llm.common import Scratch, WordHash, doc_id, gram_hashes, keyed, likely, mix, slices, unlikely
 
 SPAN = 50
-MAX_BITS = 1 << 28  # of the twice-seen filter, 32 MB
 #: A perfect difference set, every residue modulo the period is a difference of two of them.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
 
-def _anchors(batch: pa.RecordBatch, known: WordHash, span: int, period: int, cover: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, hashes, positions) of the anchors of each text that has a window."""
-    chosen = np.zeros(period, bool)
-    chosen[list(cover)] = True
-    for row, t in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-        words = t.split()
-        if len(words) >= span:
-            g = gram_hashes(known.of(words), span - period + 1)
-            at = np.flatnonzero(np.resize(chosen, len(g)))
-            yield row, g[at], at
-
-
-def suspects(rows: DataFrame, span: int = SPAN, period: int = PERIOD, cover: tuple[int, ...] = COVER, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, k, p): hash, document and position of anchors that more than one text may have: a twice-seen filter keeps the
-    others out of the shuffle."""
-    spark, rows = rows.sparkSession, rows.select("k", "text")
-
-    def hashes(batch):
-        known = WordHash()
-        for part in slices(batch):
-            for _, h, _ in _anchors(part, known, span, period, cover):
-                yield np.unique(h)
+def anchors(rows: DataFrame, span: int = SPAN, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """(a, k, p): the hash of each anchor, its document and position."""
+    size = span - period + 1
 
     def run(batches):
-        known = WordHash()
+        known, chosen = WordHash(), np.zeros(period, bool)
+        chosen[list(cover)] = True
         for b in (part for whole in batches for part in slices(whole)):
-            ks, out = b.column("k").to_numpy(), [[] for _ in range(3)]
-            for row, h, at in _anchors(b, known, span, period, cover):
-                hit = seen.value.has(h)
-                for c, v in zip(out, (h[hit].view(np.int64), np.full(int(hit.sum()), ks[row]), at[hit].astype(np.int32))):
-                    c.append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in zip(("a", "k", "p"), out)})
+            hs, ks, ps = [], [], []
+            for k, t in zip(b.column("k").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
+                words = t.split()
+                if len(words) < span:
+                    continue
+                g = gram_hashes(known.of(words), size)
+                at = np.flatnonzero(np.resize(chosen, len(g)))
+                hs.append(g[at])
+                ps.append(at)
+                ks.append(np.full(len(at), k))
+            if hs:
+                yield pa.RecordBatch.from_pydict({"a": np.concatenate(hs).view(np.int64), "k": np.concatenate(ks), "p": np.concatenate(ps).astype(np.int32)})
+
+    return rows.select("k", "text").mapInArrow(run, "a long, k long, p int")
+
 
-    # Words that are runs of blanks count too many, which only makes the filter larger.
-    words = rows.agg(F.sum(F.length("text") - F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) + 1)).first()[0] or 0
-    seen = spark.sparkContext.broadcast(twice_seen(rows, hashes, size_for(int(words) * len(cover) // period, 8, max_bits)))
-    return rows.mapInArrow(run, "a long, k long, p int")
+def copies(rows: DataFrame) -> DataFrame:
+    """(k, th): documents whose whole text a lower document has too. All their windows start there."""
+    marks = rows.select("k", "th", F.xxhash64(F.lit(1), "text").alias("th2"))
+    low = marks.groupBy("th", "th2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("th", "th2", "lo")
+    return marks.join(low, ["th", "th2"]).filter("k > lo").select("k", "th").distinct()
 
 
 def near_windows(rows: DataFrame, span: int = SPAN, period: int = PERIOD) -> DataFrame:
@@ -100,32 +87,37 @@ def near_windows(rows: DataFrame, span: int = SPAN, period: int = PERIOD) -> Dat
     return rows.select("k", own, "text", "ps").mapInArrow(run, "h1 long, h2 int, k long, th long, s int")
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, span: int = SPAN, max_bits: int = MAX_BITS) -> DataFrame:
-    """(k, th, starts): starts of windows that start in an earlier document too; th is 0 where k tells the text. What is
-    shared is written before it is joined with: of a join of two tables Spark splits what a hot passage has."""
-    rows = keyed(docs)
-    found = scratch.write(suspects(rows, span, max_bits=max_bits), "suspects")
-    shared = scratch.write(found.groupBy("a").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("a"), "shared")
-    near = found.join(shared, "a").groupBy("k").agg(F.collect_set("p").alias("ps"))
-    near = scratch.write(near.join(rows.select("k").groupBy("k").agg((F.count("*") > 1).alias("many")), "k"), "anchors", free=True)
-    scratch.drop("suspects", "shared")
-    windows = scratch.write(near_windows(rows.join(near, "k"), span), "windows", "zstd", free=True)
+def repeated_windows(rows: DataFrame, every: DataFrame, scratch: Scratch, span: int = SPAN) -> DataFrame:
+    """(k, th, starts): starts of windows of rows that start in an earlier row too; th is 0 where k tells the text among
+    every row. What is shared is written before it is joined with: of a join of two tables Spark splits what a hot passage has."""
+    shared = anchors(rows, span).groupBy("a").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("a")
+    shared = scratch.write(shared, "shared", free=True)
+    near = anchors(rows, span).join(shared, "a").groupBy("k").agg(F.collect_set("p").alias("ps"))
+    near = scratch.write(near.join(every.select("k").groupBy("k").agg((F.count("*") > 1).alias("many")), "k"), "anchors", free=True)
+    scratch.drop("shared")
+    windows = scratch.write(near_windows(likely(rows, near, ["k"], 1 << 25).join(near, "k"), span), "windows", "zstd", free=True)
+    scratch.drop("anchors")
     first = windows.groupBy("h1", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).filter("lo < hi").select("h1", "h2", "lo")
     first = scratch.write(first, "first", "zstd", free=True)
     again = windows.join(first, ["h1", "h2"]).filter("k > lo").groupBy("k", "th").agg(F.collect_set("s").alias("starts"))
     out = scratch.write(again, "starts", free=True)
-    scratch.drop("anchors", "windows", "first")
+    scratch.drop("windows", "first")
     return out
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(k, th, n_words, n_removed, kept): the words that stay, joined by spaces."""
-    starts = repeated_windows(docs, Scratch(spark, "substrings"), span).select(F.col("k").alias("sk"), F.col("th").alias("sth"), "starts")
+    scratch, rows = Scratch(spark, "substrings"), keyed(docs)
+    # Of equal texts the lowest document's alone is compared: the others lose what windows cover, which is all or nothing.
+    same = scratch.write(copies(rows), "copies")
+    own = likely(rows, same, ["k"]).join(same, ["k", "th"], "left_anti").unionByName(unlikely(rows, same, ["k"]))
+    starts = repeated_windows(own, rows, scratch, span).select("k", F.col("th").alias("sth"), "starts")
+    lost = scratch.write(starts.unionByName(same.select("k", F.col("th").alias("sth"), F.lit(None).cast("array<int>").alias("starts"))), "lost")
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole)):
             n, removed, kept = [], [], []
-            for t, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("starts").to_pylist()):
+            for t, hit, starts in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("hit").to_pylist(), b.column("starts").to_pylist()):
                 words = t.split()
                 n.append(len(words))
                 if starts:
@@ -134,12 +126,18 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, span: int = SPAN) ->
                     np.add.at(marks, s + span, -1)
                     stay = np.cumsum(marks[:-1]) == 0
                     words = [w for w, y in zip(words, stay.tolist()) if y]
+                elif hit and len(words) >= span:
+                    words = []
                 removed.append(n[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "th": b.column("th"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    own = (F.col("k") == F.col("sk")) & ((F.col("sth") == 0) | (F.col("sth") == F.col("th")))
-    return keyed(docs).join(starts, own, "left").select("k", "th", "text", "starts").mapInArrow(run, "k long, th long, n_words long, n_removed long, kept string")
+    # Only texts that may lose words are shuffled. A row's text is its own where th tells it apart.
+    hits = lost.select(F.col("k").alias("sk"), "sth", "starts", F.lit(True).alias("hit"))
+    mine = (F.col("k") == F.col("sk")) & ((F.col("sth") == 0) | (F.col("sth") == F.col("th")))
+    met = likely(rows, lost, ["k"]).join(hits, mine, "left").select("k", "th", "text", F.coalesce("hit", F.lit(False)).alias("hit"), "starts")
+    rest = unlikely(rows, lost, ["k"]).select("k", "th", "text", F.lit(False).alias("hit"), F.lit(None).cast("array<int>").alias("starts"))
+    return met.unionByName(rest).mapInArrow(run, "k long, th long, n_words long, n_removed long, kept string")
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ each attempt: only those that a finished task has reported count, so lost execut
 Readers memory-map shards of a mounted folder and read others through pyarrow's file systems.
 
 Nulls: a null text is an empty one, so its document holds the end id alone; a null doc_id sorts first.
-Equal doc_ids stay beside each other, by text. An empty table gives no shard and no row. Other columns are ignored.
+Equal doc_ids stay beside each other, by text; rows of one doc_id go to one shard, in the order of their texts. Whole texts
+are encoded, a few MB at a time; a very long one is written as one document. An empty table gives no shard and no row.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,16 +75,17 @@ class Encoder(Kept):
 
     The tokenizer of word_bpe files drops white space and never joins across it, so the ids of a text are those of
     its chunks; chunks seen of late are kept, and so are their words without stops, in lower case. Letters go straight
-    to the BPE model, all else through the whole tokenizer. Of any other tokenizer whole texts are encoded.
+    to the BPE model, all else through the whole tokenizer. Of any other tokenizer whole texts are encoded. Tasks of a
+    worker share one, so `limit` is what a worker may hold for good: some 150 bytes an entry, twice `limit` of them.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         super().__init__(limit)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.words = self.tok.model, Kept(limit // 2)
+        self.model = self.tok.model
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.by_chunk = drops_white_space(json.loads(self.tok.to_str()))
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,11 +97,11 @@ class Encoder(Kept):
 
     def _word(self, word: str) -> bytes:
         """The ids of lower-case letters, or of stops."""
-        if (found := self.words.get(word)) is None:
-            found = self.words.old.get(word)
-            if found is None:
+        key = word.encode()
+        if (found := self.get(key)) is None:
+            if (found := self.old.get(key)) is None:
                 found = self._packed([t.id for t in self.model.tokenize(word.translate(self.byte_chars))])
-            self.words.keep(word, found)
+            self.keep(key, found)
         return found
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -107,8 +110,9 @@ class Encoder(Kept):
         text = chunk.decode(errors="replace")
         if m := _PLAIN.fullmatch(text):
             word, stops = m.groups()
-            found = self._word(word.lower())
-            return self.keep(chunk, found + self._word(stops) if stops else found)
+            low = word.lower()
+            found = self._word(low)
+            return found if low == text else self.keep(chunk, found + self._word(stops) if stops else found)
         return self.keep(chunk, self._packed(self.tok.encode(text, add_special_tokens=False).ids))
 
     def encode(self, text: bytes) -> bytes:

@@ -7,6 +7,7 @@ from cases import docs, frame, rows, same
 import brute
 from loomspark.llm import linededup, substrings
 from loomspark.llm.common import Scratch, keyed
+from loomspark.llm.seen import SEGMENT, Filter
 
 TWICE = docs() + docs()[10:30] + [(None, "Share this\nnull id"), (None, None)]
 
@@ -22,7 +23,7 @@ def test_a_full_filter_changes_nothing(spark):
     gone = linededup.repeated_lines(frame(spark, data), Scratch(spark, "t"), 3, max_bits=SEGMENT)
     wide = linededup.repeated_lines(frame(spark, data), Scratch(spark, "t"), 3)
     assert sorted(gone.select("k", "th").collect()) == sorted(wide.select("k", "th").collect())
-    full = linededup.Filter(linededup.SEGMENT, bytes([255]) * (linededup.SEGMENT // 8))
+    full = Filter(SEGMENT, bytes([255]) * (SEGMENT // 8))
     every = linededup.suspects(keyed(frame(spark, data)), spark.sparkContext.broadcast(full))
     assert every.count() == sum(len({k for k in linededup.keys_of((t or "").encode()) if k}) for _, t in data)
 
@@ -58,3 +59,11 @@ def test_gram_hashes_tell_order():
         for i, h in enumerate(g.tolist()):
             assert seen.setdefault(h, tuple(w[i : i + n])) == tuple(w[i : i + n])
         assert len(seen) == len({tuple(w[i : i + n]) for i in range(len(g))})
+
+
+def test_copies_of_whole_texts(spark):
+    long, short, other = (" ".join(f"{p}{i}" for i in range(n)) for p, n in (("a", 80), ("b", 49), ("c", 120)))
+    tail = " ".join(f"a{i}" for i in range(20, 80))
+    data = [(5, long), (3, long), (9, long), (7, short), (8, short), (4, f"{other} {tail}"), (9, other), (11, other), (11, "x " + other), (None, tail), (12, tail), (3, long)]
+    got = rows(substrings.digest(substrings.dedup_substrings(spark, frame(spark, data))), "doc_id", "n_words", "n_removed", "kept_sha256")
+    same(got, [(None if i == -1 else i, *r) for i, *r in brute.op4([(-1 if i is None else i, t) for i, t in data])])
