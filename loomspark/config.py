@@ -86,8 +86,14 @@ FILE_ROLES = ("contract", "axiom", "debate", "ops", "evi")
 SUBBLOCKS = ("c", "d", "p", "e")
 ARCHIVED_REASONS = ("orphaned_dependency", "obsolete_logic", "superseded_contract", "merged_into_sibling", "duplicate_coverage")
 REQUIRED_FIELDS = {"archived": ("archived_reason",), "deprecated": ("archived_reason", "superseded_by")}
+ENUM_FIELDS = {"archived_reason": ARCHIVED_REASONS}
+ANCHOR_FIELDS = ("superseded_by",)
 MUTABLE_KEYS = ("status", "tags", "supersedes", "superseded_by")
 UNINDEXED = {"axioms": "info", "ops-internal": "info", "core-internal": "warn"}
+LEVELS = ("info", "warn", "fail")
+#: Named groups that patterns must have, in this order and no others; what is read by position has so many groups.
+PATTERN_GROUPS = {"spec_anchor": ("id",), "ref_callout_start": ("kind", "id", "title"), "file_naming": ("slug", "role", "locale")}
+PATTERN_COUNTS = {"heading": 2}
 
 
 def alternation(values) -> str:
@@ -95,6 +101,29 @@ def alternation(values) -> str:
     return "|".join(re.escape(v).replace("\\-", "-") for v in sorted(dict.fromkeys(values), key=len, reverse=True))
 
 
+def expanded(name: str, template: str, parts: dict[str, str]) -> str:
+    """A pattern template with {part} replaced, checked: nothing of the form {word} may be left (it would match its own
+    letters and nothing else), it must compile, and have the groups that are read from it. Groups lose their names, as
+    columns read them by number."""
+    if not isinstance(template, str) or not template:
+        raise ConfigError(f"pattern {name} must be a string")
+    out = template
+    for part, text in parts.items():
+        out = out.replace("{" + part + "}", text)
+    if left := re.findall(r"\{([a-z_]+)\}", out):
+        raise ConfigError(f"pattern {name}: unknown parts {sorted(set(left))}")
+    try:
+        made = re.compile(out)
+    except re.error as e:
+        raise ConfigError(f"pattern {name} does not compile: {e}") from e
+    wanted = PATTERN_GROUPS.get(name)
+    if wanted is not None and (tuple(made.groupindex) != wanted or made.groups != len(wanted)):
+        raise ConfigError(f"pattern {name}: groups {tuple(made.groupindex)}, not {wanted}")
+    if name in PATTERN_COUNTS and made.groups != PATTERN_COUNTS[name]:
+        raise ConfigError(f"pattern {name}: {made.groups} groups, not {PATTERN_COUNTS[name]}")
+    return re.sub(r"\(\?P<\w+>", "(", out)
+
+
 @dataclass(frozen=True)
 class Config:
     partitions: tuple[Partition, ...] = PARTITIONS
@@ -115,6 +144,16 @@ class Config:
     staging: str = "drafts"
     separator: str = "#"
     subblocks: tuple[str, ...] = SUBBLOCKS
+    dependent_roles: tuple[str, ...] = ("debate", "ops", "evi")
+    required_fields: dict = field(default_factory=lambda: dict(REQUIRED_FIELDS))
+    enum_fields: dict = field(default_factory=lambda: dict(ENUM_FIELDS))
+    anchor_fields: tuple[str, ...] = ANCHOR_FIELDS
+    mutable_keys: tuple[str, ...] = MUTABLE_KEYS
+    unindexed: dict = field(default_factory=lambda: dict(UNINDEXED))
+    unindexed_default: str = "warn"
+    lifecycle_severity: str = "fail"
+    naming_severity: str = "warn"
+    patterns: dict = field(default_factory=dict)  # name -> template, in place of the ones below
 
     def __post_init__(self):
         object.__setattr__(self, "partitions", tuple(p if p.path else replace(p, path=f"{self.root}/{p.scope}/{p.id}") for p in self.partitions))
@@ -135,10 +174,10 @@ class Config:
                 raise ConfigError(f"{p.id}: unknown flavor {p.flavor}")
             if p.pairs_with and p.pairs_with not in {q.id for q in self.partitions}:
                 raise ConfigError(f"{p.id}: pairs_with names no partition")
-        paths = sorted(p.path for p in self.partitions)
+        paths = sorted(p.path.split("/") for p in self.partitions)  # by parts, what lies inside a directory follows it
         for a, b in zip(paths, paths[1:]):
-            if a == b or b.startswith(a + "/"):
-                raise ConfigError(f"directories overlap: {a}, {b}")
+            if b[: len(a)] == a:
+                raise ConfigError(f"directories overlap: {'/'.join(a)}, {'/'.join(b)}")
         for r in self.roles:
             if not re.fullmatch("[A-Za-z0-9]+", r.token):
                 raise ConfigError(f"token {r.token!r} is not alphanumeric")
@@ -155,6 +194,40 @@ class Config:
         for t in self.targets:
             if not set(t.scopes) <= set(self.scopes):
                 raise ConfigError(f"target {t.id}: unknown scope")
+        if {r.role for r in self.roles} != set(self.dependent_roles):
+            raise ConfigError("callout roles and dependent roles differ")
+        if lost := set(self.dependent_roles) - set(self.file_roles):
+            raise ConfigError(f"no file can have the role {sorted(lost)}")
+        if not set(self.required_fields) <= set(self.statuses):
+            raise ConfigError("fields are required for unknown statuses")
+        needed = {f for fs in self.required_fields.values() for f in fs}
+        if odd := (set(self.enum_fields) | set(self.anchor_fields)) - needed:
+            raise ConfigError(f"no status requires {sorted(odd)}")
+        for what, level in (("unindexed default", self.unindexed_default), ("lifecycle", self.lifecycle_severity), ("naming", self.naming_severity), *self.unindexed.items()):
+            if level not in LEVELS:
+                raise ConfigError(f"{what}: level {level!r} is none of {LEVELS}")
+        if odd := set(self.unindexed) - {p.id for p in self.partitions}:
+            raise ConfigError(f"unindexed policy of unknown partitions {sorted(odd)}")
+        for name in self.patterns:
+            self.pattern(name)
+
+    def pattern(self, name: str) -> str | None:
+        """The configured pattern of a name, its parts filled in; None where the configuration has none."""
+        if name not in self.patterns:
+            return None
+        roles = lambda xs: alternation(xs)
+        parts = {
+            "composite_id": self.composite_pattern, "anchor_id": self.id_pattern, "domain_alt": alternation(p.domain for p in self.partitions),
+            "kind_alt": alternation(r.token for r in self.roles), "role_alt": roles(self.document_roles), "file_role_alt": roles(self.file_roles), "dependent_role_alt": roles(self.dependent_roles),
+            "subblock_letter_alt": alternation(self.subblocks), "composite_sep": re.escape(self.separator), "locale_alt": "|".join(map(re.escape, self.locales)) if self.suffixed else "",
+            "locale_sep": r"\." if self.suffixed else "", "extension_pattern": self.extension_pattern,
+        }
+        return expanded(name, self.patterns[name], parts)
+
+    @property
+    def extension_pattern(self) -> str:
+        each = [re.escape(e) for e in sorted(self.extensions, key=len, reverse=True)]
+        return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
 
     # Patterns, in the dialect that Java and RE2 share.
     @property
@@ -167,16 +240,16 @@ class Config:
 
     @property
     def heading_pattern(self) -> str:
-        return r"^(#{1,6})\s+(.*\S)\s*$"
+        return self.pattern("heading") or r"^(#{1,6})\s+(.*\S)\s*$"
 
     @property
     def anchor_pattern(self) -> str:
-        return rf"^\^({self.id_pattern})\s*$"
+        return self.pattern("spec_anchor") or rf"^\^({self.id_pattern})\s*$"
 
     @property
     def callout_pattern(self) -> str:
         """Groups: token, target, title."""
-        return rf"^>\s*\[!({alternation(r.token for r in self.roles)})-({self.composite_pattern}|{self.id_pattern})\]\s*(.*)$"
+        return self.pattern("ref_callout_start") or rf"^>\s*\[!({alternation(r.token for r in self.roles)})-({self.composite_pattern}|{self.id_pattern})\]\s*(.*)$"
 
     @property
     def reference_pattern(self) -> str:
@@ -191,7 +264,7 @@ class Config:
     @property
     def naming_pattern(self) -> str:
         locale = rf"\.({alternation(self.locales)})" if self.suffixed else "()"
-        return rf"^([^.]+)(?:\.({alternation(self.file_roles)}))?{locale}(?:{alternation(self.extensions)})$"
+        return self.pattern("file_naming") or rf"^([^.]+)(?:\.({alternation(self.file_roles)}))?{locale}(?:{alternation(self.extensions)})$"
 
     # Look-ups.
     def target(self, name: str) -> Target:
@@ -242,7 +315,15 @@ def load(folder: str) -> Config:
     if set(tokens) != set(shown) or set(tokens) != set(kinds["suffix_letters"]):
         raise ConfigError("the roles of aliases, letters and projection differ")
     locale = layout["filenames"].get("locale") or {}
-    lifecycle = rules["dependent_lifecycle"]
+    lifecycle, unindexed, naming = rules["dependent_lifecycle"], rules.get("unindexed_policy") or {}, rules["file_naming"]
+    enums = {}
+    for name, source in (lifecycle.get("enum_fields") or {}).items():
+        if not lifecycle.get(source):
+            raise ConfigError(f"{name}: no values under {source}")
+        enums[name] = tuple(lifecycle[source])
+    templates = {k: v for k, v in (rules.get("patterns") or {}).items() if k in PATTERN_GROUPS or k in PATTERN_COUNTS}
+    if naming.get("pattern"):
+        templates["file_naming"] = naming["pattern"]
     return Config(
         partitions=tuple(partition(p) for p in taxonomy["partitions"]),
         scopes={s["id"]: s["level"] for s in layout["scopes"]},
@@ -262,4 +343,14 @@ def load(folder: str) -> Config:
         staging=(layout.get("staging") or {}).get("root", "drafts"),
         separator=kinds["separator"],
         subblocks=tuple(kinds["subblock_letters"]),
+        dependent_roles=tuple(lifecycle["dependent_roles"]),
+        required_fields={k: tuple(v) for k, v in (lifecycle.get("conditional_requirements") or {}).items()},
+        enum_fields=enums,
+        anchor_fields=tuple(lifecycle.get("anchor_reference_fields") or ()),
+        mutable_keys=tuple((rules.get("payload_lock") or {}).get("mutable_frontmatter_keys") or ()),
+        unindexed=dict(unindexed.get("by_partition") or {}),
+        unindexed_default=unindexed.get("default", "warn"),
+        lifecycle_severity=lifecycle.get("severity", "fail"),
+        naming_severity=naming.get("severity", "warn"),
+        patterns=templates,
     )

@@ -11,7 +11,8 @@ from loomspark.functions.hashing import GENESIS, chain_hash
 def links(chain: DataFrame, block: int = 100_000) -> DataFrame:
     """chain (sequence, payload, timestamp, prev_hash, hash) with `fault`: gap, link, hash or null.
 
-    A row is held against the one before it: inside a block by a window, across blocks by a join of last rows."""
+    A row is held against the one before it: inside a block by a window, across blocks by a join of last rows. A null
+    hash is a fault of its row; a repeated sequence number is a gap."""
     rows = chain.withColumn("block", F.floor(F.col("sequence") / block))
     w = Window.partitionBy("block").orderBy("sequence")
     rows = rows.withColumns({"before": F.lag("sequence").over(w), "before_hash": F.lag("hash").over(w)})
@@ -21,8 +22,8 @@ def links(chain: DataFrame, block: int = 100_000) -> DataFrame:
     first = F.col("sequence") == 0
     fault = (
         F.when(~first & ~before.eqNullSafe(F.col("sequence") - 1), "gap")
-        .when(F.col("prev_hash") != F.when(first, F.lit(GENESIS)).otherwise(known), "link")
-        .when(F.col("hash") != chain_hash(F.col("payload"), F.col("timestamp"), F.col("sequence"), F.col("prev_hash")), "hash")
+        .when(~F.col("prev_hash").eqNullSafe(F.when(first, F.lit(GENESIS)).otherwise(known)), "link")
+        .when(F.col("hash").isNull() | ~F.col("hash").eqNullSafe(chain_hash(F.col("payload"), F.col("timestamp"), F.col("sequence"), F.col("prev_hash"))), "hash")
     )
     return rows.withColumn("fault", fault).drop("block", "before", "before_hash", "last", "last_hash")
 

@@ -24,7 +24,9 @@ def check_paths(paths: DataFrame) -> None:
 
 
 class Store:
-    """root/blobs (blob_id, content), root/trees/commit=... (rel_path, blob_id), root/refs/<branch>/<number> (commit)."""
+    """root/blobs/commit=... (blob_id, content; only blobs that were not there), root/trees/commit=... (rel_path, blob_id),
+    root/refs/<branch>/<number> (commit). A commit takes the number after that of the version it was made from, and
+    the file system gives a number to one writer."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -36,16 +38,20 @@ class Store:
         folder = self.path(f"{self.root}/refs/{branch}")
         return sorted(int(s.getPath().getName()) for s in self.fs.listStatus(folder)) if self.fs.exists(folder) else []
 
-    def tip(self, branch: str = "main") -> str | None:
+    def _tip(self, branch: str) -> tuple[int, str | None]:
+        """The number of the newest ref and its commit."""
         refs = self._refs(branch)
         if not refs:
-            return None
+            return 0, None
         stream = self.fs.open(self.path(f"{self.root}/refs/{branch}/{refs[-1]}"))
         try:
-            return stream.readUTF()
+            return refs[-1], stream.readUTF()
         finally:
             stream.close()
 
+    def tip(self, branch: str = "main") -> str | None:
+        return self._tip(branch)[1]
+
     def tree(self, commit: str | None, prefix: str = "", suffixes: tuple[str, ...] = ()) -> DataFrame:
         """(rel_path, blob_id)."""
         if commit is None:
@@ -59,8 +65,13 @@ class Store:
         """(rel_path, text)."""
         if commit is None:
             return self.spark.createDataFrame([], "rel_path string, text string")
-        blobs = self.spark.read.schema("blob_id string, content string").parquet(f"{self.root}/blobs").dropDuplicates(["blob_id"])
-        return self.tree(commit, prefix).join(blobs, "blob_id").select("rel_path", F.col("content").alias("text"))
+        # Writers at the same time may both have stored a blob: the first commit's counts, told without the contents.
+        first = self._blobs().groupBy("blob_id").agg(F.min("commit").alias("commit"))
+        wanted = self.tree(commit, prefix).join(first, "blob_id")
+        return wanted.join(self._blobs(), ["blob_id", "commit"]).select("rel_path", F.col("content").alias("text"))
+
+    def _blobs(self) -> DataFrame:
+        return self.spark.read.schema("blob_id string, content string, commit string").parquet(f"{self.root}/blobs")
 
     def changes(self, old: str | None, new: str | None) -> DataFrame:
         """(status, path, old_path), renames of equal content told."""
@@ -70,8 +81,9 @@ class Store:
         """files (rel_path, text) on top of the tip, without removals, or in place of all under replace_prefix. The tip
         must be `expected`. Returns the new commit, or the tip where nothing changes."""
         check_paths(files)
-        if self.tip(branch) != expected:
-            raise ConflictError(f"{branch} is at {self.tip(branch)}, not at {expected}")
+        number, found = self._tip(branch)
+        if found != expected:
+            raise ConflictError(f"{branch} is at {found}, not at {expected}")
         own = files.select("rel_path", blob_id(F.col("text")).alias("blob_id"), F.col("text").alias("content"))
         base = self.tree(expected)
         if replace_prefix is not None:
@@ -82,12 +94,16 @@ class Store:
         if expected is not None and not difference(self.tree(expected), tree).filter("change <> 'unchanged'").limit(1).count():
             return expected
         name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-        own.select("blob_id", "content").write.mode("append").parquet(f"{self.root}/blobs")
+        fresh = own.select("blob_id", "content").dropDuplicates(["blob_id"])
+        if self.fs.exists(self.path(f"{self.root}/blobs")):
+            fresh = fresh.join(self._blobs().select("blob_id"), "blob_id", "left_anti")
+        fresh.write.parquet(f"{self.root}/blobs/commit={name}")
         tree.write.parquet(f"{self.root}/trees/commit={name}")
-        number = (self._refs(branch) or [0])[-1] + 1
-        try:  # the file system lets one writer make the next number
-            out = self.fs.create(self.path(f"{self.root}/refs/{branch}/{number}"), False)
+        try:  # the file system lets one writer make the number that follows `expected`
+            out = self.fs.create(self.path(f"{self.root}/refs/{branch}/{number + 1}"), False)
         except Exception as e:
+            for part in ("blobs", "trees"):
+                self.fs.delete(self.path(f"{self.root}/{part}/commit={name}"), True)
             raise ConflictError(f"{branch} moved on") from e
         out.writeUTF(name)
         out.close()
