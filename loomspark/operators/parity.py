@@ -23,6 +23,17 @@ def locale_parity(nodes: DataFrame, left: str, right: str) -> DataFrame:
     return d.join(a, "partition", "full_outer")
 
 
+def artifact_diff(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, entries): fields in which two graphs' units differ, by (locale, anchor) and by (locale, anchor, kind,
+    ordinal); what only one side has is a `_row`. left, right: units as graph.units() gives them. A difference in order
+    never hides one in content, and the other way round."""
+    fields = ["title", "text", "layer", "status", "contract_status", "computed_status", "invalidated", "source_file"]
+    sides = [x.select("locale", F.col("anchor_id").alias("anchor"), "kind", F.col("ord.e").alias("ordinal"), *fields) for x in (left, right)]
+    contract = F.col("kind") == "contract"
+    nodes = field_diff(*[s.filter(contract) for s in sides], ["locale", "anchor"], fields)
+    return nodes, field_diff(*[s.filter(~contract) for s in sides], ["locale", "anchor", "kind", "ordinal"], fields)
+
+
 def only_in(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that only one side has."""
     return a.subtract(b), b.subtract(a)

@@ -1,7 +1,8 @@
 """Ranked retrieval over units: BM25 from postings, pinned anchors, one-hop expansion, prompt blocks.
 
-units: uid, kind, anchor_id, parent_anchor, title, text, ord, and what blocks show. An index is two tables and a row,
-so it can be written once and queried often; a query touches the postings of its terms only.
+units: uid, kind, anchor_id, parent_anchor, title, text, ord, and what blocks show. An index is two tables and a row
+(postings, document frequencies, totals), so it can be written once and queried often; a query touches the postings of
+its terms only, and lengths and frequencies are counted where the units are.
 """
 
 from __future__ import annotations
@@ -25,27 +26,51 @@ class Retriever(Protocol):
     def retrieve(self, query: str, limit: int) -> DataFrame: ...
 
 
-def postings(units: DataFrame, title: str | None = "title", text: str = "text", anchor: str | None = "anchor_id") -> DataFrame:
-    """(uid, len, term, tf): a title's words count twice, an anchor as a whole and in parts."""
+def bags(units: DataFrame, title: str | None = "title", text: str = "text", anchor: str | None = "anchor_id") -> DataFrame:
+    """(uid, bag, len) of each unit: its words; a title's count twice, an anchor as a whole and in parts."""
     bag = tokens(F.col(text))
     if title:
-        bag = F.concat(*[tokens(F.col(title))] * TITLE_WEIGHT, bag)
+        rows = units.select("uid", *([anchor] if anchor else []), bag.alias("bag"), tokens(F.col(title)).alias("head"))
+        bag = F.concat(*[F.col("head")] * TITLE_WEIGHT, "bag")
+    else:
+        rows = units.select("uid", *([anchor] if anchor else []), bag.alias("bag"))
+        bag = F.col("bag")
     if anchor:
         bag = F.concat(bag, anchor_tokens(F.col(anchor)))
-    rows = units.select("uid", bag.alias("bag")).select("uid", F.size("bag").alias("len"), F.explode("bag").alias("term"))
-    return rows.groupBy("uid", "len", "term").agg(F.count("*").alias("tf"))
+    return rows.select("uid", bag.alias("bag")).select("uid", "bag", F.size("bag").alias("len"))
+
+
+def _as_bags(units: DataFrame, **fields) -> DataFrame:
+    return units if "bag" in units.columns else bags(units, **fields)
+
+
+def postings(units: DataFrame, terms: list[str] | None = None, **fields) -> DataFrame:
+    """(uid, len, term, tf) of units, or of bags already made; of some terms, or all. A unit's words are counted where the
+    unit is: nothing is shuffled."""
+    bag = F.col("bag") if terms is None else F.filter("bag", lambda t: t.isin(terms))
+    # Sorted, a word's count is the distance to the next other one.
+    rows = _as_bags(units, **fields).select("uid", "len", F.array_sort(bag).alias("bag"))
+    first = F.filter(F.transform("bag", lambda t, i: F.when((i == 0) | (t != F.get("bag", i - 1)), F.struct(t.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+    rows = rows.select("uid", "len", F.size("bag").alias("n"), first.alias("first"))
+    each = F.transform("first", lambda x, i: F.struct(x["term"].alias("term"), (F.coalesce(F.get("first", i + 1)["at"], F.col("n")) - x["at"]).cast("long").alias("tf")))
+    return rows.select("uid", "len", F.explode(each).alias("x")).select("uid", "len", "x.term", "x.tf")
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
-    """(term, df)."""
+    """(term, df) of postings."""
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def totals(units: DataFrame, index: DataFrame) -> DataFrame:
-    """One row: n units (those without words too), their mean length."""
-    sizes = index.select("uid", "len").distinct().agg(F.sum("len").alias("words"))
-    n = units.agg(F.count("*").alias("n"))
-    return n.crossJoin(sizes).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg"))  # a row by a row
+def document_frequencies(units: DataFrame, **fields) -> DataFrame:
+    """(term, df) of units or bags, without making postings."""
+    rows = _as_bags(units, **fields).select(F.explode(F.array_distinct("bag")).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def totals(units: DataFrame, **fields) -> DataFrame:
+    """One row: n units (those without words too), their mean length. From units or bags; nothing but sums is shuffled."""
+    one = _as_bags(units, **fields).agg(F.count("*").alias("n"), F.sum("len").alias("words"))
+    return one.select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -53,11 +78,14 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
-    """(uid, score) of units that hold a term."""
-    hit = index.filter(F.col("term").isin(list(dict.fromkeys(terms))))
+    """(uid, score) of units that hold a term. A unit's parts are added in the query's order, so equal units tie."""
+    asked = list(dict.fromkeys(terms))
+    hit = index.filter(F.col("term").isin(asked))
     rows = hit.join(F.broadcast(term_frequencies(hit)), "term").crossJoin(F.broadcast(stats))  # a row a query term; one row
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return rows.groupBy("uid").agg(F.round(F.sum(part), 6).alias("score"))
+    at = F.array_position(F.array(*map(F.lit, asked)), F.col("term")) if asked else F.lit(0)
+    parts = rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), part.alias("part")))).alias("parts"))  # a part a query term
+    return parts.select("uid", F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["part"]).alias("score"))
 
 
 def top(scores: DataFrame, units: DataFrame, limit: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -80,8 +108,15 @@ class Bm25Retriever:
     seed_kinds: tuple[str, ...] = ("contract", "debate", "ops")
 
     def __post_init__(self):
-        self.index = postings(self.units).cache()
-        self.stats = totals(self.units, self.index)
+        self.bags = bags(self.units).cache()
+        self.stats = totals(self.bags)
+
+    def close(self) -> None:
+        """Frees the kept words; the retriever can still be asked, from the units."""
+        self.bags.unpersist()
+
+    def describe(self) -> dict:
+        return {"kind": "bm25", "k1": K1, "b": B, "title_weight": TITLE_WEIGHT, "seed_kinds": list(self.seed_kinds)}
 
     def retrieve(self, query: str, limit: int = 5) -> DataFrame:
         """(uid, score, reason, pos): anchors that the query names come first, whatever their kind."""
@@ -90,7 +125,8 @@ class Bm25Retriever:
         named = spark.createDataFrame([(a, i) for i, a in enumerate(anchors)], "anchor string, at int")
         first = self.units.filter("kind = 'contract'").groupBy(F.lower("anchor_id").alias("anchor")).agg(F.min_by("uid", "ord").alias("uid"))
         pinned = first.join(F.broadcast(named), "anchor").select("uid", F.lit(float("inf")).alias("score"), F.lit("anchor").alias("reason"), F.lit(0).alias("tier"), F.col("at").cast("long").alias("o"))
-        seeds = top(bm25(self.index, self.stats, [*terms, *(a for a in anchors if a not in terms)]), self.units, limit + len(anchors), self.seed_kinds)
+        asked = [*terms, *(a for a in anchors if a not in terms)]
+        seeds = top(bm25(postings(self.bags, asked), self.stats, asked), self.units, limit + len(anchors), self.seed_kinds)
         nth = F.row_number().over(Window.orderBy(F.desc("score"), "ord")).cast("long")  # limit + anchors rows
         seeds = seeds.withColumn("o", nth).join(pinned.select("uid"), "uid", "left_anti").select("uid", "score", F.lit("bm25").alias("reason"), F.lit(1).alias("tier"), "o")
         both = pinned.unionByName(seeds).orderBy("tier", "o").limit(max(limit, 0))

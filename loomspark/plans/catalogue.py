@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import hashing, ids, status, text
-from loomspark.operators import audit, blocks, changes, graph, integrity, layout, parity, retrieval
+from loomspark.operators import audit, blocks, changes, facade, graph, integrity, layout, parity, retrieval
 from loomspark.plans import bridge as b
+from loomspark.plans import compiler, gate
 from loomspark.plans.bridge import CONFIG, sql, table
+from loomspark.sources import artifacts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,8 +47,9 @@ def _units(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_UNITS_SQL} SELECT uid, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term), stats WHERE term IN ('the', 'onesen', 'erblest', 'andthe') GROUP BY uid, CAST(uid AS BIGINT) ORDER BY score DESC, CAST(uid AS BIGINT) LIMIT 20")
 def bm25_topk(spark, sf_dir):
     u = _units(spark, sf_dir)
-    index = retrieval.postings(u, anchor=None)
-    return retrieval.top(retrieval.bm25(index, retrieval.totals(u, index), TERMS), u, 20).select("uid", "score")
+    own = retrieval.bags(u, anchor=None)
+    scores = retrieval.bm25(retrieval.postings(own, TERMS), retrieval.totals(own), TERMS)
+    return retrieval.top(scores.withColumn("score", F.round("score", 6)), u, 20).select("uid", "score")
 
 
 _TURNS_SQL = """turns AS (SELECT conv_id || '-' || turn AS uid, CASE role WHEN 'user' THEN 'contract' WHEN 'assistant' THEN 'debate' ELSE 'ops' END AS kind, conv_id * 1000 + turn AS ord,
@@ -64,13 +67,14 @@ dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELE
 SELECT uid, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term) JOIN turns USING (uid), stats WHERE term IN ('the', 'and', 'of') AND kind = 'debate' GROUP BY uid, ord ORDER BY score DESC, ord LIMIT 15""")
 def bm25_seed_kinds(spark, sf_dir):
     u = _turns(spark, sf_dir)
-    index = retrieval.postings(u, title=None, anchor=None)
-    return retrieval.top(retrieval.bm25(index, retrieval.totals(u, index), ["the", "and", "of"]), u, 15, ("debate",)).select("uid", "score")
+    own, terms = retrieval.bags(u, title=None, anchor=None), ["the", "and", "of"]
+    scores = retrieval.bm25(retrieval.postings(own, terms), retrieval.totals(own), terms)
+    return retrieval.top(scores.withColumn("score", F.round("score", 6)), u, 15, ("debate",)).select("uid", "score")
 
 
 @query(f"WITH {_UNITS_SQL} SELECT term, df FROM dfs")
 def term_document_frequency(spark, sf_dir):
-    return retrieval.term_frequencies(retrieval.postings(_units(spark, sf_dir), anchor=None))
+    return retrieval.document_frequencies(_units(spark, sf_dir), anchor=None)
 
 
 @query(sql("SELECT spec_id AS anchor, title, CASE spec_id WHEN 'sop-p-10' THEN 1 WHEN 'spec-p-8' THEN 2 END AS pos FROM contracts WHERE spec_id IN ('sop-p-10', 'spec-p-8')", "contracts"))
@@ -261,25 +265,37 @@ def partition_rollup_summary(spark, sf_dir):
     return full.select("partition", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("docs", "nodes", "debates", "ops", "evidence")])
 
 
-@query(sql("""SELECT anchor, arg_max(src, (tier, ord)) AS src, arg_max(title, (tier, ord)) AS title FROM (SELECT spec_id AS anchor, 0 AS tier, ord, source_file AS src, title FROM contracts
-UNION ALL SELECT node_id, 1, ord, source_file, title FROM callouts WHERE target_id IN (SELECT spec_id FROM contracts)) GROUP BY 1""", "contracts", "callouts"))
+@query(sql("""SELECT spec_id AS anchor, source_file AS src, document_id, partition_id AS "partition", title, NULL AS parent_anchor FROM contracts
+UNION ALL SELECT k.node_id, x.source_file, x.document_id, x.partition_id, k.title, x.spec_id FROM contracts x JOIN (SELECT target_id, node_id, arg_max(title, (source_file, line_no)) AS title FROM callouts GROUP BY 1, 2) k ON k.target_id = x.spec_id""", "contracts", "callouts"))
 def anchor_index_lookup(spark, sf_dir):
     c = b.contracts(spark, sf_dir)
-    return graph.anchor_index(c, graph.attached(c, b.callouts(spark, sf_dir), CONFIG)).select("anchor", "src", "title")
+    rows = graph.attached(c, b.callouts(spark, sf_dir), CONFIG).withColumn("locale", F.lit("en"))
+    return graph.anchor_index(_nodes(c).withColumn("parent_anchor", F.lit(None).cast("string")), rows).drop("locale")
 
 
-def nested_graph(spark, sf_dir) -> DataFrame:
-    """The whole artifact of the bridge: one row a locale."""
+def _nodes(c: DataFrame) -> DataFrame:
+    """contracts of the bridge as nodes of one locale; all of a document's are in one file."""
+    place = F.struct("partition", "document_id", "line_no").alias("place")
+    return c.select("*", F.lit("en").alias("locale"), F.col("spec_id").alias("anchor_id"), F.col("source_file").alias("src"), F.col("document_id").alias("document_title"), F.col("content").alias("body"), place)
+
+
+def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = graph.layers(b.contracts(spark, sf_dir).withColumn("status", F.col("status_override")), "spec_id", None, CONFIG, spark)
-    e = graph.layers(_entries(spark, sf_dir), "anchor", "kind", CONFIG, spark).withColumn("body", F.col("content"))
-    own = graph.nested_entries(e, CONFIG, "node_id", "title", "body", "contract_status", "dependent_status", "computed_status", "invalidated", "layer")
+    e = graph.layers(_entries(spark, sf_dir), "anchor", "kind", CONFIG, spark)
+    return _nodes(c), e.withColumns({"body": F.col("content"), "targets": F.col("target_id"), "locale": F.lit("en")})
+
+
+def nested_graph(spark, sf_dir) -> DataFrame:
+    """The documents of the bridge, each with its nodes: a row a document."""
+    c, e = _layered(spark, sf_dir)
+    own = graph.nested_entries(e, CONFIG, *graph.ENTRY)
     rows = c.join(own, c.spec_id == own.anchor, "left")
     empty = lambda r: F.coalesce(r.graph_key, F.array().cast(own.schema[r.graph_key].dataType)).alias(r.graph_key)
-    node = F.struct(F.col("spec_id").alias("anchor_id"), "title", "layer", F.col("content").alias("body"), "status", "source_file", *[empty(r) for r in CONFIG.roles])
-    keys = [F.lit("en").alias("locale"), "partition", F.array().cast("array<string>").alias("tractate"), "document_id"]
+    node = F.struct("anchor_id", "title", "layer", "body", "status", F.lit(None).cast("string").alias("parent_anchor"), *[empty(r) for r in CONFIG.roles])
+    keys = ["locale", "partition", F.array().cast("array<string>").alias("tractate"), "document_id"]
     nodes = rows.select(*keys, F.struct("line_no", "spec_id").alias("node_ord"), node.alias("node"))
-    docs = c.groupBy("partition", "document_id").agg(F.min("source_file").alias("src")).select(*keys, F.struct(F.col("document_id").alias("title"), "src", F.lit("active").alias("status")).alias("doc"))
-    return graph.nested(nodes, docs, CONFIG, spark)
+    docs = c.groupBy("locale", "partition", "document_id").agg(F.min("src").alias("src")).select(*keys, F.struct(F.col("document_id").alias("title"), "src", F.lit("active").alias("status")).alias("doc"))
+    return graph.nested(nodes, docs, CONFIG)
 
 
 _LAYER_SQL = """CASE {k} WHEN 'contract' THEN (CASE flavor WHEN 'kernel' THEN 'KERNEL_CONTRACT' WHEN 'policy' THEN 'POLICY_CONTRACT' ELSE 'META_CONSTITUTION' END)
@@ -290,16 +306,15 @@ _LAYER_SQL = """CASE {k} WHEN 'contract' THEN (CASE flavor WHEN 'kernel' THEN 'K
 UNION ALL SELECT target_id || '#' || kind || '-' || (row_number() OVER (PARTITION BY target_id, kind ORDER BY source_file, line_no) - 1), kind, target_id, title, content, partition_id, computed_status FROM entries WHERE kind <> 'evi')
 SELECT uid, kind, anchor_id, title, text, id AS "partition", {_LAYER_SQL.format(k='kind')} AS layer, computed_status FROM u JOIN partitions ON partition_id = id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
 def flatten_units(spark, sf_dir):
-    u = graph.flattened(nested_graph(spark, sf_dir), CONFIG)
+    u = graph.units(*_layered(spark, sf_dir), CONFIG)
     return u.select("uid", "kind", "anchor_id", "title", "text", "partition", "layer", "computed_status")
 
 
 @query()
 def graph_digest(spark, sf_dir):
-    import json
-
-    rows = nested_graph(spark, sf_dir).select("locale", F.to_json("partitions", {"ignoreNullFields": "false"}).alias("j")).collect()  # the artifact itself
-    return spark.createDataFrame([(graph.graph_hash({r.locale: {"partitions": json.loads(r.j)} for r in rows}),)], "graph_hash string")
+    c, e = _layered(spark, sf_dir)
+    index = graph.anchor_index(c.withColumn("parent_anchor", F.lit(None).cast("string")), e)
+    return spark.createDataFrame([(artifacts.digest(nested_graph(spark, sf_dir), index, CONFIG, "internal", ["en"]),)], "graph_hash string")
 
 
 # --- parity and versions -----------------------------------------------------------------------------------------------
@@ -343,9 +358,9 @@ def parse_cache_misses(spark, sf_dir):
 
 @query(sql("SELECT h.spec_id, CASE WHEN i.spec_id IS NULL THEN 'removed' ELSE 'edited' END AS violation FROM head h LEFT JOIN idx i USING (spec_id) WHERE h.spec_id IN (SELECT target_id FROM callouts WHERE kind = 'debate') AND h.content IS DISTINCT FROM i.content", "contracts", "callouts", "versions"))
 def payload_lock_violations(spark, sf_dir):
-    head, index = b.head_index(spark, sf_dir)
+    head, index = (x.withColumn("locale", F.lit("en")) for x in b.head_index(spark, sf_dir))
     refs = changes.references(b.callouts(spark, sf_dir).filter("kind = 'debate'").withColumn("locale", F.lit("en")))
-    return changes.lock_violations(head, index, refs)
+    return changes.lock_violations(head, index, refs).select("spec_id", "violation")
 
 
 @query("SELECT event_id, 'k' AS name, k AS before, CASE WHEN event_id % 3 = 0 THEN k || '!' WHEN event_id % 5 = 0 THEN NULL END AS after FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) WHERE (event_id % 3 = 0 OR event_id % 5 = 0) AND k IS NOT NULL")
@@ -363,8 +378,12 @@ def status_transitions(spark, sf_dir):
 
 
 def _transitions(spark, sf_dir):
-    head, index = (x.select(F.lit("en").alias("locale"), F.col("spec_id").alias("anchor"), "status", F.col("source_file").alias("path")) for x in b.head_index(spark, sf_dir))
-    return changes.transitions(head, index, CONFIG)
+    head, index = b.head_index(spark, sf_dir)  # a file for each contract that both have, as its own path says
+    both = index.join(head.select("rel_path"), "rel_path", "left_semi")
+    now = both.select(F.lit("en").alias("locale"), F.col("spec_id").alias("anchor"), "status", "rel_path", F.col("source_file").alias("file"))
+    was = head.select(F.col("rel_path").alias("path"), F.col("spec_id").alias("anchor"), F.col("status").alias("before"))
+    got = changes.transitions(was, now.withColumnRenamed("rel_path", "path"), CONFIG)
+    return got.join(now.select("anchor", "file"), "anchor").select("locale", "anchor", F.col("file").alias("path"))
 
 
 @query(sql("""SELECT DISTINCT m.spec_id AS anchor, k.source_file AS dependent, CASE WHEN l_orderkey % 3 = 0 THEN 'not staged' ELSE 'still references' END AS reason
@@ -404,7 +423,10 @@ def likely_typos(spark, sf_dir):
 
 def _markdown(spark, sf_dir) -> DataFrame:
     """A file a brand, a block a part: heading, prose, a status line now and then, the anchor."""
-    c = b.contracts(spark, sf_dir)
+    return _rendered(b.contracts(spark, sf_dir))
+
+
+def _rendered(c: DataFrame) -> DataFrame:
     block = F.concat(F.lit("## "), "title", F.lit("\n"), "content", F.lit("\n\n"), F.coalesce(F.concat(F.lit("{status: "), "status_override", F.lit("}\n")), F.lit("")), F.lit("  ^"), "spec_id", F.lit("\n\nloose\n"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]), "")
     return c.groupBy(F.col("source_file").alias("rel_path")).agg(F.concat(F.lit("---\nstatus: active\n---\n\n# Doc "), F.first("document_id"), F.lit("\nIntro text.\n\n> [!ref-spec-1] early\n\n"), body).alias("text"))
@@ -457,28 +479,147 @@ def leak_gate(spark, sf_dir):
 _PAYLOAD_SQL = "event_type || '|' || user_id || '|' || CAST(round(value * 100) AS BIGINT)"
 
 
-@query(f"""WITH e AS (SELECT event_id, {_PAYLOAD_SQL} AS payload FROM events), d AS (SELECT event_id, payload, sha256(payload || CASE WHEN event_id % 97 = 0 THEN 'x' ELSE '' END) AS digest FROM e),
-c AS (SELECT event_id, payload, CASE WHEN event_id % 101 = 0 AND event_id > 0 THEN 'broken' ELSE coalesce(lag(digest) OVER (ORDER BY event_id), repeat('0', 64)) END AS prev, lag(digest) OVER (ORDER BY event_id) AS before FROM d)
-SELECT event_id AS sequence, sha256(payload || chr(0) || 't' || chr(0) || event_id || chr(0) || prev) AS expected, CASE WHEN prev <> coalesce(before, repeat('0', 64)) THEN 'link' ELSE 'hash' END AS fault FROM c""")
+@query(f"""WITH e AS (SELECT event_id AS s, {_PAYLOAD_SQL} AS payload, sha256({_PAYLOAD_SQL}) AS own FROM events),
+p AS (SELECT *, lag(own) OVER (ORDER BY s) AS own_before, lag(payload) OVER (ORDER BY s) AS payload_before FROM e),
+h AS (SELECT s, payload, CASE WHEN s % 2 = 0 THEN own ELSE sha256(payload || chr(0) || 't' || chr(0) || s || chr(0) || own_before) END AS hash, own_before FROM p),
+c AS (SELECT s, payload, hash, CASE WHEN s % 101 = 0 AND s > 0 THEN 'broken' ELSE coalesce(lag(hash) OVER (ORDER BY s), repeat('0', 64)) END AS prev FROM h),
+k AS (SELECT *, lag(s) OVER (ORDER BY s) AS sb, lag(hash) OVER (ORDER BY s) AS hb FROM c WHERE s % 50 <> 7),
+x AS (SELECT s, sha256(payload || chr(0) || 't' || chr(0) || s || chr(0) || prev) AS expected, hash, CASE WHEN s > 0 AND sb <> s - 1 THEN 'gap' WHEN prev <> coalesce(hb, repeat('0', 64)) THEN 'link' END AS f FROM k)
+SELECT s AS sequence, expected, coalesce(f, CASE WHEN hash <> expected THEN 'hash' END) AS fault FROM x""")
 def hash_chain_links(spark, sf_dir):
+    # Odd events are chained as they should be, even ones carry another hash; some are gone, some point elsewhere.
     e = table(spark, sf_dir, "events")
     payload = F.concat_ws("|", "event_type", F.col("user_id").cast("string"), F.round(F.col("value") * 100).cast("long").cast("string"))
-    e = e.select(F.col("event_id").alias("sequence"), payload.alias("payload"), F.lit("t").alias("timestamp"))
-    e = e.withColumn("hash", F.sha2(F.concat("payload", F.when(F.col("sequence") % 97 == 0, "x").otherwise("")), 256))
+    e = e.select(F.col("event_id").alias("sequence"), payload.alias("payload"), F.lit("t").alias("timestamp"), F.sha2(payload, 256).alias("own"))
+    before = e.select((F.col("sequence") + 1).alias("sequence"), F.col("own").alias("own_before"))
+    n = F.col("sequence")
+    e = e.join(before, "sequence", "left").withColumn("hash", F.when(n % 2 == 0, F.col("own")).otherwise(hashing.chain_hash(F.col("payload"), F.col("timestamp"), n, F.col("own_before"))))
     last = e.select((F.col("sequence") + 1).alias("sequence"), F.col("hash").alias("p"))
-    prev = F.when((F.col("sequence") % 101 == 0) & (F.col("sequence") > 0), "broken").otherwise(F.coalesce("p", F.lit(hashing.GENESIS)))
-    chain = e.join(last, "sequence", "left").withColumn("prev_hash", prev).drop("p")
+    prev = F.when((n % 101 == 0) & (n > 0), "broken").otherwise(F.coalesce("p", F.lit(hashing.GENESIS)))
+    chain = e.join(last, "sequence", "left").withColumn("prev_hash", prev).filter(n % 50 != 7)
     got = audit.links(chain, block=1000)
     return got.select("sequence", hashing.chain_hash(F.col("payload"), F.col("timestamp"), F.col("sequence"), F.col("prev_hash")).alias("expected"), "fault")
 
 
+def _collections(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """contracts as nodes; callouts as debates, told by their supplier which document they stand in."""
+    c = b.contracts(spark, sf_dir)
+    nodes = c.select(F.col("spec_id").alias("anchor_id"), "title", F.lit("contract").alias("layer"), F.col("content").alias("body"), "document_id", ids.domain_of(F.col("spec_id")).alias("domain"), F.lit("en").alias("locale"), F.concat(F.lit("Doc "), "document_id").alias("document_title"), F.lit("").alias("document_summary"), "source_file", "ord")
+    names = ["brand-11", "brand-12", "brand-13", "brand-21", "brand-22"]
+    supplier = F.regexp_extract("content", "by ([0-9]+)", 1).cast("int")
+    layer = F.when(F.col("kind") == "debate", "debate").when(F.col("kind") == "ops", "execution").otherwise("evidence")
+    debates = b.callouts(spark, sf_dir).select(F.col("target_id").alias("target_anchor_id"), F.get(F.array(*map(F.lit, names)), supplier % 5).alias("document_id"), F.lit("en").alias("locale"), layer.alias("layer"), "ord", "node_id", "title", F.col("content").alias("body"), "source_file")
+    return nodes, debates
+
+
+_DEBATES_SQL = "deb AS (SELECT target_id, kind, (['brand-11', 'brand-12', 'brand-13', 'brand-21', 'brand-22'])[l_suppkey % 5 + 1] AS document_id, node_id, ord FROM callouts)"
+
+
+@query(sql(f""", {_DEBATES_SQL}, n AS (SELECT c.partition_id, c.document_id, c.spec_id, c.ord, c.source_file, count(d.kind) FILTER (d.kind = 'debate') AS debates, count(d.kind) FILTER (d.kind = 'ops') AS ops, coalesce(string_agg(d.node_id, ',' ORDER BY d.ord) FILTER (d.kind = 'debate'), '') AS debate_ids
+ FROM contracts c LEFT JOIN deb d ON d.target_id = c.spec_id AND d.document_id = c.document_id GROUP BY ALL)
+SELECT p.id AS "partition", n.document_id, arg_min(n.source_file, n.ord) AS src, count(n.spec_id) AS node_count, coalesce(sum(n.debates), 0)::BIGINT AS debates, coalesce(sum(n.ops), 0)::BIGINT AS ops, string_agg(n.spec_id, ',' ORDER BY n.ord) AS anchors, string_agg(n.debate_ids, ';' ORDER BY n.ord) AS debate_ids
+ FROM partitions p LEFT JOIN n ON n.partition_id = p.id GROUP BY ALL""", "partitions", "contracts", "callouts").replace("\n, ", ", "))
+def facade_documents(spark, sf_dir):
+    d = facade.documents(*_collections(spark, sf_dir), CONFIG, spark, "en")
+    total = lambda name: F.aggregate(F.coalesce(F.transform("nodes", lambda n: F.size(n[name]).cast("long")), F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, x: a + x).alias(name)
+    joined = lambda f: F.array_join(F.transform("nodes", f), ",")
+    inner = F.array_join(F.transform("nodes", lambda n: F.array_join(F.transform(n["debates"], lambda x: x["node_id"]), ",")), ";")
+    return d.select("partition", "document_id", "src", F.col("node_count").cast("long").alias("node_count"), total("debates"), total("ops"), joined(lambda n: n["anchor_id"]).alias("anchors"), inner.alias("debate_ids"))
+
+
+@query(sql(f""", {_DEBATES_SQL} SELECT layer, coalesce(document_id, '-') AS document_id, count(*) AS n, count(domain) AS with_domain FROM (SELECT 'contract' AS layer, document_id, split_part(spec_id, '-', 1) AS domain FROM contracts
+UNION ALL SELECT CASE kind WHEN 'debate' THEN 'debate' WHEN 'ops' THEN 'execution' ELSE 'evidence' END, document_id, NULL FROM deb) GROUP BY 1, 2""", "contracts", "callouts").replace("\n, ", ", "))
+def facade_events(spark, sf_dir):
+    e = facade.events(*_collections(spark, sf_dir))
+    return e.groupBy("layer", F.coalesce("document_id", F.lit("-")).alias("document_id")).agg(F.count("*").alias("n"), F.count("domain").alias("with_domain"))
+
+
 @query(sql("""SELECT c.document_id, count(*) AS nodes, sum(coalesce(d.n, 0)) AS debates, arg_min(c.title, c.ord) AS title FROM contracts c
 LEFT JOIN (SELECT target_id, (['brand-11', 'brand-12', 'brand-13', 'brand-21', 'brand-22'])[l_suppkey % 5 + 1] AS document_id, count(*) AS n FROM callouts WHERE kind = 'debate' GROUP BY 1, 2) d ON d.target_id = c.spec_id AND d.document_id = c.document_id GROUP BY 1""", "contracts", "callouts"))
 def mongo_style_grouping(spark, sf_dir):
-    k = b.callouts(spark, sf_dir).filter("kind = 'debate'")
-    names = ["brand-11", "brand-12", "brand-13", "brand-21", "brand-22"]
-    supplier = F.regexp_extract("content", "by ([0-9]+)", 1).cast("int")
-    d = k.select("target_id", F.get(F.array(*map(F.lit, names)), supplier % 5).alias("document_id")).groupBy("target_id", "document_id").agg(F.count("*").alias("n"))
-    c = b.contracts(spark, sf_dir).withColumnRenamed("spec_id", "target_id")
-    rows = c.join(d, ["target_id", "document_id"], "left")
-    return rows.groupBy("document_id").agg(F.count("*").alias("nodes"), F.sum(F.coalesce("n", F.lit(0))).alias("debates"), F.min_by("title", "ord").alias("title"))
+    nodes, debates = _collections(spark, sf_dir)
+    rows = facade.looked_up(nodes, debates)
+    return rows.groupBy("document_id").agg(F.count("*").alias("nodes"), F.sum(F.size("debates")).alias("debates"), F.min_by("title", "ord").alias("title"))
+
+
+# --- whole corpora: files, through the parser, in two locales ----------------------------------------------------------
+def _corpus(spark, sf_dir) -> DataFrame:
+    """Files of the bridge: a contract file a document in en, the same without every seventh rule in vi, and a debate file
+    beside each in en that holds all callouts on the document's rules."""
+    c = b.contracts(spark, sf_dir)
+    en = _markdown(spark, sf_dir)
+    vi = _rendered(c.filter("ord % 7 <> 0").withColumn("source_file", F.regexp_replace("source_file", r"\.en\.md$", ".vi.md")))
+    k = b.callouts(spark, sf_dir).join(c.select(F.col("spec_id").alias("target_id"), F.col("source_file").alias("home")), "target_id")
+    block = F.concat(F.lit("> [!"), "token", F.lit("-"), "target_id", F.lit("] "), "title", F.lit("\n> "), "content", F.lit("\n\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))), lambda x: x["b"]), "")
+    notes = k.groupBy(F.regexp_replace("home", r"\.contract\.en\.md$", ".debate.en.md").alias("rel_path")).agg(F.concat(F.lit("---\nstatus: draft\n---\n\n"), body).alias("text"))
+    return en.unionByName(vi).unionByName(notes)
+
+
+def _compiled(spark, sf_dir):
+    return compiler.compiled(spark, layout.classified(_corpus(spark, sf_dir), CONFIG), CONFIG, "internal")
+
+
+_LOCALES_SQL = f"""{_ENTRIES_SQL.replace("f.status AS d", "'draft' AS d").replace("x.status_override AS c", "coalesce(x.status_override, 'active') AS c")},
+loc AS (SELECT 'en' AS locale, * FROM contracts UNION ALL SELECT 'vi', * REPLACE (regexp_replace(source_file, '\\.en\\.md$', '.vi.md') AS source_file) FROM contracts WHERE ord % 7 <> 0)"""
+
+
+@query(sql(f""", {_LOCALES_SQL} SELECT locale, partition_id AS "partition", document_id, 'Doc ' || document_id AS title, any_value(source_file) AS src, arg_min(content, ord) AS summary, count(*) AS node_count,
+ any_value((['@core-team', '@core-team', '@ops-lead', '@board-exec', '@core-team', '@ops-lead', '@board-exec', '@core-team'])[p.o + 1]) AS codeowner, 'active' AS status,
+ CASE locale WHEN 'en' THEN any_value(source_file) || ',' || replace(any_value(source_file), '.contract.', '.debate.') ELSE '' END AS files
+ FROM loc JOIN (SELECT id, ord AS o FROM partitions) p ON p.id = partition_id GROUP BY locale, partition_id, document_id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def compiled_documents(spark, sf_dir):
+    d = _compiled(spark, sf_dir).documents
+    one = lambda x: F.col(f"document.{x}").alias(x)
+    return d.select("locale", "partition", "document_id", one("title"), one("src"), one("summary"), F.col("document.node_count").cast("long").alias("node_count"), one("codeowner"), one("status"), F.coalesce(F.array_join("document.source_files", ","), F.lit("")).alias("files"))
+
+
+@query(sql(f""", {_LOCALES_SQL}, nth AS (SELECT *, target_id || '#' || kind || '-' || CASE kind WHEN 'debate' THEN 'd' WHEN 'ops' THEN 'p' ELSE 'e' END || lpad(CAST(row_number() OVER (PARTITION BY target_id, kind ORDER BY ord) AS VARCHAR), 2, '0') AS cid FROM entries)
+SELECT locale, spec_id AS anchor, source_file AS src, document_id, partition_id AS "partition", title, NULL AS parent_anchor FROM loc
+UNION ALL SELECT 'en', n.cid, x.source_file, x.document_id, x.partition_id, n.title, n.target_id FROM nth n JOIN contracts x ON x.spec_id = n.target_id""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def compiled_index(spark, sf_dir):
+    return _compiled(spark, sf_dir).index
+
+
+@query(sql(f""", {_LOCALES_SQL}, u AS (SELECT locale, spec_id AS uid, 'contract' AS kind, spec_id AS anchor_id, title, content AS text, partition_id AS "partition", coalesce(status_override, 'active') AS status, '' AS computed_status, source_file FROM loc
+UNION ALL SELECT 'en', target_id || '#' || kind || '-' || (row_number() OVER (PARTITION BY target_id, kind ORDER BY ord) - 1), kind, target_id, title, content, partition_id, 'draft', computed_status, NULL FROM entries)
+SELECT locale, uid, kind, anchor_id, title, text, "partition", status, computed_status FROM u""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def compiled_units(spark, sf_dir):
+    return _compiled(spark, sf_dir).units.select("locale", "uid", "kind", "anchor_id", "title", "text", "partition", "status", "computed_status")
+
+
+@query(sql(f""", {_LOCALES_SQL} SELECT DISTINCT locale, source_file AS path, 'orphan' AS code, 1 AS n FROM loc""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def compiled_diagnostics(spark, sf_dir):
+    d = _compiled(spark, sf_dir).diagnostics
+    return d.groupBy("locale", "path", "code").agg(F.count("*").cast("int").alias("n"))
+
+
+_MOVED_SQL = "moved AS (SELECT spec_id, ord, partition_id, title, content, CASE WHEN ord % 11 = 0 THEN 'docs/public/core' ELSE substr(source_file, 1, length(source_file) - length(regexp_extract(source_file, '/[^/]+$'))) END || '/new-' || document_id || '.en.md' AS f FROM contracts WHERE ord % 4 <> 0)"
+
+
+@query(sql(f""", {_MOVED_SQL}, hit AS (SELECT spec_id, min(f) AS path FROM moved WHERE ord % 3 = 0 GROUP BY 1)
+SELECT 'duplicate' AS code, path, '^' || spec_id AS subject FROM hit
+UNION ALL SELECT 'misplaced', m.f, '^' || m.spec_id FROM moved m JOIN partitions p ON p.id = m.partition_id WHERE m.ord % 11 = 0 AND p.id <> 'core'
+UNION ALL SELECT DISTINCT 'orphan', f, '^spec-none-' || ord FROM moved WHERE ord % 5 = 0 UNION ALL SELECT DISTINCT 'orphan', f, '^spec-1' FROM moved""", "partitions", "contracts").replace("\n, ", ", "))
+def draft_gate(spark, sf_dir):
+    """Drafts of new files: of rules that stand elsewhere too (every third), of some that belong elsewhere, with orphans."""
+    c = b.contracts(spark, sf_dir)
+    folder = F.when(F.col("ord") % 11 == 0, "docs/public/core").otherwise(F.regexp_replace("source_file", "/[^/]+$", ""))
+    drafts = _rendered(c.filter("ord % 4 <> 0").withColumns({"source_file": F.concat(folder, F.lit("/new-"), "document_id", F.lit(".en.md")), "content": F.when(F.col("ord") % 5 == 0, F.concat("content", F.lit("\n\n> [!ref-spec-none-"), F.col("ord").cast("string"), F.lit("] t\n> b"))).otherwise(F.col("content"))}))
+    corpus = _rendered(c.filter("ord % 3 = 0"))
+    found = gate.drafted(spark, drafts, corpus, CONFIG).filter("level = 'fail'")
+    return found.select("code", "path", F.regexp_extract("message", r"\^[a-z]+(?:-[a-z0-9]+)+", 0).alias("subject"))
+
+
+@query(sql("""SELECT 'lock' AS "check", 'en' AS locale, source_file AS path, spec_id AS subject, CASE WHEN ord % 17 <> 0 THEN 'edited' WHEN EXISTS (SELECT 1 FROM contracts o WHERE o.source_file = c.source_file AND o.ord % 17 <> 0) THEN 'removed' ELSE 'deleted' END AS reason FROM contracts c
+WHERE (ord % 17 = 0 OR ord % 13 = 0) AND EXISTS (SELECT 1 FROM callouts k WHERE k.target_id = c.spec_id)
+UNION ALL SELECT 'deprecation', 'en', replace(c.source_file, '.contract.', '.debate.'), c.spec_id, 'not staged' FROM contracts c
+WHERE ord % 17 <> 0 AND ord % 10 = 0 AND coalesce(status_override, 'active') NOT IN ('deprecated', 'archived') AND EXISTS (SELECT 1 FROM callouts k WHERE k.target_id = c.spec_id)""", "contracts", "callouts"))
+def commit_guard(spark, sf_dir):
+    """A version in which some rules are edited, some gone, some deprecated, against the one before it; vi does not change."""
+    c, before = b.contracts(spark, sf_dir), _corpus(spark, sf_dir)
+    n = F.col("ord")
+    now = c.filter("ord % 17 <> 0").withColumns({"content": F.when(n % 13 == 0, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content")), "status_override": F.when(n % 10 == 0, F.lit("deprecated")).otherwise(F.col("status_override"))})
+    gone = c.select(F.col("source_file").alias("rel_path")).distinct()
+    after = changes.upserted(before, _rendered(now), "rel_path", gone)  # a file that is left without rules goes
+    return gate.guarded(before, after, CONFIG)

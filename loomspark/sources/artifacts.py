@@ -1,9 +1,13 @@
-"""The graph artifact as a JSON file: one document, written by the driver behind the leak gate."""
+"""The graph artifact as a JSON file behind the leak gate. It is one file and one digest, so the driver writes it, but
+from rows that come in order: it holds a few documents at a time, never a locale."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.config import INVALIDATED, Config
-from loomspark.operators.graph import SCHEMA_VERSION, graph_hash
+from loomspark.operators.graph import SCHEMA_VERSION
 
 
 class LeakError(ValueError):
@@ -22,54 +26,185 @@ def serialize(graph: dict, indent: int | None = 2) -> str:
     return json.dumps(graph, ensure_ascii=False, indent=indent, allow_nan=False)
 
 
-def strings(value, at: str = "") -> Iterator[tuple[str, str]]:
-    """(location, string) of all strings, keys of maps too, depth first."""
+def strings(value, at: str = "", keys: bool = False) -> Iterator[tuple[str, str]]:
+    """(location, string) of all strings, depth first; keys of maps too where asked for."""
     if isinstance(value, str):
         yield at, value
     elif isinstance(value, dict):
         for k, v in value.items():
-            yield f"{at}.{k}", k
-            yield from strings(v, f"{at}.{k}")
+            if keys:
+                yield f"{at}.{k}", k
+            yield from strings(v, f"{at}.{k}", keys)
     elif isinstance(value, list):
         for i, v in enumerate(value):
-            yield from strings(v, f"{at}[{i}]")
-
-
-def restricted(graph: dict, prefixes: list[str], limit: int = 5) -> list[tuple[str, str]]:
-    return [x for x in strings(graph) if x[1].startswith(tuple(prefixes))][:limit] if prefixes else []
-
-
-def assembled(graphs: DataFrame, config: Config, scope: str, generated_at: str) -> dict:
-    """The artifact of nested locale graphs (locale, partitions); every locale of the configuration, no other."""
-    found = {r.locale: {"partitions": json.loads(r.j)} for r in graphs.select("locale", F.to_json("partitions", {"ignoreNullFields": "false"}).alias("j")).collect()}
-    if set(found) != set(config.locales):
-        raise ValueError(f"locales {sorted(found)}, not {sorted(config.locales)}")
-    ordered = {x: found[x] for x in config.locales}
-    nodes = sum(len(d["nodes"]) for g in ordered.values() for p in g["partitions"] for d in p["documents"])
-    meta = {"graph_hash": graph_hash(ordered), "generated_at": generated_at, "total_nodes": nodes, "status_values": list(config.statuses), "invalidated_state": INVALIDATED, "schema_version": SCHEMA_VERSION, "locales": list(config.locales)}
-    return {"scope": scope, **ordered, "metadata": meta}
-
-
-def write(graph: dict, path: str, prefixes: list[str], indent: int | None = 2) -> bool:
-    """Writes the artifact unless it is there already, byte for byte; whether it wrote."""
-    if found := restricted(graph, prefixes):
+            yield from strings(v, f"{at}[{i}]", keys)
+
+
+def _documents(documents: DataFrame) -> Iterator[tuple[str, str, dict]]:
+    """(locale, partition, document) in the artifact's order, streamed a partition of rows at a time."""
+    rows = documents.orderBy("locale", "partition", "tractate", "document_id").select("locale", "partition", F.to_json("document", {"ignoreNullFields": "false"}).alias("j"))
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        doc = json.loads(r.j)
+        if doc.get("source_files") is None:  # only documents of several files name them
+            doc.pop("source_files", None)
+        yield r.locale, r.partition, doc
+
+
+def _index(index: DataFrame) -> Iterator[tuple[str, str, dict]]:
+    for r in index.orderBy("locale", "anchor").toLocalIterator(prefetchPartitions=True):
+        yield r.locale, r.anchor, {"src": r.src, "document_id": r.document_id, "partition": r.partition, "title": r.title, "parent_anchor": r.parent_anchor}
+
+
+class _Rows:
+    """Rows of one sorted stream, taken by key in the order that the keys come."""
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.rows = rows
+        self.next = next(rows, None)
+
+    def of(self, *key: str) -> Iterator:
+        while self.next is not None and self.next[: len(key)] == key:
+            yield self.next[len(key) :]
+            self.next = next(self.rows, None)
+
+
+def _graph(docs: _Rows, index: _Rows, locale: str, partitions: list[dict], canonical: bool) -> Iterator[str]:
+    """The JSON text of one locale's graph, piece by piece. canonical: keys sorted, as the digest wants it."""
+    dump = lambda x: json.dumps(x, ensure_ascii=False, allow_nan=False, sort_keys=canonical)
+
+    def anchors() -> Iterator[str]:
+        yield '"anchor_index": {'
+        for i, (anchor, entry) in enumerate(index.of(locale)):
+            yield f"{', ' if i else ''}{dump(anchor)}: {dump(entry)}"
+        yield "}"
+
+    def every() -> Iterator[str]:
+        # The stream is sorted by partition id, the artifact by the configuration: what is early waits on disk.
+        held = {}
+        with tempfile.TemporaryDirectory() as folder:
+            for p in sorted(x["id"] for x in partitions):
+                held[p] = os.path.join(folder, p)
+                with open(held[p], "w", encoding="utf-8") as f:
+                    for i, (doc,) in enumerate(docs.of(locale, p)):
+                        f.write(f"{', ' if i else ''}{dump(doc)}")
+            yield '"partitions": ['
+            for i, p in enumerate(partitions):
+                head = [f"{dump(k)}: {dump(p[k])}" for k in ("id", "label", "scope")]
+                yield ", " if i else ""
+                yield "{" + ("" if canonical else ", ".join(head) + ", ") + '"documents": ['
+                with open(held[p["id"]], encoding="utf-8") as f:
+                    while part := f.read(1 << 20):
+                        yield part
+                yield "]" + (", " + ", ".join(head) if canonical else "") + "}"
+            yield "]"
+
+    yield "{"
+    for i, part in enumerate((anchors, every) if canonical else (every, anchors)):
+        yield ", " if i else ""
+        yield from part()
+    yield "}"
+
+
+def _partitions(config: Config, target: str) -> list[dict]:
+    emitted = set(config.emitted(target))
+    return [{"id": p.id, "label": p.label, "scope": p.scope} for p in config.partitions if p.id in emitted]
+
+
+def digest(documents: DataFrame, index: DataFrame, config: Config, target: str, locales: list[str] | None = None) -> str:
+    """SHA-256 of the canonical JSON of all locales' graphs. Rows are streamed in order: the driver holds one partition
+    of them at a time."""
+    docs, anchors, out = _Rows(_documents(documents)), _Rows(_index(index)), hashlib.sha256()
+    for i, locale in enumerate(sorted(locales or config.locales)):
+        out.update(f"{', ' if i else '{'}{json.dumps(locale)}: ".encode())
+        for part in _graph(docs, anchors, locale, _partitions(config, target), canonical=True):
+            out.update(part.encode())
+    out.update(b"}")
+    if docs.next is not None or anchors.next is not None:
+        raise ValueError("rows of locales or partitions that the artifact does not have")
+    return out.hexdigest()
+
+
+def restricted_rows(documents: DataFrame, index: DataFrame, prefixes: list[str], keys: bool = False, limit: int = 5) -> list[tuple[str, str]]:
+    """(location, string) of the first strings that begin with a restricted prefix, found in Spark: only rows that have
+    such a string come to the driver, `limit` of them."""
+    if not prefixes:
+        return []
+    hit = lambda c: c.rlike("|".join('"' + re.escape(json.dumps(p, ensure_ascii=False)[1:-1]) for p in prefixes))
+    found: list[tuple[str, str]] = []
+    for frame, at in ((documents, ("locale", "partition", "document_id")), (index, ("locale", "anchor"))):
+        j = F.to_json("document") if "document" in frame.columns else F.to_json(F.struct(*[c for c in frame.columns if c not in ("locale", "anchor")]))
+        rows = frame.select(*at, j.alias("j")).filter(hit(F.col("j"))).limit(limit)
+        for r in rows.collect():
+            found += [(".".join(map(str, r[:-1])) + where, s) for where, s in strings(json.loads(r.j), keys=keys) if s.startswith(tuple(prefixes))]
+    return found[:limit]
+
+
+def write(documents: DataFrame, index: DataFrame, path: str, config: Config, target: str, generated_at: str) -> bool:
+    """Writes the artifact of a target unless the same graph is there already; whether it wrote. Every locale of the
+    configuration is in it, and no other. A string of a scope that the target does not emit stops it."""
+    if found := restricted_rows(documents, index, config.restricted_prefixes(target)):
         raise LeakError("; ".join(f"{a}: {v}" for a, v in found))
-    text = serialize(graph, indent)
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if f.read() == text:
-                return False
+    scope = config.target(target).id
+    own = digest(documents, index, config, target)
+    if os.path.exists(path) and metadata(path).get("graph_hash") == own:
+        return False
+    nodes = documents.agg(F.coalesce(F.sum("document.node_count"), F.lit(0))).first()[0]
+    meta = {"graph_hash": own, "generated_at": generated_at, "total_nodes": nodes, "status_values": list(config.statuses), "invalidated_state": INVALIDATED, "schema_version": SCHEMA_VERSION, "locales": list(config.locales), "scope": scope}
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     fd, part = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(text)
+    docs, anchors, held = _Rows(_documents(documents)), _Rows(_index(index)), {}
+    with os.fdopen(fd, "w", encoding="utf-8") as f, tempfile.TemporaryDirectory() as folder:
+        for locale in sorted(config.locales):  # as they come; the file has them in the configuration's order
+            held[locale] = os.path.join(folder, f"{len(held)}")
+            with open(held[locale], "w", encoding="utf-8") as g:
+                g.writelines(_graph(docs, anchors, locale, _partitions(config, target), canonical=False))
+        f.write(f'{{"scope": {json.dumps(scope)}')
+        for locale in config.locales:
+            f.write(f", {json.dumps(locale)}: ")
+            with open(held[locale], encoding="utf-8") as g:
+                shutil.copyfileobj(g, f)
+        # Last and on one line, so that it can be read without the rest.
+        f.write(f',\n"metadata": {serialize(meta, None)}}}\n')
         f.flush()
         os.fsync(f.fileno())
     os.replace(part, path)
     return True
 
 
-def read(spark: SparkSession, path: str, locale: str, schema: str) -> DataFrame:
-    """(locale, partitions) of one locale; schema is that of partitions."""
-    rows = spark.read.option("multiLine", True).schema(f"`{locale}` struct<partitions:{schema}>").json(path)
-    return rows.select(F.lit(locale).alias("locale"), F.col(f"`{locale}`.partitions").alias("partitions"))
+def metadata(path: str) -> dict:
+    """The metadata of an artifact: its last line."""
+    with open(path, "rb") as f:
+        f.seek(0, os.SEEK_END)
+        f.seek(max(0, f.tell() - (1 << 16)))
+        last = f.read().decode("utf-8", "replace").rstrip().rpartition("\n")[2]
+    try:
+        return json.loads("{" + last)["metadata"]
+    except (ValueError, KeyError):
+        with open(path, encoding="utf-8") as f:
+            return json.load(f).get("metadata") or {}
+
+
+def declared_scope(path: str) -> str | None:
+    """The target that an artifact says it is of."""
+    meta = metadata(path)
+    if isinstance(meta.get("scope"), str):
+        return meta["scope"]
+    with open(path, encoding="utf-8") as f:
+        found = re.match(r'\s*\{\s*"scope"\s*:\s*("(?:[^"\\]|\\.)*")', f.read(4096))
+    return json.loads(found[1]) if found else None
+
+
+def languages(path: str) -> list[str]:
+    """The locales of an artifact."""
+    return sorted(metadata(path).get("locales") or [])
+
+
+def read(spark: SparkSession, path: str, locale: str, kind: str | None = None) -> DataFrame:
+    """(locale, partition, tractate, document_id, document) of one locale. kind is the type of `document`; without it the
+    file is read once more for its schema."""
+    reader = spark.read.option("multiLine", True)
+    if kind:
+        reader = reader.schema(f"`{locale}` struct<partitions:array<struct<id:string,label:string,scope:string,documents:array<{kind}>>>>")
+    parts = reader.json(path).select(F.explode(F.col(f"`{locale}`.partitions")).alias("p"))
+    rows = parts.select(F.lit(locale).alias("locale"), F.col("p.id").alias("partition"), F.explode("p.documents").alias("document"))
+    return rows.select("locale", "partition", F.col("document.tractate_path").alias("tractate"), F.col("document.document_id").alias("document_id"), "document")
