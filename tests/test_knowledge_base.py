@@ -20,7 +20,10 @@ C = Config()
         {"separator": "-"}, {"separator": "##"}, {"strictness": C.statuses[:4]}, {"invalidating": ("gone",)}, {"subblocks": ("c", "d", "p")},
         {"roles": (*C.roles, Role("more", "ref", "x", "c", C.roles[0].layers))}, {"roles": (dataclasses.replace(C.roles[0], token="r-f"), *C.roles[1:])},
         {"roles": (dataclasses.replace(C.roles[0], layers={"kernel": "X"}), *C.roles[1:])}, {"partitions": (*C.partitions, Partition("core", "", "z", "", "public", "kernel"))},
-        {"partitions": (*C.partitions, Partition("sub", "", "z", "", "public", "kernel", "docs/public/core/sub"))}, {"partitions": (Partition("a", "", "z", "", "nowhere", "kernel"),)},
+        {"partitions": (*C.partitions, Partition("sub", "", "z", "", "public", "kernel", "docs/public/core/sub"))},
+        {"partitions": (*C.partitions, Partition("x", "", "y", "", "public", "kernel", "docs/public/core-x"), Partition("sub", "", "z", "", "public", "kernel", "docs/public/core/sub"))},
+        {"dependent_roles": ("debate", "ops")}, {"file_roles": ("contract", "debate", "ops")}, {"required_fields": {"gone": ("x",)}}, {"enum_fields": {"other": ("x",)}}, {"unindexed": {"core": "bad"}}, {"unindexed": {"nowhere": "warn"}},
+        {"patterns": {"spec_anchor": r"^\^(?P<id>{anchor_di})$"}}, {"patterns": {"spec_anchor": r"^\^({anchor_id})$"}}, {"patterns": {"heading": "^(#+"}}, {"patterns": {"heading": r"^(#{1,6})\s+.*$"}}, {"partitions": (Partition("a", "", "z", "", "nowhere", "kernel"),)},
     ],
 )
 def test_bad_configurations_stop(change):
@@ -52,6 +55,10 @@ def test_globs():
     import re
 
     hit = lambda g, p: bool(re.match(text.glob_to_regex(g), p))
+    assert hit("a/**", "a") and not hit("a/**", "ab") and hit("**/drafts/**", "x/drafts")
+    for bad in ("", "/a", "a//b", "../a", "a/./b", "a**/b", "a\\b"):
+        with pytest.raises(ValueError):
+            text.glob_to_regex(bad)
     assert hit("**/x/*.md", "a/b/x/c.md") and hit("**/x/*.md", "x/c.md") and not hit("*.md", "a/b.md") and hit("a/**", "a/b/c") and not hit("a?", "a/")
 
 
@@ -106,6 +113,9 @@ def test_hash_chain(spark):
     assert audit.links(chain, block=4).filter("fault is not null").count() == 0
     assert tuple(audit.first_break(chain.withColumn("payload", F.when(F.col("sequence") == 7, "x").otherwise(F.col("payload")))).first()) == (7, "hash")
     assert tuple(audit.first_break(chain.filter("sequence <> 12")).first()) == (13, "gap")
+    none = lambda c, n: chain.withColumn(c, F.when(F.col("sequence") != n, F.col(c)))
+    assert tuple(audit.first_break(none("hash", 7)).first()) == (7, "hash") and tuple(audit.first_break(none("prev_hash", 7)).first()) == (7, "link")
+    assert audit.first_break(none("hash", 24)).first().sequence == 24
 
 
 def test_blob_ids_are_those_of_git(spark):
@@ -126,8 +136,24 @@ def test_store_commits_and_conflicts(spark, tmp_path):
     with pytest.raises(ValueError):
         s.commit(spark.createDataFrame([("../x", "")], "rel_path string, text string"), expected=two)
     bad = lambda c: c.filter("rel_path = 'bad'").select("rel_path", F.lit("no").alias("message"))
+    # Of two writers from one version the second one loses, however late it moves the pointer.
+    other, raced = snapshots.Store(spark, f"file://{tmp_path}"), []
+    tip = other._tip
+
+    def late(branch):
+        seen = tip(branch)
+        if not raced:
+            raced.append(s.commit(f(first="x"), expected=two))
+        return seen
+
+    other._tip = late
+    with pytest.raises(snapshots.ConflictError):
+        other.commit(f(second="y"), expected=two)
+    assert s.tip() == raced[0] and dict(map(tuple, s.texts(raced[0]).collect())) == {"a": "9", "c": "2", "first": "x"}
+    again = s.commit(f(copy="x"), expected=raced[0])
+    assert spark.read.parquet(f"{tmp_path}/blobs").groupBy("blob_id").count().filter("count > 1").count() == 0
     counts, done = snapshots.ingest(s, f(a="9", bad="x"), bad)
-    assert done is None and dict(map(tuple, counts.collect())) == {"unchanged": 1, "added": 1, "removed": 1}
+    assert done is None and dict(map(tuple, counts.collect())) == {"unchanged": 1, "added": 1, "removed": 3}
     counts, done = snapshots.ingest(s, f(a="9", d="x"), bad)
     assert done == s.tip() and dict(map(tuple, s.texts(done).collect())) == {"a": "9", "d": "x"}
 
@@ -147,22 +173,120 @@ def test_files_from_disk(spark, tmp_path):
 
 
 def test_artifact_round_trip(spark, tmp_path):
-    from loomspark.plans.catalogue import nested_graph
+    from loomspark.plans.catalogue import _layered, nested_graph
 
-    g = nested_graph(spark, "/root/testdata/sf0.001")
+    sf = "/root/testdata/sf0.001"
+    g = nested_graph(spark, sf).cache()
     both = g.unionByName(g.withColumn("locale", F.lit("vi")))
-    art = artifacts.assembled(both, C, "internal", "2024-01-01T00:00:00Z")
-    assert list(art) == ["scope", "vi", "en", "metadata"] and art["metadata"]["total_nodes"] == 400
+    index = graph.anchor_index(*(x.withColumn("parent_anchor", F.lit(None).cast("string")) for x in _layered(spark, sf))).cache()
+    index = index.unionByName(index.withColumn("locale", F.lit("vi")))
     path = str(tmp_path / "graph.json")
-    assert artifacts.write(art, path, []) and not artifacts.write(art, path, [])
-    kind = g.schema["partitions"].dataType.simpleString()
-    again = artifacts.read(spark, path, "en", kind)
-    assert graph.flattened(again, C).drop("ord").subtract(graph.flattened(g, C).drop("ord")).count() == 0
+    write = lambda d, i, target="internal": artifacts.write(d, i, path, C, target, "2024-01-01T00:00:00Z")
+    assert write(both, index) and not write(both, index)
+    art = json.loads((tmp_path / "graph.json").read_text())
+    assert list(art) == ["scope", "vi", "en", "metadata"] and art["metadata"]["total_nodes"] == 400
+    assert [p["id"] for p in art["en"]["partitions"]] == [p.id for p in C.partitions] and list(art["en"]["partitions"][0]) == ["id", "label", "scope", "documents"]
+    assert art["metadata"]["graph_hash"] == graph.graph_hash({x: art[x] for x in ("vi", "en")}) and artifacts.metadata(path) == art["metadata"]
+    assert artifacts.declared_scope(path) == "internal" and artifacts.languages(path) == ["en", "vi"]
+    node = art["en"]["partitions"][0]["documents"][0]["nodes"][0]
+    assert art["en"]["anchor_index"][node["debates"][0]["node_id"]]["parent_anchor"] == node["anchor_id"] and tuple(node["debates"][0]) == graph.ENTRY
+    kind = g.schema["document"].dataType.simpleString()
+    for again in (artifacts.read(spark, path, "en", kind), artifacts.read(spark, path, "en")):
+        assert again.count() == g.count()
+    units = lambda d: graph.flattened(d, C).drop("ord")
+    again = units(artifacts.read(spark, path, "en", kind))
+    assert again.subtract(units(g)).count() == 0 and units(g).subtract(again).count() == 0
+    flat = graph.units(*_layered(spark, sf), C).drop("ord")
+    assert flat.select(again.columns).subtract(again).count() == 0 and flat.count() == again.count()
     with pytest.raises(artifacts.LeakError):
-        artifacts.write(art, path, C.restricted_prefixes("public"))
+        write(both.filter("partition in ('core', 'adr', 'ops')"), index.filter("partition in ('core', 'adr', 'ops')"), "public")
     with pytest.raises(ValueError):
-        artifacts.assembled(g, C, "internal", "")
+        artifacts.digest(g, index.filter("locale = 'en'"), C, "public", ["en"])
     assert json.loads(artifacts.serialize({"b": None, "a": "é"})) == {"b": None, "a": "é"}
+    assert list(artifacts.strings({"a": ["x", {"b": "y"}]})) == [(".a[0]", "x"), (".a[1].b", "y")]
+    from loomspark.plans import ask
+
+    asked = graph.flattened(artifacts.read(spark, path, "en", kind), C)
+    with pytest.raises(ask.ScopeError):
+        ask.checked_scope(path, asked, C)
+    assert ask.checked_scope(path, asked, C, internal=True) == "internal"
+    (tmp_path / "old.json").write_text('{"en": {"partitions": []}, "metadata": {}}')
+    with pytest.raises(ask.ScopeError):
+        ask.checked_scope(str(tmp_path / "old.json"), asked, C)
+    assert ask.checked_scope(str(tmp_path / "old.json"), asked.limit(0), C) == "unknown"
+    with pytest.raises(ValueError):
+        ask.retriever_of("none", asked)
+
+
+def test_words_are_composed_and_folded(spark):
+    import unicodedata
+
+    words = ["GIỚI HẠN", unicodedata.normalize("NFD", "Giới hạn"), "Straße STRASSE", "ΣΊΣΥΦΟΣ", "ﬁn İx ŉa", "ſet", "Ж́ж", "東京 ソ", "K e\u0301"]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, t string").select("i", text.tokens(F.col("t")).alias("x")).orderBy("i").collect()
+    import regex
+
+    assert [r.x for r in got] == [regex.findall(r"[\p{L}\p{N}_]+", unicodedata.normalize("NFC", w).casefold()) for w in words]
+
+
+def test_scores_are_not_rounded_and_equal_ones_tie(spark):
+    rows = [(str(i), "a b c", i) for i in range(30)] + [("x", "a b c " + "d " * 3, 99)]
+    u = spark.createDataFrame(rows, "uid string, text string, ord int")
+    own = retrieval.bags(u, title=None, anchor=None)
+    scores = retrieval.bm25(retrieval.postings(own), retrieval.totals(own), ["c", "a", "b"])
+    got = {r.uid: r.score for r in scores.collect()}
+    assert len({got[str(i)] for i in range(30)}) == 1 and got["0"] != round(got["0"], 6) and got["x"] < got["0"]
+    assert sorted(map(tuple, retrieval.postings(own, ["a", "zz"]).collect()))[0] == ("0", 3, "a", 1)
+    assert dict(map(tuple, retrieval.document_frequencies(own).collect())) == {"a": 31, "b": 31, "c": 31, "d": 1}
+
+
+def test_evidence_files_have_a_lifecycle(spark):
+    from loomspark.plans.compiler import linted
+
+    f = [("docs/public/core/a.evi.en.md", "---\nstatus: archived\n---\n"), ("docs/public/core/a.contract.en.md", "---\nstatus: archived\n---\n"), ("docs/public/core/b.ops.en.md", "---\nstatus: deprecated\narchived_reason: obsolete_logic\nsuperseded_by: \u00a0\n---\n")]
+    d = layout.classified(spark.createDataFrame(f, "rel_path string, text string"), C).withColumn("front", files.front_matter("text"))
+    got = sorted((r.path.rsplit("/", 1)[-1], r.message) for r in linted(d, C, spark).filter("code = 'lifecycle'").collect())
+    assert got == [("a.evi.en.md", "archived_reason: missing"), ("b.ops.en.md", "superseded_by: missing")]
+
+
+def test_lint_keeps_locales_apart(spark):
+    from loomspark.plans.compiler import linted
+
+    body = "# T\n## A\nx\n^spec-1\n"
+    two = [("docs/public/core/a.en.md", body), ("docs/public/core/a.vi.md", body)]
+    own = lambda fs: layout.classified(spark.createDataFrame(fs, "rel_path string, text string"), C)
+    assert linted(own(two), C, spark).count() == 0
+    got = linted(own([*two, ("docs/public/adr/b.en.md", body)]), C, spark).collect()
+    assert sorted((r.path.rsplit("/", 1)[-1], r.code) for r in got) == [("a.en.md", "duplicate"), ("b.en.md", "duplicate"), ("b.en.md", "misplaced")]
+
+
+def test_configuration_is_read(tmp_path):
+    import yaml
+
+    from loomspark import config
+
+    taxonomy = {"config_version": "1.0.0", "partitions": [{"id": "core", "label": "Core", "domain": "spec", "codeowner": "@a", "scope": "public", "flavor": "kernel"}]}
+    plan = {"layout_version": "1.0.0", "root": "docs", "scopes": [{"id": "public", "level": 0, "path": "open"}], "targets": [{"id": "public", "scopes": ["public"], "artifact": "g.json"}], "filenames": {"extensions": [".md"], "locale": {"mode": "suffix", "values": ["en"]}}}
+    layers = {"kernel": "K"}
+    projection = {"config_version": "1.0.0", "callout_kinds": {"debate": {"graph_key": "debates", "layer_by_flavor": layers}}, "node_projection": {"contract": {"layer_by_flavor": layers}}}
+    rules = {
+        "config_version": "1.0.0", "document_roles": ["contract", "debate"], "status_values": ["active", "archived"], "file_naming": {"roles": ["contract", "debate"], "severity": "fail", "pattern": "^(?P<slug>[a-z]+)(?:\\.(?P<role>{file_role_alt}))?{locale_sep}(?P<locale>{locale_alt}){extension_pattern}$"},
+        "callout_kinds": {"aliases": {"cite": "debate"}, "suffix_letters": {"debate": "d"}, "separator": "#", "subblock_letters": ["c", "d"]},
+        "dependent_lifecycle": {"dependent_roles": ["debate"], "reasons": ["old"], "conditional_requirements": {"archived": ["why", "by"]}, "enum_fields": {"why": "reasons"}, "anchor_reference_fields": ["by"], "strictness_order": ["active", "archived"], "invalidating_parent_states": ["archived"], "severity": "warn"},
+        "payload_lock": {"mutable_frontmatter_keys": ["status"]}, "unindexed_policy": {"default": "info", "by_partition": {"core": "fail"}}, "patterns": {"spec_anchor": "^@(?P<id>{anchor_id})$", "heading": "^(#{1,6})\\s+(.*\\S)\\s*$", "not_read": "{odd"},
+    }
+
+    def load(**changed):
+        for name, value in (("taxonomy.yaml", taxonomy), ("corpus_layout.yaml", plan), ("ui_projection.yaml", projection), ("linter_rules.json", rules | changed)):
+            (tmp_path / name).write_text(json.dumps(value) if name.endswith(".json") else yaml.safe_dump(value))
+        return config.load(str(tmp_path))
+
+    c = load()
+    assert (c.required_fields, c.enum_fields, c.anchor_fields, c.mutable_keys) == ({"archived": ("why", "by")}, {"why": ("old",)}, ("by",), ("status",))
+    assert (c.unindexed, c.unindexed_default, c.lifecycle_severity, c.naming_severity, c.dependent_roles) == ({"core": "fail"}, "info", "warn", "fail", ("debate",))
+    assert c.anchor_pattern == "^@((?:spec)(?:-[A-Za-z0-9]+)+)$" and c.naming_pattern == r"^([a-z]+)(?:\.(contract|debate))?\.(en)\.md$"
+    for bad in ({"patterns": {"spec_anchor": "^@{anchor_id}$"}}, {"dependent_lifecycle": rules["dependent_lifecycle"] | {"dependent_roles": ["ops"]}}, {"dependent_lifecycle": rules["dependent_lifecycle"] | {"enum_fields": {"why": "gone"}}}, {"unindexed_policy": {"default": "loud"}}):
+        with pytest.raises(ConfigError):
+            load(**bad)
 
 
 def test_cache(spark):
