@@ -323,16 +323,16 @@ def links(rows: DataFrame, classes: DataFrame, scratch: Scratch, size: int, perc
         gone = scratch.write(deep.unionByName(pivots.select("region", "x")).distinct(), f"gone-{r}")
         roots, r = joined(near, roots, f"groups-{r}"), r + 1
         state = state.select("region", "x", "n", "pos", "early").join(gone, ["region", "x"], "left_anti")
-    left = rest[0]
+    # Once more each member's best partner first, then what that leaves apart. (Pairs of regions are of two groups.)
+    apart = lambda pairs: tagged(tagged(pairs, roots, "x", "gx"), roots, "y", "gy").filter("gx <> gy")
+    left = apart(rest[0]).select("x", "y", "m")
     for p in rest[1:]:
         left = left.unionByName(p)
-    # Once more each member's best partner first, then what that leaves apart.
-    apart = lambda: tagged(tagged(left, roots, "x", "gx"), roots, "y", "gy").filter("gx <> gy")
-    left = scratch.write(apart().select("x", "y", "m"), "rest")
+    left = scratch.write(left, "rest")
     both = left.unionByName(left.select(F.col("y").alias("x"), F.col("x").alias("y"), "m"))
     best = both.groupBy("x").agg(F.max(F.struct("m", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct()
     roots = joined(linked(best, sets, percent, scratch, "links-best"), roots, "groups-best")
-    left = apart().select("x", "y").distinct()
+    left = apart(left).select("x", "y").distinct()
     last = linked(left, sets, percent, scratch, "links-last").select(F.col("x").alias("u"), F.col("y").alias("v"))
     return last.unionByName(roots)
 
@@ -371,7 +371,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 5, percent: in
     named = F.col("doc_id").isNotNull()
     rows = docs.filter(named | worded).withColumns({k: F.col("doc_id").cast("long"), th: F.xxhash64(F.coalesce("text", F.lit("")))})
     shared = rows.filter(named).groupBy(k).agg(F.min(th).alias(low), F.max(th).alias("high")).filter(F.col(low) < F.col("high")).drop("high")
-    rows = rows.join(shared, k, "left")
+    # Written, so that its size is known: a few ids are broadcast, and texts are shuffled only where they are many.
+    rows = rows.join(Scratch(spark, "ids").write(shared, "shared"), k, "left")
     behind = lambda *x: F.lit(2**63 - 1) - F.shiftrightunsigned(F.xxhash64(*x), 2)
     rows = rows.withColumn(k, F.when(~named, behind(th)).when(F.col(th) > F.col(low), behind(k, th)).otherwise(F.col(k)))
     kept = groups(spark, rows.select(F.col(k).alias("doc_id"), "text"), size, percent).filter("k = component").select(F.col("k").alias(k)).distinct()

@@ -79,7 +79,7 @@ class Encoder(Kept):
     worker share one, so `limit` is what a worker may hold for good: some 150 bytes an entry, twice `limit` of them.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 300_000):
         super().__init__(limit)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
