@@ -1,4 +1,4 @@
-"""The thin queries op1_ ... op10_ over the documents table, and their SQL where SQL can express them."""
+"""The thin queries op1_ ... op13_ over the documents table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -83,7 +83,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "failed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op7_language_id, op8_jaccard_join, op9_license_scan, op10_quality_rules)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.merkle import leaf, manifest, siblings, verified
+
+    touched = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    rows = manifest(spark, documents(spark, sf_dir), carry={"tampered": F.when(touched, leaf(n_chars=F.col("n_chars") + 1))})
+    rows = verified(rows, F.coalesce("tampered", "leaf"))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("steps")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.fingerprints import digest, fingerprinted
+
+    return digest(fingerprinted(spark, documents(spark, sf_dir)))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspark.llm.search import ranked_documents
+
+    return ranked_documents(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("tier")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op2_line_dedup, op3_secret_scan, op4_substring_dedup, op5_decontamination, op6_packing, op7_language_id, op8_jaccard_join, op9_license_scan, op10_quality_rules, op11_merkle_manifest, op12_document_fingerprints, op13_lexical_search)}
 
 _SPACE = "'[^\\x20\\x09-\\x0D]+'"
 _ASCII = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,4 +157,37 @@ dl AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS dup F
 m AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(r, 0) AS n_repeat_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id)),
 f AS (SELECT *, CAST(n_words < 50 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS BIGINT) + 4 * CAST(10 * n_symbols > n_words AS BIGINT) + 8 * CAST(100 * n_dup_lines > 30 * n_lines AS BIGINT) + 16 * CAST(word_chars < 2 * n_words AS BIGINT) + 32 * CAST(word_chars > 15 * n_words AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 > 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
+    # t: nodes by level and place; f: the fold of one leaf, a level at a time; the trees of a group and over the groups alike.
+    "op11_merkle_manifest": """
+WITH RECURSIVE d AS (SELECT *, encode(CAST(doc_id AS VARCHAR)) AS b FROM documents),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(b) + 1), lambda i: CAST(ord(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+  lambda c, x: xor(c >> 8, list_reduce(list_prepend(xor(c & 255, x), [CAST(0 AS BIGINT) for i in range(8)]), lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)))), 4294967295) AS crc FROM d),
+x AS (SELECT doc_id, coalesce('=' || lang, '') AS g, CASE WHEN crc % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS m, n_chars, source, lang, text FROM d JOIN crc USING (doc_id)),
+y AS (SELECT doc_id, g, {id} || {src} || {lang} AS head, {n} AS own, {m} AS odd, {text} AS tail FROM x),
+l AS (SELECT doc_id, g, sha256(head || own || tail) AS leaf, sha256(head || odd || tail) AS odd, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i FROM y),
+t(lv, g, i, h, n) AS (SELECT 0, g, i, leaf, count(*) OVER (PARTITION BY g) FROM l
+  UNION ALL SELECT lv + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY lv, g, i // 2),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lv, i, h, n) AS (SELECT 0, i, h, n FROM s
+  UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY lv, i // 2),
+p AS (SELECT doc_id, 0 AS part, t.lv, l.i >> t.lv AS pos, o.h AS other FROM l JOIN t ON t.g = l.g AND t.i = l.i >> t.lv AND t.n > 1 LEFT JOIN t o ON o.g = t.g AND o.lv = t.lv AND o.i = xor(t.i, 1)
+  UNION ALL SELECT doc_id, 1, u.lv, s.i >> u.lv, o.h FROM l JOIN s USING (g) JOIN u ON u.i = s.i >> u.lv AND u.n > 1 LEFT JOIN u o ON o.lv = u.lv AND o.i = xor(u.i, 1)),
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, lv) AS k FROM p),
+f(doc_id, k, h) AS (SELECT doc_id, 0, odd FROM l
+  UNION ALL SELECT f.doc_id, f.k + 1, sha256(CASE WHEN pos % 2 = 1 THEN other || f.h ELSE f.h || coalesce(other, '') END) FROM f JOIN q ON q.doc_id = f.doc_id AND q.k = f.k + 1),
+e AS (SELECT doc_id, arg_max(h, k) AS folded FROM f GROUP BY doc_id),
+z AS (SELECT doc_id, string_agg(other, '' ORDER BY k) AS proof FROM q GROUP BY doc_id)
+SELECT l.doc_id, leaf, s.h AS subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM l JOIN s USING (g) JOIN e USING (doc_id) LEFT JOIN z USING (doc_id), (SELECT h FROM u WHERE n = 1) r""".format(
+        **{k: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for k, c in (("id", "doc_id"), ("src", "source"), ("lang", "lang"), ("n", "n_chars"), ("m", "m"), ("text", "text"))}
+    ),
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_ASCII.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_ASCII.format(t="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, len(w)::BIGINT AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+i AS (SELECT item_id, doc_id, sum(CAST(floor(1000 * ln((2.0 * n + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * dl * n) // l))))::BIGINT AS score
+  FROM b JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM i WHERE score > 0 QUALIFY rank <= 10""",
 }
