@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CONFIG_VERSION = "1.0.0"
 
+#: What the wildcards of a glob match; all else is itself.
+_WILD = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+
 
 class ConfigError(ValueError):
     """A configuration that contradicts itself."""
@@ -91,37 +94,85 @@ ANCHOR_FIELDS = ("superseded_by",)
 MUTABLE_KEYS = ("status", "tags", "supersedes", "superseded_by")
 UNINDEXED = {"axioms": "info", "ops-internal": "info", "core-internal": "warn"}
 LEVELS = ("info", "warn", "fail")
-#: Named groups that patterns must have, in this order and no others; what is read by position has so many groups.
-PATTERN_GROUPS = {"spec_anchor": ("id",), "ref_callout_start": ("kind", "id", "title"), "file_naming": ("slug", "role", "locale")}
-PATTERN_COUNTS = {"heading": 2}
-
-
-def alternation(values) -> str:
-    """Longest first, so that no value hides one that it begins."""
-    return "|".join(re.escape(v).replace("\\-", "-") for v in sorted(dict.fromkeys(values), key=len, reverse=True))
+#: What a configurable pattern captures: the names of its groups in order, or how many are read by position.
+CAPTURES = {
+    "spec_anchor": ("id",),
+    "heading": 2,
+    "ref_callout_start": ("kind", "id", "title"),
+    "blockquote_line": 1,
+    "split_document": ("slug", "role", "lang"),
+    "document_h1": 1,
+    "frontmatter_fence": 0,
+    "status_directive": ("status",),
+    "subblock_suffix": 0,
+    "loose_anchor_line": 1,
+    "loose_ref_line": 1,
+    "loose_admonition_open": 0,
+    "loose_table_row": 0,
+    "file_naming": ("slug", "role", "locale"),
+}
+SORTS = ("length_desc", "as_declared")
+
+
+def glob_to_regex(pattern: str) -> str:
+    """A path glob, segment by segment: * and ? stay inside a segment, ** crosses them. A segment that ends with ** takes
+    the slash after it along, so what it stands for may be nothing; a last segment ** takes the directory itself too."""
+    if not isinstance(pattern, str) or not pattern or pattern.startswith("/"):
+        raise ConfigError(f"no glob of paths below the root: {pattern!r}")
+    out, slash = "", ""
+    *heads, last = (re.findall(r"\*\*|[*?]|[^*?]+", part) for part in pattern.split("/"))
+    for tokens in heads:
+        spans = tokens[-1:] == ["**"]
+        out += slash + "".join(_WILD.get(t) or re.escape(t) for t in (tokens[:-1] if spans else tokens)) + ("(?:.*/)?" if spans else "")
+        slash = "" if spans else "/"
+    if last == ["**"] and slash:
+        return f"^{out}(?:/.*)?$"
+    return f"^{out}{slash}{''.join(_WILD.get(t) or re.escape(t) for t in last)}$"
+
+
+def alternation(values, sort: str = SORTS[0]) -> str:
+    """Longest first, so that no value hides one that it begins; or as declared."""
+    values = list(dict.fromkeys(values))
+    return "|".join(re.escape(v).replace("\\-", "-") for v in (sorted(values, key=len, reverse=True) if sort == SORTS[0] else values))
+
+
+#: What counts in a template: escapes, parts, groups that capture, and where character classes begin and end.
+_TOKEN = re.compile(r"\\.|\{(?P<part>[a-z_]+)\}|\(\?P<(?P<name>\w+)>|(?P<group>\((?!\?))|\[\^?\]?|\]", re.S)
 
 
 def expanded(name: str, template: str, parts: dict[str, str]) -> str:
-    """A pattern template with {part} replaced, checked: nothing of the form {word} may be left (it would match its own
-    letters and nothing else), it must compile, and have the groups that are read from it. Groups lose their names, as
-    columns read them by number."""
+    """A pattern for Java from a template: read once from left to right, parts filled in and groups noted as they open.
+    Parts capture nothing, so the groups are the template's own; columns read groups by number, so they lose their names.
+    A part that is not known would match its own letters and nothing else, so it is refused."""
     if not isinstance(template, str) or not template:
-        raise ConfigError(f"pattern {name} must be a string")
-    out = template
-    for part, text in parts.items():
-        out = out.replace("{" + part + "}", text)
-    if left := re.findall(r"\{([a-z_]+)\}", out):
-        raise ConfigError(f"pattern {name}: unknown parts {sorted(set(left))}")
+        raise ConfigError(f"{name}: a pattern is a text that is not empty")
+    out, groups, unknown, at, inside = [], [], [], 0, False
+    for m in _TOKEN.finditer(template):
+        out.append(template[at : m.start()])
+        at, token = m.end(), m[0]
+        if m["part"] and m["part"] not in parts:
+            unknown.append(m["part"])
+        elif m["part"]:
+            token = parts[m["part"]]
+        elif inside:
+            inside = token != "]"
+        elif token[0] == "[":
+            inside = True
+        elif m["name"] or m["group"]:
+            groups.append(m["name"])
+            token = "("
+        out.append(token)
+    made = "".join(out) + template[at:]
+    if unknown:
+        raise ConfigError(f"{name}: no such parts: {', '.join(sorted(set(unknown)))}")
+    wanted = CAPTURES.get(name, len(groups))
+    if (len(groups) if isinstance(wanted, int) else tuple(groups)) != wanted:
+        raise ConfigError(f"{name}: it captures {groups}, and is read for {wanted}")
     try:
-        made = re.compile(out)
+        re.compile(made)
     except re.error as e:
-        raise ConfigError(f"pattern {name} does not compile: {e}") from e
-    wanted = PATTERN_GROUPS.get(name)
-    if wanted is not None and (tuple(made.groupindex) != wanted or made.groups != len(wanted)):
-        raise ConfigError(f"pattern {name}: groups {tuple(made.groupindex)}, not {wanted}")
-    if name in PATTERN_COUNTS and made.groups != PATTERN_COUNTS[name]:
-        raise ConfigError(f"pattern {name}: {made.groups} groups, not {PATTERN_COUNTS[name]}")
-    return re.sub(r"\(\?P<\w+>", "(", out)
+        raise ConfigError(f"{name}: no regular expression: {e}") from e
+    return made
 
 
 @dataclass(frozen=True)
@@ -154,6 +205,9 @@ class Config:
     lifecycle_severity: str = "fail"
     naming_severity: str = "warn"
     patterns: dict = field(default_factory=dict)  # name -> template, in place of the ones below
+    lock_enforced: bool = True  # whether the payload lock stops a commit, or only warns
+    domain_sort: str = SORTS[0]
+    kind_sort: str = SORTS[0]
 
     def __post_init__(self):
         object.__setattr__(self, "partitions", tuple(p if p.path else replace(p, path=f"{self.root}/{p.scope}/{p.id}") for p in self.partitions))
@@ -208,6 +262,10 @@ class Config:
                 raise ConfigError(f"{what}: level {level!r} is none of {LEVELS}")
         if odd := set(self.unindexed) - {p.id for p in self.partitions}:
             raise ConfigError(f"unindexed policy of unknown partitions {sorted(odd)}")
+        if odd := {self.domain_sort, self.kind_sort} - set(SORTS):
+            raise ConfigError(f"alternations are sorted by one of {SORTS}, not {sorted(odd)}")
+        for g in self.ignore:
+            glob_to_regex(g)
         for name in self.patterns:
             self.pattern(name)
 
@@ -215,13 +273,20 @@ class Config:
         """The configured pattern of a name, its parts filled in; None where the configuration has none."""
         if name not in self.patterns:
             return None
-        roles = lambda xs: alternation(xs)
         parts = {
-            "composite_id": self.composite_pattern, "anchor_id": self.id_pattern, "domain_alt": alternation(p.domain for p in self.partitions),
-            "kind_alt": alternation(r.token for r in self.roles), "role_alt": roles(self.document_roles), "file_role_alt": roles(self.file_roles), "dependent_role_alt": roles(self.dependent_roles),
-            "subblock_letter_alt": alternation(self.subblocks), "composite_sep": re.escape(self.separator), "locale_alt": "|".join(map(re.escape, self.locales)) if self.suffixed else "",
-            "locale_sep": r"\." if self.suffixed else "", "extension_pattern": self.extension_pattern,
-        }
+            "composite_id": self.composite_pattern,
+            "anchor_id": self.id_pattern,
+            "domain_alt": self.domain_alternation,
+            "kind_alt": self.kind_alternation,
+            "role_alt": alternation(self.document_roles),
+            "file_role_alt": alternation(self.file_roles),
+            "dependent_role_alt": alternation(self.dependent_roles),
+            "subblock_letter_alt": alternation(self.subblocks, "as_declared"),
+            "composite_sep": re.escape(self.separator),
+            "locale_alt": "|".join(map(re.escape, self.locales)) if self.suffixed else "",
+            "locale_sep": r"\." if self.suffixed else "",
+            "extension_pattern": self.extension_pattern,
+        }
         return expanded(name, self.patterns[name], parts)
 
     @property
@@ -230,9 +295,17 @@ class Config:
         return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
 
     # Patterns, in the dialect that Java and RE2 share.
+    @property
+    def domain_alternation(self) -> str:
+        return alternation((p.domain for p in self.partitions), self.domain_sort)
+
+    @property
+    def kind_alternation(self) -> str:
+        return alternation((r.token for r in self.roles), self.kind_sort)
+
     @property
     def id_pattern(self) -> str:
-        return f"(?:{alternation(p.domain for p in self.partitions)})(?:-[A-Za-z0-9]+)+"
+        return f"(?:{self.domain_alternation})(?:-[A-Za-z0-9]+)+"
 
     @property
     def composite_pattern(self) -> str:
@@ -249,7 +322,54 @@ class Config:
     @property
     def callout_pattern(self) -> str:
         """Groups: token, target, title."""
-        return self.pattern("ref_callout_start") or rf"^>\s*\[!({alternation(r.token for r in self.roles)})-({self.composite_pattern}|{self.id_pattern})\]\s*(.*)$"
+        return self.pattern("ref_callout_start") or rf"^>\s*\[!({self.kind_alternation})-({self.composite_pattern}|{self.id_pattern})\]\s*(.*)$"
+
+    @property
+    def quote_pattern(self) -> str:
+        """Group: what is quoted."""
+        return self.pattern("blockquote_line") or r"^>\s?(.*)$"
+
+    @property
+    def title_pattern(self) -> str:
+        """A level-one heading; group: its text."""
+        return self.pattern("document_h1") or r"^#\s+(.*\S)\s*$"
+
+    @property
+    def fence_pattern(self) -> str:
+        """What opens and closes front matter."""
+        return self.pattern("frontmatter_fence") or r"^---\s*$"
+
+    @property
+    def status_pattern(self) -> str:
+        return self.pattern("status_directive") or r"^\{status:\s*([A-Za-z][A-Za-z0-9_-]*)\s*\}$"
+
+    @property
+    def subblock_pattern(self) -> str:
+        """What a sub-block's id ends with."""
+        return self.pattern("subblock_suffix") or f"-(?:{alternation(self.subblocks, 'as_declared')})[0-9]+$"
+
+    # What looks like an anchor, a callout, an admonition or a table, and may be none.
+    @property
+    def loose_anchor_pattern(self) -> str:
+        return self.pattern("loose_anchor_line") or r"^\s*\^([A-Za-z0-9-]+)\s*$"
+
+    @property
+    def loose_callout_pattern(self) -> str:
+        return self.pattern("loose_ref_line") or r"^\s*>\s*\[!([A-Za-z0-9-]+)\]"
+
+    @property
+    def admonition_pattern(self) -> str:
+        return self.pattern("loose_admonition_open") or r"^(?:!!!|\?\?\?\+?)\s+\S.*$"
+
+    @property
+    def table_row_pattern(self) -> str:
+        return self.pattern("loose_table_row") or r"^\s*\|.*\|\s*$"
+
+    @property
+    def parser_patterns(self) -> tuple:
+        """All that blocks depend on: what a cache of them must be keyed by."""
+        roles = tuple((r.role, r.token, r.letter) for r in self.roles)
+        return (self.heading_pattern, self.anchor_pattern, self.callout_pattern, self.quote_pattern, self.status_pattern, self.separator, roles)
 
     @property
     def reference_pattern(self) -> str:
@@ -321,7 +441,7 @@ def load(folder: str) -> Config:
         if not lifecycle.get(source):
             raise ConfigError(f"{name}: no values under {source}")
         enums[name] = tuple(lifecycle[source])
-    templates = {k: v for k, v in (rules.get("patterns") or {}).items() if k in PATTERN_GROUPS or k in PATTERN_COUNTS}
+    templates = {k: v for section in ("patterns", "diagnostic_patterns") for k, v in (rules.get(section) or {}).items() if k in CAPTURES}
     if naming.get("pattern"):
         templates["file_naming"] = naming["pattern"]
     return Config(
@@ -353,4 +473,7 @@ def load(folder: str) -> Config:
         lifecycle_severity=lifecycle.get("severity", "fail"),
         naming_severity=naming.get("severity", "warn"),
         patterns=templates,
+        lock_enforced=bool((rules.get("payload_lock") or {}).get("enforced", True)),
+        domain_sort=rules.get("domain_alternation_sort", SORTS[0]),
+        kind_sort=kinds.get("kind_alternation_sort", SORTS[0]),
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,8 +14,8 @@ def domain_of(anchor: Column) -> Column:
 
 def parent_candidate(anchor: Column, config: Config) -> Column:
     """The id that a composite or sub-block id hangs on; null of any other."""
-    letters = "|".join(map(re.escape, config.subblocks))
-    return F.when(F.contains(anchor, F.lit(config.separator)), F.substring_index(anchor, config.separator, 1)).when(anchor.rlike(f"-(?:{letters})[0-9]+$"), F.regexp_replace(anchor, f"-(?:{letters})[0-9]+$", ""))
+    end = config.subblock_pattern
+    return F.when(F.contains(anchor, F.lit(config.separator)), F.substring_index(anchor, config.separator, 1)).when(anchor.rlike(end), F.regexp_replace(anchor, end, ""))
 
 
 def composite_id(target: Column, role: Column, letter: Column, ordinal: Column, separator: str = "#") -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.config import NOT_IN_FORCE
+from loomspark.functions import nested
 from loomspark.functions.status import shown
 from loomspark.functions.text import anchor_tokens, anchors_in, tokens
 
@@ -190,14 +191,14 @@ def prompt(units: DataFrame, hits: DataFrame, query: str, system: str, meta: dic
 
 
 def leaks(rows: DataFrame, prefixes: list[str], key: str, limit: int | None = None) -> DataFrame:
-    """(location, value): strings anywhere in rows that begin with a restricted prefix, in order of key and column."""
-    names = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "string"]
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), F.col(c).alias("v")) for i, c in enumerate(names)])
+    """(location, value): strings anywhere in rows, however deeply nested, that begin with a restricted prefix, in order of
+    key and place. A place is a path of field names, indexes and map keys; a map's keys are looked at too."""
+    found = F.array_compact(F.concat(*[nested.strings(F.col(f"`{f.name}`"), f.dataType, f.name) for f in rows.schema.fields])) if rows.schema.fields else F.array()
     hit = F.lit(False)
     for p in prefixes:
-        hit = hit | F.startswith("x.v", F.lit(p))
-    out = rows.select(F.col(key).alias("key"), F.explode(pairs).alias("x")).filter(hit)
-    out = out.select("key", "x.i", F.concat_ws(".", "key", "x.c").alias("location"), F.col("x.v").alias("value"))
+        hit = hit | F.startswith("x.value", F.lit(p))
+    out = rows.select(F.col(key).alias("key"), F.posexplode(found).alias("i", "x")).filter(hit)
+    out = out.select("key", "i", F.concat_ws(".", "key", "x.place").alias("location"), "x.value")
     if limit is not None:
         out = out.orderBy("key", "i").limit(limit)
     return out.select("location", "value")

@@ -413,7 +413,7 @@ def fence_parity(spark, sf_dir):
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS rel_path, 2 AS line_no, 'admonition' AS construct FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 6, 'table' FROM part WHERE p_size % 2 = 0")
 def banned_constructs(spark, sf_dir):
-    return blocks.banned(_fenced(spark, sf_dir))
+    return blocks.banned(_fenced(spark, sf_dir), CONFIG)
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS rel_path, (CASE WHEN p_size % 2 = 0 THEN 7 ELSE 6 END) + i AS line_no, t AS token FROM part, (VALUES (0, 'legal-1'), (1, 'refs-spec-1')) x(i, t) WHERE p_size % 3 <> 0")
@@ -622,4 +622,4 @@ def commit_guard(spark, sf_dir):
     now = c.filter("ord % 17 <> 0").withColumns({"content": F.when(n % 13 == 0, F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content")), "status_override": F.when(n % 10 == 0, F.lit("deprecated")).otherwise(F.col("status_override"))})
     gone = c.select(F.col("source_file").alias("rel_path")).distinct()
     after = changes.upserted(before, _rendered(now), "rel_path", gone)  # a file that is left without rules goes
-    return gate.guarded(before, after, CONFIG)
+    return gate.guarded(before, after, CONFIG).drop("level")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.hashing import blob_id
 from loomspark.operators.changes import difference, staged
+from loomspark.sources.lineage import cut
 
 
 class ConflictError(RuntimeError):
@@ -110,14 +112,27 @@ class Store:
         return name
 
 
-def ingest(store: Store, local: DataFrame, faults, branch: str = "main") -> tuple[DataFrame, str | None]:
-    """Brings local files (rel_path, text) into the store. faults(changed files) -> (rel_path, message) decides: any row
-    rejects the batch, and the commit returned is None. Also returns (change, n)."""
+@dataclass
+class Batch:
+    """What became of a batch. changes: (change, n). findings: (level, path, ...) of its changed files, written once and
+    read again, rejected or not. commit: None where the batch was rejected or only tried."""
+
+    changes: DataFrame
+    findings: DataFrame
+    accepted: bool
+    commit: str | None
+
+
+def ingest(store: Store, local: DataFrame, checks, branch: str = "main", dry_run: bool = False, scope: str = "") -> Batch:
+    """Brings local files (rel_path, text) into the store: all of them, or all under `scope`, which takes the place of the
+    tip's. checks(changed files) -> findings (level, path, ...); any of level `fail` rejects the batch. With dry_run
+    nothing is committed."""
     tip = store.tip(branch)
-    ids = local.select("rel_path", blob_id(F.col("text")).alias("blob_id"), "text")
-    diff = difference(store.tree(tip), ids)
+    ids = local.filter(F.startswith("rel_path", F.lit(scope))).select("rel_path", blob_id(F.col("text")).alias("blob_id"), "text")
+    diff = cut(difference(store.tree(tip, scope), ids))
     counts = diff.groupBy("change").agg(F.count("*").alias("n"))
     changed = ids.join(diff.filter("change in ('added', 'updated')").select("rel_path"), "rel_path", "left_semi").select("rel_path", "text")
-    if faults(changed).limit(1).count():
-        return counts, None
-    return counts, store.commit(changed, branch, tip, diff.filter("change = 'removed'").select("rel_path"))
+    findings = cut(checks(changed))
+    accepted = not findings.filter("level = 'fail'").limit(1).count()
+    commit = store.commit(changed, branch, tip, diff.filter("change = 'removed'").select("rel_path")) if accepted and not dry_run else None
+    return Batch(counts, findings, accepted, commit)
