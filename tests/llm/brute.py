@@ -132,3 +132,96 @@ def op10(docs):
         failed = len(w) < 50 or 100 * len(again) > 50 * len(w)
         out.append((i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(again), failed))
     return out
+
+
+def merkle(leaves, fanout=2):
+    """(root, for each leaf its [(left, right)] level by level)."""
+    levels = [list(leaves)]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][p : p + fanout])) for p in range(0, len(levels[-1]), fanout)])
+    paths = []
+    for p in range(len(leaves)):
+        path = []
+        for level in levels[:-1]:
+            first = p - p % fanout
+            path.append(("".join(level[first:p]), "".join(level[p + 1 : first + fanout])))
+            p //= fanout
+        paths.append(path)
+    return levels[-1][0], paths
+
+
+def op11(docs, fanout=2):
+    """docs: (doc_id, source, lang, n_chars, text)."""
+    enc = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    groups = defaultdict(list)
+    for d in docs:
+        odd = d[0] is not None and d[3] is not None and zlib.crc32(str(d[0]).encode()) % 7 == 0
+        hashes = sha("".join(map(enc, d))), sha("".join(map(enc, (*d[:3], d[3] + odd if d[3] is not None else None, d[4]))))
+        groups[d[2]].append((d[0] is not None, d[0] or 0, *hashes))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: merkle([x[2] for x in sorted(groups[g])], fanout) for g in order}
+    root, tops = merkle([trees[g][0] for g in order], fanout) if order else ("", [])
+    out = []
+    for g, top in zip(order, tops):
+        for (has, i, own, odd), path in zip(sorted(groups[g]), trees[g][1]):
+            h = odd
+            for left, right in (*path, *top):
+                h = sha(left + h + right)
+            out.append((i if has else None, own, trees[g][0], root, sha("".join(x + y for x, y in (*path, *top))), h, h == root))
+    return out
+
+
+def sketch(t, n=5, scale=16, least=64):
+    import xxhash
+
+    w = [x.encode() for x in words((t or "").lower())]
+    hashes = set()
+    for p in range(len(w) - n + 1 if len(w) >= n else len(w) > 0):
+        parts = w[p : p + n] if len(w) >= n else [b" ".join(w)]
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x, h)
+        hashes.add(h - 2**64 if h >= 2**63 else h)
+    every = sorted(hashes)
+    below = [h for h in every if h < -(2**63) + 2**64 // scale]
+    return below if len(below) >= least else every[:least]
+
+
+def contained(a, b, scale=16, least=64):
+    if not a or not b:
+        return float(len(a) == len(b))
+    upto = min(2**63 - 1 if len(x) < least else max(x[-1], -(2**63) + 2**64 // scale - 1) for x in (a, b))
+    own = [h for h in a if h <= upto]
+    return len(set(own) & set(b)) / len(own) if own else 0.0
+
+
+def op12(docs):
+    """docs in their order, each a document of its own."""
+    shown = lambda s: "".join(f"{h % 2**64:016X}" for h in s)
+    out = []
+    for p, (i, t) in enumerate(docs):
+        t, after = t or "", docs[(p + 1) % len(docs)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b = sketch(t), sketch(edited)
+        out.append((i, len(t), sha(edited), shown(a), shown(b), contained(a, b), contained(a, sketch(after))))
+    return out
+
+
+def op13(docs, items, k=10):
+    import math
+
+    cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+    bags = [(i, Counter(cut(t))) for i, t in docs]
+    n, total = sum(bool(b) for _, b in bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(x for _, b in bags for x in b)
+    out = []
+    for item, t in items:
+        scored = []
+        for i, b in bags:
+            m = 10 + 90 * sum(b.values()) * n // max(total, 1)
+            s = sum(int(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (10**9 * b[x] // (1000 * b[x] + 8 * m)) for x in set(cut(t)) if x in b)
+            if s:
+                scored.append((-s, i is not None, i or 0))
+        out += [(item, r + 1, i if has else None, -s) for r, (s, has, i) in enumerate(sorted(scored)[:k])]
+    return out
