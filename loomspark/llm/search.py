@@ -9,7 +9,8 @@ A batch of items starts on the first tier. What its terms have there are candida
 index (a row a document). An item is proven when the sum of its terms' residual bounds is below its lowest score kept: no
 document unseen can reach it. Items that lack that proof fall through to the next tier, there with only those of their
 terms whose bounds together could still reach that score (a document without any of these can't), until all are proven;
-the last tier leaves no bound. So scores and order are those of a full scan, and each result tells its tier.
+the last tier leaves no bound. A document is scored only where the postings just read, with the bounds of the other terms,
+can reach the lowest score kept. So scores and order are those of a full scan, and each result tells its tier.
 
 Scores are whole numbers: a term's weight floor(1000 ln((2N + 2) / (2 df + 1))), times 10^9 tf div (1000 tf + 8 m), where
 m is 10 + 90 n N div L. Terms are runs of letters, digits and all above U+007F, A-Z lower-cased; an item's count once.
@@ -35,6 +36,8 @@ from loomspark.llm.common import Scratch, doc_id, keyed, slices
 
 K = 10
 FIRST, GROWTH = 32, 8
+#: Items are searched in blocks of so many terms, and items, at most.
+BLOCK_TERMS, BLOCK_ITEMS = 200_000, 10_000
 #: Impacts of weight one lie below 10^6; a histogram has a count for each of so many.
 STEP = 4096
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -159,62 +162,121 @@ def build(spark: SparkSession, docs: DataFrame, scratch: Scratch, terms: DataFra
     return Index(forward, own, postings, len(limits) + 1, n, l)
 
 
-def _scored(index: Index, candidates: DataFrame, asked: DataFrame) -> DataFrame:
-    """(q, d, k, th, score) of candidates (q, d); asked: (q, terms, ws)."""
+def _blocks(asked: DataFrame) -> list[int]:
+    """Blocks of items, in column `block` of the table asked, of BLOCK_TERMS terms and BLOCK_ITEMS items at most (an item
+    with more terms is a block of its own)."""
+    return [r[0] for r in asked.select("block").distinct().collect()]
+
+
+def _in_blocks(terms: DataFrame) -> DataFrame:
+    """terms (q, term, ...) with the block of each item: items that were read by one task, cut by their terms."""
+    sizes = terms.groupBy("q").agg(F.count("*").alias("c"))
+    run = Window.partitionBy(F.shiftright("q", 33)).orderBy("q")
+    upto = sizes.select("q", F.sum("c").over(run).alias("words"), F.row_number().over(run).alias("items"))
+    block = F.xxhash64(F.shiftright("q", 33), F.floor(F.col("words") / BLOCK_TERMS), F.floor(F.col("items") / BLOCK_ITEMS))
+    return terms.join(upto.select("q", block.alias("block")), "q")
+
+
+def _scored(index: Index, candidates: DataFrame, asked: dict[int, tuple[list, list]], k: int) -> DataFrame:
+    """(q, d, k, th, score) of candidates (d, qs): each task's k best of an item. asked: the terms and weights of a block's items."""
     n, l = index.n, index.l
-    rows = candidates.join(index.forward, "d").join(asked, "q")
-    hits = F.transform(F.arrays_zip("terms", "tfs"), lambda x: F.struct(x["terms"].alias("t"), hit(F.col("n"), x["tfs"], n, l).alias("hit")))
-    rows = rows.select("q", "d", "k", "th", F.transform(hits, lambda x: x["t"]).alias("ts"), F.transform(hits, lambda x: x["hit"]).alias("hits"), "asked", "ws")
+    rows = candidates.join(index.forward.select("d", "k", "th", "n", "terms", "tfs"), "d")
+    weights = candidates.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches):
-        of: dict[int, dict[str, int]] = {}
-        for b in (part for whole in batches for part in slices(whole, "hits")):
-            scores = []
-            for q, ts, hs, asked, ws in zip(*(b.column(c).to_pylist() for c in ("q", "ts", "hits", "asked", "ws"))):
-                if q not in of:
-                    if len(of) > 10_000:
-                        of.clear()
-                    of[q] = dict(zip(asked, ws))
-                weight = of[q].get
-                scores.append(sum(weight(t, 0) * h for t, h in zip(ts, hs)))
-            yield pa.RecordBatch.from_pydict({**{c: b.column(c) for c in ("q", "d", "k", "th")}, "score": pa.array(scores, pa.int64())})
+        of = {q: list(zip(ts, ws)) for q, (ts, ws) in weights.value.items()}
+        best: dict[int, list] = {}
+        for b in (part for whole in batches for part in slices(whole, "tfs")):
+            for d, key, th, own_n, terms, tfs, qs in zip(*(b.column(c).to_pylist() for c in ("d", "k", "th", "n", "terms", "tfs", "qs"))):
+                m = 8 * (10 + 90 * own_n * n // l)
+                own = {t: 1_000_000_000 * tf // (1000 * tf + m) for t, tf in zip(terms, tfs)}
+                for q in qs:
+                    score = 0
+                    for t, w in of[q]:
+                        if (h := own.get(t)) is not None:
+                            score += w * h
+                    kept = best.setdefault(q, [])
+                    kept.append((-score, key, th, d))
+                    if len(kept) >= 8 * k:
+                        kept.sort()
+                        del kept[k:]
+        rows = [(q, d, key, th, -score) for q, kept in best.items() for score, key, th, d in sorted(kept)[:k] if score]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["q", "d", "k", "th", "score"])
 
     return rows.mapInArrow(run, "q long, d long, k long, th long, score long")
 
 
-def search(index: Index, items: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
-    """(q, rank, k, score, tier) of each item's k best documents; items: (q, text)."""
-    terms = scratch.write(item_terms(items).join(index.terms.filter("w > 0"), "term").select("q", "term", "w", "bounds"), "asked")
-    asked = terms.groupBy("q").agg(F.collect_list("term").alias("asked"), F.collect_list("w").alias("ws"))  # an item's terms
-    # at: the lowest tier of a term that its item has read.
-    state = terms.withColumn("at", F.lit(-1))
-    best, floor = None, F.lit(1).cast("long")
+class _Item:
+    """What one item of a block has read: terms (term, weight, bounds by tier), and the lowest tier read of each."""
+
+    def __init__(self, terms: list[tuple[str, int, list[int]]]):
+        self.terms, self.at, self.floor, self.proven = terms, [-1] * len(terms), 1, None
+
+    def bound(self, i: int) -> int:
+        _, w, bounds = self.terms[i]
+        return w * bounds[self.at[i]] if self.at[i] >= 0 else 1 << 60
+
+    def wanting(self) -> list[int]:
+        """Terms that need more reading: those left when as many as can't reach the floor together, the least first, go."""
+        order, total = sorted(range(len(self.terms)), key=self.bound), 0
+        for at, i in enumerate(order):
+            total += self.bound(i)
+            if total >= self.floor:
+                return order[at:]
+        return []
+
+
+def _searched(index: Index, rows: list, scratch: Scratch, name: str, k: int) -> DataFrame:
+    """(q, rank, k, score, tier) of one block's items; rows: (q, term, w, bounds)."""
+    spark, items = index.terms.sparkSession, {}
+    for r in rows:
+        items.setdefault(r.q, []).append((r.term, r.w, r.bounds))
+    asked = {q: ([t for t, *_ in ts], [w for _, w, _ in ts]) for q, ts in items.items()}
+    items = {q: _Item(ts) for q, ts in items.items()}
+    best = None
     place = Window.partitionBy("q").orderBy(F.desc("score"), "k", "th", "d")
     for t in range(index.tiers):
-        if t:
-            low = best.filter(F.col("rank") == k).select("q", F.col("score").alias("floor"))
-            state = state.join(low, "q", "left")
-            floor = F.coalesce("floor", F.lit(1).cast("long"))
-        residual = F.when(F.col("at") < 0, F.lit(1 << 40)).otherwise(F.col("w") * F.get("bounds", F.greatest("at", F.lit(0))))
-        rising = Window.partitionBy("q").orderBy("residual", "term").rowsBetween(Window.unboundedPreceding, 0)
-        state = state.withColumn("residual", residual).withColumn("sum", F.sum("residual").over(rising))
-        # The terms with the least bounds, as many as can't reach the lowest score kept, need no more reading.
-        state = state.withColumn("reads", F.col("sum") >= floor).select("q", "term", "w", "bounds", "at", "reads")
-        state = scratch.write(state, f"state-{t}")
-        if not state.filter("reads").limit(1).count():
+        reads = []
+        for q, item in items.items():
+            if item.proven is None:
+                need = item.wanting()
+                if not need:
+                    item.proven = t - 1
+                    continue
+                before = [item.at[i] for i in need]
+                for i in need:
+                    item.at[i] = t
+                # What a document not seen before can have beside the postings that are read now.
+                rest = sum(map(item.bound, range(len(item.terms))))
+                reads += [(item.terms[i][0], q, item.terms[i][1], item.bound(i), at, rest, item.floor) for i, at in zip(need, before)]
+        if not reads:
             break
-        own = index.postings.filter(F.col("tier") <= t).join(state.filter("reads").select("q", "term", "at"), "term").filter("tier > at")
-        found = scratch.write(own.select("q", "d").distinct(), f"candidates-{t}", free=True)
-        found = _scored(index, found, asked).withColumn("tier", F.lit(t))
+        table = spark.createDataFrame(reads, "term string, q long, w long, after long, at int, rest long, floor long")
+        own = index.postings.filter(F.col("tier") <= t).join(F.broadcast(table), "term").filter("tier > at")  # BLOCK_TERMS rows
+        pairs = own.repartition("d").groupBy("d", "q").agg(F.sum(F.col("w") * F.col("hit") - F.col("after")).alias("gain"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
+        found = pairs.filter("gain + rest >= floor").groupBy("d").agg(F.collect_list("q").alias("qs"))  # a block's items
+        found = _scored(index, scratch.write(found, f"{name}-candidates-{t}"), asked, k)
         if best is not None:
-            # A document found again keeps its row; an item that read on shows how far it went.
-            read = state.filter("reads").select("q").distinct().withColumn("again", F.lit(True))
-            old = best.join(read, "q", "left").withColumn("tier", F.when(F.col("again"), F.lit(t)).otherwise(F.col("tier"))).drop("again", "rank")
-            found = found.join(old.select("q", "d"), ["q", "d"], "left_anti").unionByName(old)
-        best = scratch.write(found.filter("score > 0").withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k), f"best-{t}", free=True)
-        state = state.withColumn("at", F.when(F.col("reads"), F.lit(t)).otherwise(F.col("at"))).drop("reads")
-        scratch.drop(f"candidates-{t}")
-    return best.select("q", "rank", "k", "score", "tier")
+            found = found.join(best.select("q", "d"), ["q", "d"], "left_anti").unionByName(best.drop("rank"))
+        best = scratch.write(found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k), f"{name}-best-{t}", free=True)
+        scratch.drop(f"{name}-candidates-{t}", f"{name}-best-{t - 1}")
+        for q, floor in best.filter(F.col("rank") == k).select("q", "score").collect():  # a block's items
+            items[q].floor = floor
+    tiers = spark.createDataFrame([(q, index.tiers - 1 if i.proven is None else i.proven) for q, i in items.items()], "q long, tier int")
+    return best.join(F.broadcast(tiers), "q").select("q", "rank", "k", "score", "tier")
+
+
+def search(index: Index, items: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
+    """(q, rank, k, score, tier) of each item's k best documents; items: (q, text). Items are searched in blocks of a bounded
+    size: what each has read, and its lowest score kept, is with the driver, never a document or a posting."""
+    terms = item_terms(items).join(index.terms.filter("w > 0"), "term").select("q", "term", "w", "bounds")
+    asked = scratch.write(_in_blocks(terms), "asked")
+    out = none = index.terms.sparkSession.createDataFrame([], "q long, rank int, k long, score long, tier int")
+    for i, block in enumerate(_blocks(asked)):
+        rows = asked.filter(F.col("block") == block).drop("block").collect()  # BLOCK_TERMS rows
+        found = _searched(index, rows, scratch, f"block-{i}", k)
+        out = found if out is none else out.unionByName(found)
+    return out
 
 
 def ranked_documents(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = K, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
