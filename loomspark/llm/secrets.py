@@ -15,6 +15,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +43,36 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
-def found(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of a pattern: what splits the text and what lies between give every match its place. Offsets are added
-    up in chunks, so that a text of very many matches does not copy its spans again for each."""
+def _bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), where x is computed once: inside a lambda an expression is computed again for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def found(text: Column, kind: int, pattern: str, group: int = 0, least: int = 0, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of a pattern: what splits the text and what lies between give every match its place. keep(match) may rule
+    matches out. Offsets are added up in chunks: the sums of chunks first, then inside each from where it starts, so the
+    work grows with the matches."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("b"), matches.alias("m"), counted.alias("g"))
-    parts = F.transform(parts, lambda x: F.struct(F.length(x["b"]).alias("b"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), F.coalesce(F.length(x["g"]), F.lit(-1)).alias("g")))
+    size = lambda x: F.coalesce(F.length(x["g"]), F.lit(-1)) if keep is None else F.when(keep(x["m"]), F.length(x["g"])).otherwise(-1)
+    parts = F.transform(parts, lambda x: F.struct(F.length(x["b"]).alias("b"), F.coalesce(F.length(x["m"]), F.lit(0)).alias("m"), size(x).alias("g")))
+
+    def spans(chunk: Column, start: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x["b"]
+            own = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["m"]).alias("end")))
+            return F.struct((at + x["m"]).alias("at"), F.when(x["g"] >= max(least, 1), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"]
-        own = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["m"]).alias("end")))
-        return F.struct((start + x["m"]).alias("at"), F.when(x["g"] >= max(least, 1), F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(chunk, F.struct(start.alias("at"), _none().alias("out")), add, lambda acc: acc["out"])
 
-    def chunk(acc: Column, xs: Column) -> Column:
-        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), _none().alias("out")), add)
-        return F.struct(inner["at"].alias("at"), F.concat(acc["out"], inner["out"]).alias("out"))
+    def placed(chunks: Column) -> Column:
+        total = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["b"] + x["m"])
+        starts = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + total(c))))
+        return _bound(starts, lambda s: F.flatten(F.transform(chunks, lambda c, i: spans(c, F.get(s, i)))))
 
-    chunks = F.transform(F.sequence(F.lit(1), F.size(parts), F.lit(_CHUNK)), lambda i: F.slice(parts, i, F.lit(_CHUNK)))
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), _none().alias("out")), chunk, lambda acc: acc["out"])
+    in_chunks = lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps), F.lit(_CHUNK)), lambda i: F.slice(ps, i, F.lit(_CHUNK)))
+    return _bound(parts, lambda ps: _bound(in_chunks(ps), placed))
 
 
 def joined(spans: Column) -> Column:
@@ -85,10 +98,9 @@ def scan(docs: DataFrame) -> DataFrame:
     endpoint = F.when(has("://", of=t), found(t, 4, ENDPOINT)).otherwise(_none())
     rows = rows.withColumn("endpoint", endpoint)
     # A weak secret needs an access identifier or an endpoint in its text at least.
-    secret = F.when((F.size("access") + F.size("endpoint") > 0) & t.rlike(SECRET), found(t, 3, SECRET)).otherwise(_none())
     # Mixed case with digits: else long words, paths and hex would count.
-    mixed = F.filter(secret, lambda s: _mixed(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
-    rows = rows.withColumn("secret", mixed)
+    secret = F.when((F.size("access") + F.size("endpoint") > 0) & t.rlike(SECRET), found(t, 3, SECRET, keep=_mixed)).otherwise(_none())
+    rows = rows.withColumn("secret", secret)
     breaks = F.when(F.size("secret") + F.size("endpoint") > 0, found(t, BREAK, BLOCK_END)).otherwise(_none())
     return rows.select("k", "th", "assign", "access", "hex", "secret", "endpoint", breaks.alias("breaks"))
 
@@ -100,7 +112,7 @@ def _mixed(x: Column) -> Column:
 def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(k, th, weak): weak parts with a complement in scope. A secret complements an access identifier or an endpoint;
     an endpoint, a secret of any kind (assigned, hex or weak)."""
-    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.array_distinct(F.concat("assign", "access", "hex", "secret", "endpoint", "breaks"))).alias("s"))
+    parts = rows.filter(F.size("secret") + F.size("endpoint") > 0).select("k", "th", F.explode(F.concat("assign", "access", "hex", "secret", "endpoint", "breaks")).alias("s"))
     start, end, kind = F.col("s.start"), F.col("s.end"), F.col("s.kind")
     in_order = Window.partitionBy("k", "th").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     parts = parts.withColumn("block", F.count_if(kind == BREAK).over(in_order)).filter(kind != BREAK)

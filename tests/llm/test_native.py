@@ -112,3 +112,20 @@ def test_ablations_count_what_only_one_rule_rejects(spark):
     few, rep = [r[1] < 50 for r in want], [100 * r[5] > 50 * r[1] for r in want]
     assert got == {"few_words": (sum(few), sum(a and not b for a, b in zip(few, rep))), "repeated_words": (sum(rep), sum(b and not a for a, b in zip(few, rep)))}
     assert {r for rules in POLICIES.values() for r in rules} <= set(__import__("loomspark.llm.quality", fromlist=["RULES"]).RULES)
+
+
+def test_a_megabyte_of_matches(spark):
+    """Base spans and offsets of a text with 40,000 matches, weak secrets among them; time grows with the matches."""
+    import time
+
+    line = f"token: abcdefgh{{}} AKIA{'A' * 16} {'0af3' * 6} {'aB3' * 14} https://h.example/p\n"
+    took = []
+    for n in (2000, 8000):
+        text = "é" + "".join(line.format(i % 10) for i in range(n))
+        began = time.perf_counter()
+        r = spans(spark, frame(spark, [(1, text)])).first()
+        took.append(time.perf_counter() - began)
+        assert (r.n_assign, r.n_access, r.n_hex) == (n, n, n)
+        assert r.base_sha256 == brute.op3([(1, text)])[0][4]
+        assert r.spans.count("secret:") == n and r.spans.count("endpoint:") == n
+    assert took[1] < 12 * max(took[0], 1.0)
