@@ -8,7 +8,7 @@ so code-switched texts are labelled word by word; a document's score for a langu
 are worked on in pieces that pass on exactly what forward-backward needs of the rest, so pieces change no result.
 
 The model is fitted on the driver from a bounded sample: of eligible rows (lang not null, and not held out), those of
-each language with the lowest hash of doc_id, `per_label` at most, with their whole texts. Half of what they hold is
+each language with the lowest hash of (doc_id, text), `per_label` at most, with their whole texts. Half of what they hold is
 trained on as it stands, half in runs of several languages put together, so that transitions are seen.
 lang, source and doc_id are never inputs of a prediction.
 
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import free_names, slices
@@ -263,21 +263,25 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, per_label: int = 160) -> Model | None:
-    """Fits a model on the bounded sample of docs' labelled rows, per_label of each language; None where there are none."""
-    able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    counts = {r.lang: r.n for r in able.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not counts:
+def trained(docs: DataFrame, per_label: int = 160, most_labels: int = 100, most_bytes: int = 1 << 20) -> Model | None:
+    """Fits a model on a bounded sample of docs' labelled rows: per_label whole texts of each language, each of most_bytes at
+    most, of the most_labels languages with the most texts; None where there are none. Rows are picked by the hash of
+    (doc_id, text), and equal ones count once, so neither one id on many rows nor rows without one change its size. A
+    language whose texts are all longer is not learned."""
+    able = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= most_bytes))
+    able = able.select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
+    sizes = able.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
+    if not sizes:
         return None
-    labels, texts = sorted(counts), []
-    # Hashes below this share of their range hold per_label rows or so; the lowest of them count.
+    # Hashes below this share of their range hold per_label texts and some more; the lowest of them count.
     share = F.lit(None).cast("double")
-    for x in labels:
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, 1.3 * per_label / counts[x]))).otherwise(share)
-    sample = able.filter(F.col("h") <= (2 * share - 1) * float(2**63)).collect()  # per_label rows a language, and a third more
-    for x in labels:
-        own = sorted((r.h, r.text) for r in sample if r.lang == x)[:per_label]
-        texts += [(x, [w for w in words_of(t) if any(map(str.isalpha, w))]) for _, t in own]
+    for r in sizes:
+        share = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 1.6 * per_label / r.n))).otherwise(share)
+    near = able.filter(F.col("h") <= (2 * share - 1) * float(2**63)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = near.withColumn("nth", nth).filter(F.col("nth") <= per_label).select("lang", "h", "text").collect()
+    labels = sorted(r.lang for r in sizes)
+    texts = [(r.lang, [w for w in words_of(r.text) if any(map(str.isalpha, w))]) for r in sorted(sample)]
     return fit(texts, labels)
 
 
