@@ -142,6 +142,12 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def size_of(docs: DataFrame) -> int:
+    """Bytes of a frame, as Spark estimates them from its files; 0 where it can't."""
+    found = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
 def to_ids(col) -> list:
     """An Arrow column of keys as a list, NULL_ID turned into None."""
     return [None if x == NULL_ID else x for x in col.to_pylist()]

@@ -12,8 +12,9 @@ each attempt: only those that a finished task has reported count, so lost execut
 Readers memory-map shards of a mounted folder and read others through pyarrow's file systems.
 
 Nulls: a null text is an empty one, so its document holds the end id alone; a null doc_id sorts first.
-Equal doc_ids stay beside each other, by text; rows of one doc_id go to one shard, in the order of their texts. Whole texts
-are encoded, a few MB at a time; a very long one is written as one document. An empty table gives no shard and no row.
+Rows of one doc_id stand beside each other, in the order of their texts' hashes, in as many shards as they need; so do
+repeated rows. Whole texts are encoded, a few MB at a time; a very long one is written as one document. An empty table
+gives no shard and no row.
 Other columns are ignored.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, keyed, slices, slots, to_ids
+from loomspark.llm.common import Scratch, keyed, size_of, slices, slots, to_ids
 
 END_ID = 1
 #: A chunk that one look-up table can stand for: Latin letters, then common stops.
@@ -131,18 +132,23 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4"))
 
 
-MANIFEST = "lowest long, shard string, n_docs long, n_tokens long, dtype string"
+#: Bytes of input (as Spark estimates them) for each shard at most, where the shuffle's partitions would be fewer.
+SHARD_BYTES = 256 << 20
+
+MANIFEST = "lowest long, lowest_th long, lowest_i long, shard string, n_docs long, n_tokens long, dtype string"
 
 
 def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Encodes docs into shards under root (a URI that executors share). Returns the manifest, not yet run."""
-    n = partitions or slots(docs.sparkSession)
-    ordered = keyed(docs).select("k", "text").repartitionByRange(n, "k").sortWithinPartitions("k", "text")
+    n = partitions or max(slots(docs.sparkSession), size_of(docs) // SHARD_BYTES)
+    # The row's number splits rows that are all the same; which of them is where tells nobody anything.
+    order = ("k", "th", "i")
+    ordered = keyed(docs).withColumn("i", F.monotonically_increasing_id()).select(*order, "text").repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(batches):
         from pyarrow import fs
 
-        enc, out, counts, keys, name = encoder(tokenizer), None, [], [], ""
+        enc, out, counts, keys, name, lowest = encoder(tokenizer), None, [], [], "", ()
         end = np.array([end_id], enc.dtype).tobytes()
         for b in (part for whole in batches for part in slices(whole)):
             if out is None:
@@ -150,6 +156,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_I
                 store.create_dir(base, recursive=True)
                 name = f"shard-{uuid.uuid4().hex}"
                 out = store.open_output_stream(f"{base}/{name}.bin")
+                lowest = [b.column(c)[0].as_py() for c in order]
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 ids = enc.encode(t) + end
                 counts.append(len(ids) // enc.dtype.itemsize)
@@ -162,7 +169,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_I
         for suffix, data in (("idx", offsets), ("ids", np.concatenate(keys).astype("<i8"))):
             with store.open_output_stream(f"{base}/{name}.{suffix}") as f:
                 f.write(data.tobytes())
-        yield pa.RecordBatch.from_pydict({"lowest": [int(keys[0][0])], "shard": [name], "n_docs": [len(counts)], "n_tokens": [int(offsets[-1])], "dtype": [enc.dtype.str]})
+        yield pa.RecordBatch.from_pydict({"lowest": [lowest[0]], "lowest_th": [lowest[1]], "lowest_i": [lowest[2]], "shard": [name], "n_docs": [len(counts)], "n_tokens": [int(offsets[-1])], "dtype": [enc.dtype.str]})
 
     return ordered.mapInArrow(run, MANIFEST)
 
@@ -170,7 +177,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int = END_I
 def based(manifest: DataFrame) -> DataFrame:
     """The manifest with token_base and doc_base: prefix sums over shards in key order. It has a row a shard,
     never one a document, so the driver can add them up."""
-    rows = sorted(manifest.collect(), key=lambda r: r.lowest)
+    rows = sorted(manifest.collect(), key=lambda r: r[:3])
     tokens, docs, out = 0, 0, []
     for r in rows:
         out.append((*r, tokens, docs))

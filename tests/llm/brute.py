@@ -22,8 +22,16 @@ def words(t):
     return re.findall("[^\x20\x09-\x0d]+", t or "")
 
 
+def text_hash(t):
+    import xxhash
+
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
+
+
 def order(docs):
-    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] or ""))
+    """By doc_id, then by the texts' hashes."""
+    return sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, text_hash(d[1])))
 
 
 def op1(docs, tok):
