@@ -27,18 +27,18 @@ class Retriever(Protocol):
     def retrieve(self, query: str, limit: int) -> DataFrame: ...
 
 
-def bags(units: DataFrame, title: str | None = "title", text: str = "text", anchor: str | None = "anchor_id") -> DataFrame:
-    """(uid, bag, len) of each unit: its words; a title's count twice, an anchor as a whole and in parts."""
+def bags(units: DataFrame, title: str | None = "title", text: str = "text", anchor: str | None = "anchor_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, bag, len, *keep) of each unit: its words; a title's count twice, an anchor as a whole and in parts."""
     bag = tokens(F.col(text))
     if title:
-        rows = units.select("uid", *([anchor] if anchor else []), bag.alias("bag"), tokens(F.col(title)).alias("head"))
+        rows = units.select("uid", *keep, *([anchor] if anchor else []), bag.alias("bag"), tokens(F.col(title)).alias("head"))
         bag = F.concat(*[F.col("head")] * TITLE_WEIGHT, "bag")
     else:
-        rows = units.select("uid", *([anchor] if anchor else []), bag.alias("bag"))
+        rows = units.select("uid", *keep, *([anchor] if anchor else []), bag.alias("bag"))
         bag = F.col("bag")
     if anchor:
         bag = F.concat(bag, anchor_tokens(F.col(anchor)))
-    return rows.select("uid", bag.alias("bag")).select("uid", "bag", F.size("bag").alias("len"))
+    return rows.select("uid", *keep, bag.alias("bag")).select("uid", "bag", F.size("bag").alias("len"), *keep)
 
 
 def _as_bags(units: DataFrame, **fields) -> DataFrame:
@@ -78,15 +78,26 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
+def part(n: Column, df: Column, tf: Column, length: Column, avg: Column) -> Column:
+    """What a term adds to a unit's score; more for a greater count and for a shorter unit."""
+    return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg))
+
+
+def summed(hit: DataFrame, dfs: DataFrame, stats: DataFrame, asked: list[str], key: list[str]) -> DataFrame:
+    """(*key, score) of postings (*key, term, tf, len), whose terms' frequencies are dfs. A unit's parts are added in the
+    query's order, so equal units tie."""
+    rows = hit.join(F.broadcast(dfs), "term").crossJoin(F.broadcast(stats))  # a row a query term; one row
+    own = part(F.col("n"), F.col("df"), F.col("tf"), F.col("len"), F.col("avg"))
+    at = F.array_position(F.array(*map(F.lit, asked)), F.col("term")) if asked else F.lit(0)
+    parts = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), own.alias("part")))).alias("parts"))  # a part a query term
+    return parts.select(*key, F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["part"]).alias("score"))
+
+
 def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     """(uid, score) of units that hold a term. A unit's parts are added in the query's order, so equal units tie."""
     asked = list(dict.fromkeys(terms))
     hit = index.filter(F.col("term").isin(asked))
-    rows = hit.join(F.broadcast(term_frequencies(hit)), "term").crossJoin(F.broadcast(stats))  # a row a query term; one row
-    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    at = F.array_position(F.array(*map(F.lit, asked)), F.col("term")) if asked else F.lit(0)
-    parts = rows.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), part.alias("part")))).alias("parts"))  # a part a query term
-    return parts.select("uid", F.aggregate("parts", F.lit(0.0), lambda acc, x: acc + x["part"]).alias("score"))
+    return summed(hit, term_frequencies(hit), stats, asked, ["uid"])
 
 
 def top(scores: DataFrame, units: DataFrame, limit: int, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -103,21 +114,36 @@ def _query_terms(spark: SparkSession, query: str) -> tuple[list[str], list[str]]
     return row.t, row.a
 
 
+class Scores(Protocol):
+    """A persisted index of units (sources.postings.PostingIndex)."""
+
+    def scores(self, terms: list[str], limit: int | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame: ...
+
+
 @dataclass
 class Bm25Retriever:
+    """BM25 over units: their words are taken from an index that was written before, or else once from the units."""
+
     units: DataFrame
     seed_kinds: tuple[str, ...] = ("contract", "debate", "ops")
+    index: Scores | None = None
 
     def __post_init__(self):
-        self.bags = bags(self.units).cache()
-        self.stats = totals(self.bags)
+        self.bags = None if self.index else bags(self.units).cache()
+        self.stats = None if self.index else totals(self.bags)
 
     def close(self) -> None:
         """Frees the kept words; the retriever can still be asked, from the units."""
-        self.bags.unpersist()
+        if self.bags is not None:
+            self.bags.unpersist()
 
     def describe(self) -> dict:
-        return {"kind": "bm25", "k1": K1, "b": B, "title_weight": TITLE_WEIGHT, "seed_kinds": list(self.seed_kinds)}
+        return {"kind": "bm25", "k1": K1, "b": B, "title_weight": TITLE_WEIGHT, "seed_kinds": list(self.seed_kinds), "persisted": self.index is not None}
+
+    def _seeds(self, asked: list[str], limit: int) -> DataFrame:
+        if self.index:
+            return self.index.scores(asked, limit, self.seed_kinds).orderBy(F.desc("score"), "ord").limit(limit).select("uid", "score", "ord")
+        return top(bm25(postings(self.bags, asked), self.stats, asked), self.units, limit, self.seed_kinds)
 
     def retrieve(self, query: str, limit: int = 5) -> DataFrame:
         """(uid, score, reason, pos): anchors that the query names come first, whatever their kind."""
@@ -127,7 +153,7 @@ class Bm25Retriever:
         first = self.units.filter("kind = 'contract'").groupBy(F.lower("anchor_id").alias("anchor")).agg(F.min_by("uid", "ord").alias("uid"))
         pinned = first.join(F.broadcast(named), "anchor").select("uid", F.lit(float("inf")).alias("score"), F.lit("anchor").alias("reason"), F.lit(0).alias("tier"), F.col("at").cast("long").alias("o"))
         asked = [*terms, *(a for a in anchors if a not in terms)]
-        seeds = top(bm25(postings(self.bags, asked), self.stats, asked), self.units, limit + len(anchors), self.seed_kinds)
+        seeds = self._seeds(asked, limit + len(anchors))
         nth = F.row_number().over(Window.orderBy(F.desc("score"), "ord")).cast("long")  # limit + anchors rows
         seeds = seeds.withColumn("o", nth).join(pinned.select("uid"), "uid", "left_anti").select("uid", "score", F.lit("bm25").alias("reason"), F.lit(1).alias("tier"), "o")
         both = pinned.unionByName(seeds).orderBy("tier", "o").limit(max(limit, 0))

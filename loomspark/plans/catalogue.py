@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,8 @@ from loomspark.operators import audit, blocks, changes, facade, graph, integrity
 from loomspark.plans import bridge as b
 from loomspark.plans import compiler, gate
 from loomspark.plans.bridge import CONFIG, sql, table
-from loomspark.sources import artifacts
+from loomspark.sources import artifacts, lineage
+from loomspark.sources.postings import PostingIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +54,44 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top(scores.withColumn("score", F.round("score", 6)), u, 20).select("uid", "score")
 
 
+@query(f"WITH {_UNITS_SQL} SELECT term, df FROM dfs")
+def term_document_frequency(spark, sf_dir):
+    return retrieval.document_frequencies(_units(spark, sf_dir), anchor=None)
+
+
+def _index(spark, sf_dir) -> PostingIndex:
+    """The persisted index of documents; it is built where these files have none yet."""
+    u = _units(spark, sf_dir)
+    index = PostingIndex(spark, f"{lineage.shared_folder(spark)}/indexes/{lineage.mark(u)}", buckets=32)
+    if not index.manifest()["segments"]:
+        index.build(u, anchor=None)
+    return index
+
+
+@query(ORACLE["bm25_topk"])
+def indexed_topk(spark, sf_dir):
+    return _index(spark, sf_dir).top(TERMS, 20).withColumn("score", F.round("score", 6))
+
+
+@query(ORACLE["term_document_frequency"])
+def indexed_document_frequency(spark, sf_dir):
+    return _index(spark, sf_dir).frequencies()
+
+
+_NEW_SQL = f"""units AS (SELECT CAST(doc_id AS VARCHAR) AS uid, doc_id AS ord, list_concat(list_concat({_TOKENS.format(t=_TITLE)}, {_TOKENS.format(t=_TITLE)}), {_TOKENS.format(t="text || CASE WHEN doc_id % 100 = 7 THEN ' onesen onesen' ELSE '' END")}) AS bag FROM documents WHERE doc_id % 100 <> 3)""" + _UNITS_SQL[_UNITS_SQL.index(",\npostings"):]
+
+
+@query(f"WITH {_NEW_SQL} SELECT uid, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term), stats WHERE term IN ('the', 'onesen', 'erblest', 'andthe') GROUP BY uid, CAST(uid AS BIGINT) ORDER BY score DESC, CAST(uid AS BIGINT) LIMIT 20")
+def updated_index_topk(spark, sf_dir):
+    """The index after one in a hundred units was edited and as many were removed: a second segment, nothing else."""
+    u = _units(spark, sf_dir)
+    index = PostingIndex(spark, f"{lineage.shared_folder(spark)}/indexes/{uuid.uuid4().hex}", buckets=32)
+    index.build(u, anchor=None)
+    edited = u.filter("ord % 100 = 7").withColumn("text", F.concat("text", F.lit(" onesen onesen")))
+    index.update(edited, u.filter("ord % 100 = 3").select("uid"), anchor=None)
+    return index.top(TERMS, 20).withColumn("score", F.round("score", 6))
+
+
 _TURNS_SQL = """turns AS (SELECT conv_id || '-' || turn AS uid, CASE role WHEN 'user' THEN 'contract' WHEN 'assistant' THEN 'debate' ELSE 'ops' END AS kind, conv_id * 1000 + turn AS ord,
   regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS bag, text, role, conv_id, turn FROM conversations)"""
 
@@ -72,11 +112,6 @@ def bm25_seed_kinds(spark, sf_dir):
     return retrieval.top(scores.withColumn("score", F.round("score", 6)), u, 15, ("debate",)).select("uid", "score")
 
 
-@query(f"WITH {_UNITS_SQL} SELECT term, df FROM dfs")
-def term_document_frequency(spark, sf_dir):
-    return retrieval.document_frequencies(_units(spark, sf_dir), anchor=None)
-
-
 @query(sql("SELECT spec_id AS anchor, title, CASE spec_id WHEN 'sop-p-10' THEN 1 WHEN 'spec-p-8' THEN 2 END AS pos FROM contracts WHERE spec_id IN ('sop-p-10', 'spec-p-8')", "contracts"))
 def anchor_pinned_search(spark, sf_dir):
     c = b.contracts(spark, sf_dir)
