@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from loomspark.config import Config
 from loomspark.operators.retrieval import Bm25Retriever, Retriever, expanded, leaks, prompt
 from loomspark.sources import artifacts
+from loomspark.sources.cells import VectorRetriever
 
 SYSTEM = "Answer from the numbered context blocks only and cite the anchor of each block that you use. Blocks marked NOT IN FORCE do not apply: say so. If the context has no answer, say that the graph has none."
 
@@ -17,14 +18,14 @@ class ScopeError(ValueError):
     """A graph that this caller may not ask."""
 
 
-#: Retrievers by name; each is made from units.
-RETRIEVERS: dict[str, Callable[[DataFrame], Retriever]] = {"bm25": Bm25Retriever}
+#: Retrievers by name; each is made from units and what it needs besides (an index, a function that embeds).
+RETRIEVERS: dict[str, Callable[..., Retriever]] = {"bm25": Bm25Retriever, "vector": lambda units, index, embed, probes=8: VectorRetriever(index, embed, probes)}
 
 
-def retriever_of(name: str, units: DataFrame) -> Retriever:
+def retriever_of(name: str, units: DataFrame | None, **needs) -> Retriever:
     if name not in RETRIEVERS:
         raise ValueError(f"unknown retriever {name!r}: one of {sorted(RETRIEVERS)}")
-    return RETRIEVERS[name](units)
+    return RETRIEVERS[name](units, **needs)
 
 
 def checked_scope(path: str, units: DataFrame, config: Config, internal: bool = False) -> str:

@@ -14,6 +14,7 @@ from loomspark.plans import bridge as b
 from loomspark.plans import compiler, gate
 from loomspark.plans.bridge import CONFIG, sql, table
 from loomspark.sources import artifacts, lineage
+from loomspark.sources.cells import VectorIndex
 from loomspark.sources.postings import PostingIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,6 +93,32 @@ def updated_index_topk(spark, sf_dir):
     return index.top(TERMS, 20).withColumn("score", F.round("score", 6))
 
 
+def _vectors(spark, sf_dir) -> tuple[VectorIndex, DataFrame]:
+    """The persisted cells of the embeddings, built where these files have none yet, and the queries: each id that 100 divides."""
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
+    root = f"{lineage.shared_folder(spark)}/indexes/{lineage.mark(own)}"
+    index = VectorIndex(spark, root)
+    if not lineage.exists(spark, f"{root}/vectors/_SUCCESS"):
+        index.build(own)
+    return index, own.filter("uid % 100 = 0").withColumnRenamed("uid", "q")
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS q, b.vec_id AS uid, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 9) AS score FROM v a, v b WHERE a.vec_id % 100 = 0)
+SELECT q, uid, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, uid) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def vector_neighbours(spark, sf_dir):
+    """The exact way: all cells."""
+    index, asked = _vectors(spark, sf_dir)
+    return index.search(asked, 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_cells(spark, sf_dir):
+    """The nearest eight cells of each query; a test holds its recall against the exact way."""
+    index, asked = _vectors(spark, sf_dir)
+    return index.search(asked, 10, probes=8)
+
+
 _TURNS_SQL = """turns AS (SELECT conv_id || '-' || turn AS uid, CASE role WHEN 'user' THEN 'contract' WHEN 'assistant' THEN 'debate' ELSE 'ops' END AS kind, conv_id * 1000 + turn AS ord,
   regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS bag, text, role, conv_id, turn FROM conversations)"""
 

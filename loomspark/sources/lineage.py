@@ -44,6 +44,11 @@ def release(spark: SparkSession) -> None:
         _made.remove((own, path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def mark(df: DataFrame) -> str:
     """A name for what a scan reads: its files with their sizes and times."""
     spark, found = df.sparkSession, []
