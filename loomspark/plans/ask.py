@@ -19,7 +19,7 @@ class ScopeError(ValueError):
 
 
 #: Retrievers by name; each is made from units and what it needs besides (an index, a function that embeds).
-RETRIEVERS: dict[str, Callable[..., Retriever]] = {"bm25": Bm25Retriever, "vector": lambda units, index, embed, probes=8: VectorRetriever(index, embed, probes)}
+RETRIEVERS: dict[str, Callable[..., Retriever]] = {"bm25": Bm25Retriever, "vector": lambda units, index, embed, probes=None: VectorRetriever(index, embed, probes)}
 
 
 def retriever_of(name: str, units: DataFrame | None, **needs) -> Retriever:

@@ -98,7 +98,7 @@ def _vectors(spark, sf_dir) -> tuple[VectorIndex, DataFrame]:
     own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("uid"), F.col("embedding").alias("vector"))
     root = f"{lineage.shared_folder(spark)}/indexes/{lineage.mark(own)}"
     index = VectorIndex(spark, root)
-    if not lineage.exists(spark, f"{root}/vectors/_SUCCESS"):
+    if not lineage.exists(spark, f"{root}/recall/_SUCCESS"):
         index.build(own)
     return index, own.filter("uid % 100 = 0").withColumnRenamed("uid", "q")
 
@@ -114,9 +114,9 @@ def vector_neighbours(spark, sf_dir):
 
 @query()
 def vector_cells(spark, sf_dir):
-    """The nearest eight cells of each query; a test holds its recall against the exact way."""
+    """As many of each query's nearest cells as the measured recall asks for; a test holds it against the exact way."""
     index, asked = _vectors(spark, sf_dir)
-    return index.search(asked, 10, probes=8)
+    return index.search(asked, 10, index.probes())
 
 
 _TURNS_SQL = """turns AS (SELECT conv_id || '-' || turn AS uid, CASE role WHEN 'user' THEN 'contract' WHEN 'assistant' THEN 'debate' ELSE 'ops' END AS kind, conv_id * 1000 + turn AS ord,

@@ -7,6 +7,7 @@ task keeps its best of each query.
 
     root/centroids           (cell, centroid): CELLS at most
     root/vectors/cell=<c>    (uid, vector), of length one
+    root/recall              (probes, recall): what so many probes find of the NEAR nearest, measured when the index is built
 
 Vectors that are null, of another length, zero or not finite have no direction: they are left out, as queries are.
 Scores are rounded to nine digits, so equal vectors tie; ties go by uid.
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CELLS, SAMPLE, ROUNDS = 4096, 64, 12
+#: Recall is measured for so many neighbours of so many stored vectors, those with the lowest hashes.
+NEAR, MEASURED = 10, 60
 #: Queries that are searched together.
 BLOCK = 1000
 
@@ -81,10 +84,30 @@ class VectorIndex:
 
         x0 = np.empty((0, 0))
         kind = rows.schema["uid"].dataType.simpleString()
+        rows.select("uid").limit(0).write.mode("overwrite").parquet(f"{self.root}/kind")
         placed = rows.mapInArrow(assigned, f"uid {kind}, vector array<double>, cell int")
         # Ranges of (cell, hash): a cell with very many vectors is several files.
         placed.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "cell", F.xxhash64("uid")).write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/vectors")
-        self.kind = kind
+        self._measure(centroids)
+
+    def _measure(self, centroids: np.ndarray) -> None:
+        """Writes the recall of every number of probes: where the exact neighbours of a sample lie in its order of cells."""
+        stored, found = self.spark.read.schema(self._schema()).parquet(f"{self.root}/vectors"), []
+        asked = stored.orderBy(F.xxhash64("uid"), "uid").limit(MEASURED).select(F.col("uid").alias("q"), "vector") if len(centroids) else None
+        if asked is not None:
+            ranks = {r.q: np.argsort(np.argsort(-(np.array(r.vector) @ centroids.T), kind="stable")) for r in asked.collect()}  # MEASURED rows
+            pairs = self.search(asked, NEAR).join(stored.select("uid", "cell"), "uid").select("q", "cell").collect()  # NEAR of each
+            found = sorted(int(ranks[q][c]) + 1 for q, c in pairs)
+        share = [(p, float(np.searchsorted(found, p, "right")) / len(found)) for p in range(1, len(centroids) + 1)] if found else []
+        self.spark.createDataFrame(share, "probes int, recall double").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/recall")
+
+    def _schema(self) -> str:
+        kind = self.spark.read.parquet(f"{self.root}/kind").schema["uid"].dataType.simpleString()
+        return f"uid {kind}, vector array<double>, cell int"
+
+    def probes(self, recall: float = 0.95) -> int | None:
+        """The least number of probes whose measured recall is so high; None (all) where none is."""
+        return self.spark.read.parquet(f"{self.root}/recall").filter(F.col("recall") >= recall).agg(F.min("probes")).first()[0]
 
     def _centroids(self) -> np.ndarray:
         rows = self.spark.read.parquet(f"{self.root}/centroids").orderBy("cell").collect()  # CELLS at most
@@ -94,8 +117,8 @@ class VectorIndex:
         """(q, uid, score, rank) of queries (q, vector): the k nearest of each among its `probes` nearest cells, or among all."""
         centroids, out = self._centroids(), None
         width = centroids.shape[1] if len(centroids) else 0
-        vectors = self.spark.read.parquet(f"{self.root}/vectors") if width else None
-        kind = vectors.schema["uid"].dataType.simpleString() if width else "string"
+        vectors = self.spark.read.schema(self._schema()).parquet(f"{self.root}/vectors")
+        kind = vectors.schema["uid"].dataType.simpleString()
         q_kind = queries.schema["q"].dataType.simpleString()
         schema = f"q {q_kind}, uid {kind}, score double"
         place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "uid"))
@@ -151,8 +174,8 @@ class VectorIndex:
 class VectorRetriever:
     """Beside BM25: units by the nearness of their vectors to that of the query, which `embed` makes."""
 
-    def __init__(self, index: VectorIndex, embed, probes: int | None = 8):
-        self.index, self.embed, self.probes = index, embed, probes
+    def __init__(self, index: VectorIndex, embed, probes: int | None = None):
+        self.index, self.embed, self.probes = index, embed, probes or index.probes()
 
     def describe(self) -> dict:
         return {"kind": "vector", "probes": self.probes, "cells": len(self.index._centroids())}
