@@ -147,17 +147,24 @@ def anchor_pinned_search(spark, sf_dir):
     return hits.join(u, "uid").select(F.col("uid").alias("anchor"), "title", "pos")
 
 
-@query(f"""WITH {_TURNS_SQL}, u AS (SELECT uid, kind, ord, conv_id FROM turns), parent AS (SELECT conv_id, arg_min(uid, ord) AS puid FROM u WHERE kind = 'contract' GROUP BY conv_id),
-seeds AS (SELECT *, row_number() OVER (ORDER BY ord) AS pos FROM u WHERE ord % 7 = 0 ORDER BY ord LIMIT 8),
+@query(f"""WITH {_TURNS_SQL}, postings AS (SELECT uid, len, term, count(*) AS tf FROM (SELECT uid, len(bag) AS len, unnest(bag) AS term FROM turns) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELECT count(*) AS n, sum(len(bag)) / count(*) AS avgl FROM turns),
+best AS (SELECT uid, ord, {_SCORE_SQL} AS score FROM postings JOIN dfs USING (term) JOIN turns USING (uid), stats WHERE term IN ('the', 'and', 'of') GROUP BY uid, ord ORDER BY score DESC, ord LIMIT 8),
+u AS (SELECT uid, kind, ord, conv_id FROM turns), parent AS (SELECT conv_id, arg_min(uid, ord) AS puid FROM u WHERE kind = 'contract' GROUP BY conv_id),
+seeds AS (SELECT u.*, row_number() OVER (ORDER BY score DESC, u.ord) AS pos FROM u JOIN best USING (uid)),
 cand AS (SELECT uid, pos, CASE kind WHEN 'contract' THEN 0 ELSE 1 END AS slot, 0 AS o, 'seed' AS reason FROM seeds
  UNION ALL SELECT puid, pos, 0, 0, 'parent-of:' || uid FROM seeds JOIN parent USING (conv_id) WHERE kind <> 'contract'
  UNION ALL SELECT u.uid, pos, 1, u.ord, 'child-of:' || s.uid FROM seeds s JOIN u ON s.conv_id = u.conv_id WHERE s.kind = 'contract' AND u.kind <> 'contract'),
 firsts AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY uid ORDER BY pos, slot, o) = 1)
 SELECT uid, reason, row_number() OVER (ORDER BY pos, slot, o) AS pos FROM firsts ORDER BY pos LIMIT 12""")
 def expand_neighbours(spark, sf_dir):
-    u = _turns(spark, sf_dir).select("uid", "kind", "ord", F.col("conv_id").cast("string").alias("anchor_id"), F.col("conv_id").cast("string").alias("parent_anchor"))
-    seeds = u.filter("ord % 7 = 0").orderBy("ord").limit(8)
-    hits = seeds.select("uid", F.lit(1.0).alias("score"), F.lit("seed").alias("reason"), F.row_number().over(Window.orderBy("ord")).alias("pos"))
+    """The eight best turns of all by BM25, and their neighbours: twelve in all."""
+    turns, terms = _turns(spark, sf_dir), ["the", "and", "of"]
+    own = retrieval.bags(turns, title=None, anchor=None)
+    scores = retrieval.bm25(retrieval.postings(own, terms), retrieval.totals(own), terms).withColumn("score", F.round("score", 6))
+    seeds = retrieval.top(scores, turns, 8).select("uid", "score", "ord")
+    u = turns.select("uid", "kind", "ord", F.col("conv_id").cast("string").alias("anchor_id"), F.col("conv_id").cast("string").alias("parent_anchor"))
+    hits = seeds.select("uid", "score", F.lit("seed").alias("reason"), F.row_number().over(Window.orderBy(F.desc("score"), "ord")).alias("pos"))  # 8 rows
     return retrieval.expanded(u, hits, 12).select("uid", "reason", F.col("pos").cast("long").alias("pos"))
 
 
@@ -270,13 +277,6 @@ def callout_attach_walkup(spark, sf_dir):
 _MATRIX_SQL = "CASE WHEN d IS NULL THEN c WHEN c IS NULL THEN d WHEN list_position(['active', 'pending', 'draft', 'deprecated', 'archived'], d) >= list_position(['active', 'pending', 'draft', 'deprecated', 'archived'], c) THEN d WHEN c IN ('deprecated', 'archived') THEN 'invalidated' ELSE c END"
 
 
-@query(f"WITH s(s) AS (VALUES ('active'), ('pending'), ('draft'), ('deprecated'), ('archived'), (NULL)) SELECT c, d, {_MATRIX_SQL} AS computed FROM (SELECT a.s AS c, z.s AS d FROM s a, s z)")
-def status_matrix(spark, sf_dir):
-    s = spark.createDataFrame([(x,) for x in (*CONFIG.statuses, None)], "s string")
-    pairs = s.select(F.col("s").alias("c")).crossJoin(s.select(F.col("s").alias("d")))  # six by six
-    return pairs.select("c", "d", status.resolved(F.col("c"), F.col("d"), CONFIG).alias("computed"))
-
-
 _ENTRIES_SQL = f"""pairs AS (SELECT k.*, x.status_override AS c, f.status AS d, x.ord AS contract_ord, x.partition_id FROM callouts k JOIN contracts x ON k.target_id = x.spec_id JOIN file_status f ON k.source_file = f.source_file),
 entries AS (SELECT *, {_MATRIX_SQL} AS computed_status, coalesce(c = 'deprecated', false) AS invalidated FROM pairs)"""
 
@@ -291,6 +291,12 @@ def computed_status_counts(spark, sf_dir):
     return _entries(spark, sf_dir).groupBy("contract_status", "computed_status", "invalidated").agg(F.count("*").alias("n"))
 
 
+@query(sql(f", {_ENTRIES_SQL} SELECT c, d, computed_status AS computed, count(*) AS n FROM entries GROUP BY ALL", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+def status_matrix(spark, sf_dir):
+    """Every pair of a contract's and its dependent's status that there is, and what they come to."""
+    return _entries(spark, sf_dir).groupBy(F.col("contract_status").alias("c"), F.col("dependent_status").alias("d"), F.col("computed_status").alias("computed")).agg(F.count("*").alias("n"))
+
+
 @query(sql("SELECT source_file, line_no, node_id FROM callouts", "callouts"))
 def composite_ids(spark, sf_dir):
     return b.callouts(spark, sf_dir).select("source_file", F.col("line_no").cast("long").alias("line_no"), "node_id")
@@ -316,10 +322,10 @@ def document_primary_file(spark, sf_dir):
 
 
 @query(sql(f""", {_ENTRIES_SQL} SELECT p.id AS "partition", coalesce(n.docs, 0) AS docs, coalesce(n.nodes, 0) AS nodes, coalesce(e.debates, 0) AS debates, coalesce(e.ops, 0) AS ops, coalesce(e.evidence, 0) AS evidence
-FROM partitions p LEFT JOIN (SELECT partition_id, count(DISTINCT document_id) AS docs, count(*) AS nodes FROM contracts WHERE partition_id <> 'exec' GROUP BY 1) n ON p.id = n.partition_id
-LEFT JOIN (SELECT partition_id, count(*) FILTER (kind = 'debate') AS debates, count(*) FILTER (kind = 'ops') AS ops, count(*) FILTER (kind = 'evi') AS evidence FROM entries WHERE partition_id <> 'exec' GROUP BY 1) e ON p.id = e.partition_id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
+FROM partitions p LEFT JOIN (SELECT partition_id, count(DISTINCT document_id) AS docs, count(*) AS nodes FROM contracts GROUP BY 1) n ON p.id = n.partition_id
+LEFT JOIN (SELECT partition_id, count(*) FILTER (kind = 'debate') AS debates, count(*) FILTER (kind = 'ops') AS ops, count(*) FILTER (kind = 'evi') AS evidence FROM entries GROUP BY 1) e ON p.id = e.partition_id""", "partitions", "contracts", "callouts", "file_status").replace("\n, ", ", "))
 def partition_rollup_summary(spark, sf_dir):
-    c = b.contracts(spark, sf_dir).filter("partition <> 'exec'")
+    c = b.contracts(spark, sf_dir)
     n = c.groupBy("partition").agg(F.countDistinct("document_id").alias("docs"), F.count("*").alias("nodes"))
     e = graph.attached(c, b.callouts(spark, sf_dir), CONFIG).withColumn("domain", ids.domain_of(F.col("anchor"))).groupBy("domain").agg(*[F.count_if(F.col("kind") == r.role).alias(r.graph_key) for r in CONFIG.roles])
     dims = CONFIG.partition_frame(spark).select(F.col("id").alias("partition"), "domain")
