@@ -411,6 +411,22 @@ def ingest_diff(spark, sf_dir):
     return changes.difference(head, index)
 
 
+_LINES_SQL = """SELECT doc_id, line, count(*) * octet_length(encode(line)) AS w FROM (SELECT doc_id, ls[i] || CASE WHEN i < len(ls) THEN chr(10) ELSE '' END AS line
+ FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM {t}))) WHERE line <> '' GROUP BY doc_id, line"""
+
+
+@query(f"""WITH o AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t || chr(10) || 'edited ' || doc_id AS t FROM o),
+a AS ({_LINES_SQL.format(t='o')}), z AS ({_LINES_SQL.format(t='n')}), p AS (SELECT a.doc_id AS i, z.doc_id AS j, sum(least(a.w, z.w)) AS s FROM a JOIN z USING (line) GROUP BY ALL)
+SELECT 'a/' || i AS old_path, 'b/' || j AS path, CAST(floor(s * 100 / greatest(octet_length(encode(o.t)), octet_length(encode(n.t)))) AS INTEGER) AS score
+FROM p JOIN o ON o.doc_id = i JOIN n ON n.doc_id = j WHERE s * 100 >= 50 * greatest(octet_length(encode(o.t)), octet_length(encode(n.t)))""")
+def similar_versions(spark, sf_dir):
+    """Every text moved and edited: which removed file each added one may come from."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = d.select(F.concat(F.lit("a/"), "i").alias("old_path"), "text")
+    come = d.select(F.concat(F.lit("b/"), "i").alias("path"), F.concat("text", F.lit("\nedited "), "i").alias("text"))
+    return changes.similar(gone, come)
+
+
 @query(sql("SELECT spec_id, content FROM idx WHERE ord % 13 = 0 UNION ALL SELECT spec_id, content FROM head WHERE ord % 17 <> 0 AND NOT (ord % 13 = 0 AND ord % 17 <> 0)", "contracts", "versions"))
 def upsert_view(spark, sf_dir):
     head, index = (x.select("spec_id", "content", "ord") for x in b.head_index(spark, sf_dir))
