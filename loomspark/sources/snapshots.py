@@ -6,7 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions.hashing import blob_id
@@ -14,6 +14,13 @@ from loomspark.operators.changes import difference, staged
 from loomspark.sources.lineage import cut
 
 
+TREE = "rel_path string, blob_id string, home string"
+
+
+def _bucket(name: Column) -> Column:
+    return F.concat(F.lit("b"), F.substring(name, 1, 2))
+
+
 class ConflictError(RuntimeError):
     """Another commit came first."""
 
@@ -26,9 +33,10 @@ def check_paths(paths: DataFrame) -> None:
 
 
 class Store:
-    """root/blobs/commit=... (blob_id, content; only blobs that were not there), root/trees/commit=... (rel_path, blob_id),
-    root/refs/<branch>/<number> (commit). A commit takes the number after that of the version it was made from, and
-    the file system gives a number to one writer."""
+    """root/blobs/commit=.../bucket=... (blob_id, content; only blobs that were not there, by the first digits of their names),
+    root/trees/commit=... (rel_path, blob_id, home: the commit whose blobs hold it), root/refs/<branch>/<number> (commit).
+    What is read of the blobs is told by the tree alone: the folders of its homes and buckets. A commit takes the number
+    after that of the version it was made from, and the file system gives a number to one writer."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -43,11 +51,12 @@ class Store:
     def _tip(self, branch: str) -> tuple[int, str | None]:
         """The number of the newest ref and its commit."""
         refs = self._refs(branch)
-        if not refs:
-            return 0, None
-        stream = self.fs.open(self.path(f"{self.root}/refs/{branch}/{refs[-1]}"))
+        return (refs[-1], self._commit_of(branch, refs[-1])) if refs else (0, None)
+
+    def _commit_of(self, branch: str, number: int) -> str:
+        stream = self.fs.open(self.path(f"{self.root}/refs/{branch}/{number}"))
         try:
-            return refs[-1], stream.readUTF()
+            return stream.readUTF()
         finally:
             stream.close()
 
@@ -56,9 +65,12 @@ class Store:
 
     def tree(self, commit: str | None, prefix: str = "", suffixes: tuple[str, ...] = ()) -> DataFrame:
         """(rel_path, blob_id)."""
+        return self._tree(commit, prefix, suffixes).select("rel_path", "blob_id")
+
+    def _tree(self, commit: str | None, prefix: str = "", suffixes: tuple[str, ...] = ()) -> DataFrame:
         if commit is None:
-            return self.spark.createDataFrame([], "rel_path string, blob_id string")
-        out = self.spark.read.schema("rel_path string, blob_id string").parquet(f"{self.root}/trees/commit={commit}").filter(F.startswith("rel_path", F.lit(prefix)))
+            return self.spark.createDataFrame([], TREE)
+        out = self.spark.read.schema(TREE).parquet(f"{self.root}/trees/commit={commit}").filter(F.startswith("rel_path", F.lit(prefix)))
         for i, s in enumerate(suffixes):
             hit = F.endswith("rel_path", F.lit(s)) if i == 0 else hit | F.endswith("rel_path", F.lit(s))
         return out.filter(hit) if suffixes else out
@@ -67,13 +79,11 @@ class Store:
         """(rel_path, text)."""
         if commit is None:
             return self.spark.createDataFrame([], "rel_path string, text string")
-        # Writers at the same time may both have stored a blob: the first commit's counts, told without the contents.
-        first = self._blobs().groupBy("blob_id").agg(F.min("commit").alias("commit"))
-        wanted = self.tree(commit, prefix).join(first, "blob_id")
-        return wanted.join(self._blobs(), ["blob_id", "commit"]).select("rel_path", F.col("content").alias("text"))
+        wanted = self._tree(commit, prefix).select("rel_path", "blob_id", F.col("home").alias("commit"), _bucket(F.col("blob_id")).alias("bucket"))
+        return wanted.join(self._blobs(), ["blob_id", "commit", "bucket"]).select("rel_path", F.col("content").alias("text"))
 
     def _blobs(self) -> DataFrame:
-        return self.spark.read.schema("blob_id string, content string, commit string").parquet(f"{self.root}/blobs")
+        return self.spark.read.schema("blob_id string, content string, commit string, bucket string").parquet(f"{self.root}/blobs")
 
     def changes(self, old: str | None, new: str | None) -> DataFrame:
         """(status, path, old_path), renames of equal content told."""
@@ -87,19 +97,26 @@ class Store:
         if found != expected:
             raise ConflictError(f"{branch} is at {found}, not at {expected}")
         own = files.select("rel_path", blob_id(F.col("text")).alias("blob_id"), F.col("text").alias("content"))
-        base = self.tree(expected)
+        base = self._tree(expected)
         if replace_prefix is not None:
             base = base.filter(~F.startswith("rel_path", F.lit(replace_prefix)))
         if removals is not None:
             base = base.join(removals.select("rel_path"), "rel_path", "left_anti")
-        tree = base.join(own.select("rel_path"), "rel_path", "left_anti").unionByName(own.select("rel_path", "blob_id"))
-        if expected is not None and not difference(self.tree(expected), tree).filter("change <> 'unchanged'").limit(1).count():
+        rest = base.join(own.select("rel_path"), "rel_path", "left_anti")
+        if expected is not None and not difference(self.tree(expected), rest.select("rel_path", "blob_id").unionByName(own.select("rel_path", "blob_id"))).filter("change <> 'unchanged'").limit(1).count():
             return expected
         name = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
-        fresh = own.select("blob_id", "content").dropDuplicates(["blob_id"])
+        placed = own.withColumn("bucket", _bucket(F.col("blob_id")))
         if self.fs.exists(self.path(f"{self.root}/blobs")):
-            fresh = fresh.join(self._blobs().select("blob_id"), "blob_id", "left_anti")
-        fresh.write.parquet(f"{self.root}/blobs/commit={name}")
+            # Writers at the same time may both have stored a blob: the first commit's counts. Contents are not read.
+            held = self._blobs().select("blob_id", "commit", "bucket").join(placed.select("blob_id", "bucket").distinct(), ["blob_id", "bucket"], "left_semi")
+            placed = placed.join(held.groupBy("blob_id").agg(F.min("commit").alias("home")), "blob_id", "left")
+        else:
+            placed = placed.withColumn("home", F.lit(None).cast("string"))
+        placed = cut(placed)
+        fresh = placed.filter("home is null").select("blob_id", "content", "bucket").dropDuplicates(["blob_id"])
+        fresh.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/blobs/commit={name}")
+        tree = rest.unionByName(placed.select("rel_path", "blob_id", F.coalesce("home", F.lit(name)).alias("home")))
         tree.write.parquet(f"{self.root}/trees/commit={name}")
         try:  # the file system lets one writer make the number that follows `expected`
             out = self.fs.create(self.path(f"{self.root}/refs/{branch}/{number + 1}"), False)
@@ -112,6 +129,30 @@ class Store:
         return name
 
 
+def collected(store: Store, keep: int, branches: tuple[str, ...] = ("main",)) -> list[str]:
+    """Removes what no version needs any more: of each branch the last `keep` stay, with the blobs that their trees name. Their
+    homes are rewritten nowhere; blobs of a home that is still named in part stay with it. Returns the commits whose blobs went.
+    Readers of the versions that stay go on; all branches must be named, or their blobs go too."""
+    refs = {b: store._refs(b) for b in branches}
+    commits = {b: [store._commit_of(b, n) for n in ns[-keep:]] for b, ns in refs.items()}
+    live = sorted({c for cs in commits.values() for c in cs})
+    homes: set[str] = set()
+    for c in live:  # `keep` of each branch
+        homes |= {r.home for r in store._tree(c).select("home").distinct().collect()}
+    for b, ns in refs.items():
+        for n in ns[:-keep]:
+            store.fs.delete(store.path(f"{store.root}/refs/{b}/{n}"), False)
+    gone = []
+    for part, kept in (("trees", set(live)), ("blobs", homes)):
+        folder = store.path(f"{store.root}/{part}")
+        for s in store.fs.listStatus(folder) if store.fs.exists(folder) else ():
+            name = s.getPath().getName().removeprefix("commit=")
+            if name not in kept:
+                store.fs.delete(s.getPath(), True)
+                gone += [name] if part == "blobs" else []
+    return sorted(gone)
+
+
 @dataclass
 class Batch:
     """What became of a batch. changes: (change, n). findings: (level, path, ...) of its changed files, written once and
