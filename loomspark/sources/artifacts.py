@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomspark.config import INVALIDATED, Config
 from loomspark.operators.graph import SCHEMA_VERSION
+from loomspark.operators.layout import classified
 
 
 class LeakError(ValueError):
@@ -80,13 +81,16 @@ def _graph(docs: _Rows, index: _Rows, locale: str, partitions: list[dict], canon
 
     def every() -> Iterator[str]:
         # The stream is sorted by partition id, the artifact by the configuration: what is early waits on disk.
+        first, between, last = ("", ", ", "") if canonical else ("\n", ",\n", "\n")  # a line a document, for read_lines()
         held = {}
         with tempfile.TemporaryDirectory() as folder:
             for p in sorted(x["id"] for x in partitions):
                 held[p] = os.path.join(folder, p)
                 with open(held[p], "w", encoding="utf-8") as f:
-                    for i, (doc,) in enumerate(docs.of(locale, p)):
-                        f.write(f"{', ' if i else ''}{dump(doc)}")
+                    n = 0
+                    for n, (doc,) in enumerate(docs.of(locale, p), 1):
+                        f.write((between if n > 1 else first) + dump(doc))
+                    f.write(last if n else "")
             yield '"partitions": ['
             for i, p in enumerate(partitions):
                 head = [f"{dump(k)}: {dump(p[k])}" for k in ("id", "label", "scope")]
@@ -208,3 +212,16 @@ def read(spark: SparkSession, path: str, locale: str, kind: str | None = None) -
     parts = reader.json(path).select(F.explode(F.col(f"`{locale}`.partitions")).alias("p"))
     rows = parts.select(F.lit(locale).alias("locale"), F.col("p.id").alias("partition"), F.explode("p.documents").alias("document"))
     return rows.select("locale", "partition", F.col("document.tractate_path").alias("tractate"), F.col("document.document_id").alias("document_id"), "document")
+
+
+def read_lines(spark: SparkSession, path: str, kind: str, config: Config) -> DataFrame:
+    """(locale, partition, tractate, document_id, document) of all locales, by as many tasks as the file has splits: write()
+    gives each document a line of its own. A document's locale and partition follow from its `src` by the layout. kind is
+    the type of `document`; a line that is not of it stops the query, and so does a file that write() did not make."""
+    with open(path, encoding="utf-8") as f:
+        if re.search(r'"documents": ?\[ *\{', f.read(1 << 16)):
+            raise ValueError(f"{path} does not have a line a document; use read()")
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit('{"document_id": ')))
+    rows = lines.select(F.from_json(F.regexp_replace("value", ",$", ""), kind, {"mode": "FAILFAST"}).alias("document"))
+    placed = classified(rows.withColumn("rel_path", F.col("document.src")), config)
+    return placed.select("locale", F.col("group_partition").alias("partition"), F.col("document.tractate_path").alias("tractate"), F.col("document.document_id").alias("document_id"), "document")
