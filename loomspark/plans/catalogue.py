@@ -13,6 +13,7 @@ from loomspark.operators import audit, blocks, changes, facade, graph, integrity
 from loomspark.plans import bridge as b
 from loomspark.plans import compiler, gate
 from loomspark.plans.bridge import CONFIG, sql, table
+from loomspark.plans.incremental import Build
 from loomspark.sources import artifacts, lineage
 from loomspark.sources.cells import VectorIndex
 from loomspark.sources.postings import PostingIndex
@@ -672,6 +673,18 @@ def compiled_units(spark, sf_dir):
     return _compiled(spark, sf_dir).units.select("locale", "uid", "kind", "anchor_id", "title", "text", "partition", "status", "computed_status")
 
 
+@query(ORACLE["compiled_units"])
+def recompiled_units(spark, sf_dir):
+    """A build of the corpus with rules under other ids in the files of some brands, brought up to date with the true ones."""
+    now = _corpus(spark, sf_dir)
+    other = F.regexp_like("rel_path", F.lit(r"brand-11\.contract\.en\.md$"))
+    before = now.withColumn("text", F.when(other, F.replace("text", F.lit("-p-"), F.lit("-q-"))).otherwise(F.col("text")))
+    build = Build(spark, f"{lineage.shared_folder(spark)}/builds/{uuid.uuid4().hex}", CONFIG, "internal", buckets=8)
+    build.build(before)
+    build.update(*build.changes(now))
+    return build.result().units.select("locale", "uid", "kind", "anchor_id", "title", "text", "partition", "status", "computed_status")
+
+
 @query(sql(f""", {_LOCALES_SQL} SELECT DISTINCT locale, source_file AS path, 'orphan' AS code, 1 AS n FROM loc""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
 def compiled_diagnostics(spark, sf_dir):
     d = _compiled(spark, sf_dir).diagnostics
