@@ -38,6 +38,8 @@ _BLOCK = "term string, origin string, range long, n int, max_tf int, min_len int
 SCHEMAS = {"blocks": _BLOCK, "terms": "term string, df long, bucket int"}
 #: Ranges that are scored first, to find a score to beat.
 AHEAD = 8
+#: About how many words of units a slice of a bucket holds the postings of.
+WORDS = 1_000_000
 
 
 class IndexConflictError(RuntimeError):
@@ -95,22 +97,34 @@ class PostingIndex:
         placed.drop("bag").write.parquet(f"{at}/units")
         rows = retrieval.postings(placed.select(F.struct("range", "slot", "kind").alias("uid"), "len", "bag"))
         entry = F.struct(F.col("uid.slot").alias("slot"), F.col("tf").cast("int").alias("tf"), "len", F.col("uid.kind").alias("kind"))
-        blocks = rows.groupBy("term", F.col("uid.range").alias("range")).agg(F.sort_array(F.collect_list(entry)).alias("e"), F.count("*").cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("len").alias("min_len"))
+        # Postings are dealt to their slice of a bucket at once: blocks are put together and written where they arrive.
+        n, words = placed.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        slices = max(1, -(-words // (self.buckets * WORDS)))
+        rows = self._dealt(rows.withColumn("range", F.col("uid.range")), slices)
+        blocks = rows.groupBy("bucket", "slice", "term", "range").agg(F.sort_array(F.collect_list(entry)).alias("e"), F.count("*").cast("int").alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("len").alias("min_len"))
         each = lambda f: F.transform("e", lambda x: x[f])
-        blocks = blocks.select("term", F.lit(name).alias("origin"), "range", "n", "max_tf", "min_len", each("slot").alias("slots"), each("tf").alias("tfs"), each("len").alias("lens"), each("kind").alias("kinds"))
-        self._write(blocks, f"{at}/blocks", "term", "origin", "range")
+        blocks = blocks.select("bucket", "slice", "term", F.lit(name).alias("origin"), "range", "n", "max_tf", "min_len", each("slot").alias("slots"), each("tf").alias("tfs"), each("len").alias("lens"), each("kind").alias("kinds"))
+        self._sorted(blocks, f"{at}/blocks", "term", "origin", "range")
         counts = placed.select(F.explode("terms").alias("term"), F.lit(1).alias("c"))
         if gone is not None:
             counts = counts.unionByName(gone.select("term", F.lit(-1).alias("c")))
-        self._write(counts.groupBy("term").agg(F.sum("c").alias("df")).filter("df <> 0"), f"{at}/terms", "term")
-        n, words = placed.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        self._write(counts.groupBy("term").agg(F.sum("c").alias("df")).filter("df <> 0"), f"{at}/terms", "term", slices=slices)
         self.fs.delete(self.path(f"{at}/placed"), True)
         return name, n, words
 
-    def _write(self, rows: DataFrame, path: str, *order: str) -> None:
-        """rows by the bucket of their term, a file each, in order, so that a term's rows stand together in it."""
-        rows = rows.withColumn("bucket", _bucket(F.col("term"), self.buckets))
-        rows.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+    def _dealt(self, rows: DataFrame, slices: int) -> DataFrame:
+        """rows with their term's bucket and slice, dealt by them: a bucket has `slices` of them, so tasks grow in number, not
+        in size, and all rows of a term are in one."""
+        part = F.pmod(F.hash("term"), F.lit(slices))
+        rows = rows.withColumns({"bucket": _bucket(F.col("term"), self.buckets), "slice": part})
+        return rows.repartition(self.buckets * slices, "bucket", "slice")
+
+    def _sorted(self, rows: DataFrame, path: str, *order: str) -> None:
+        """Dealt rows, a file a slice or part of one, in order, so that a term's rows stand together in it."""
+        rows.drop("slice").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(path)
+
+    def _write(self, rows: DataFrame, path: str, *order: str, slices: int = 1) -> None:
+        self._sorted(self._dealt(rows, slices), path, *order)
 
     def build(self, units: DataFrame, **fields) -> dict:
         """An index of units (uid, ord, kind and what retrieval.bags() reads) alone, in place of what there is."""

@@ -92,3 +92,20 @@ def test_retriever_over_an_index(spark, tmp_path):
     for question in ("rates of ^ADR-2", "change", "none at all"):
         assert [tuple(r) for r in own.retrieve(question, 3).collect()] == [tuple(r) for r in read.retrieve(question, 3).collect()]
     assert read.describe()["persisted"] and not own.describe()["persisted"]
+
+
+def test_buckets_have_more_slices_where_there_are_more_words(spark, tmp_path, monkeypatch):
+    import os
+
+    from loomspark.sources import postings
+
+    u = spark.createDataFrame([(str(i), "t", f"all w{i} w{i % 7} w{i % 3}", i) for i in range(400)], "uid string, title string, text string, ord long")
+    made = {}
+    for name, words in (("one", 10**6), ("many", 20)):
+        monkeypatch.setattr(postings, "WORDS", words)
+        index = postings.PostingIndex(spark, f"file://{tmp_path}/{name}", buckets=2)
+        at = f"{tmp_path}/{name}/segments/{index.build(u, anchor=None)['segments'][0]}/blocks"
+        parts = [x for b in os.listdir(at) if b.startswith("bucket=") for x in os.listdir(f"{at}/{b}") if x.endswith(".parquet")]
+        made[name] = len(parts), sorted(map(tuple, index.frequencies().collect())), index.top(["all", "w3"], 5).collect()
+    assert made["one"][0] == 2 < made["many"][0]
+    assert made["one"][1:] == made["many"][1:]
