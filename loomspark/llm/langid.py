@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import free_names, slices
+from loomspark.llm.common import free_names, mapped, slices
 
 UND = "und"
 PIECE = 256  # words of a text that are worked on at a time
@@ -367,7 +367,7 @@ def label_languages(spark: SparkSession, docs: DataFrame, model: Model | None, k
             own = [pa.array([x[i] for x in got], kind) for i, kind in zip(range(len(names)), (pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], names=[*keep, *names])
 
-    return read.mapInArrow(run, schema)
+    return mapped(read, run, schema)
 
 
 def least_score(labels: int, words: Column) -> Column:

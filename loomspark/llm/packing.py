@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import Scratch, doc_id, keyed, slices
+from loomspark.llm.common import Scratch, doc_id, keyed, mapped, slices
 from loomspark.llm.tokenio import END_ID, encoder
 
 WINDOW = 2048
@@ -204,7 +204,7 @@ def measured(docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "n": pa.array(cols["n"], pa.int64()), "window_crcs": pa.array(cols["window_crcs"], lists), "unit_crcs": pa.array(cols["unit_crcs"], lists), "rest_crc": pa.array(cols["rest_crc"], pa.int64()), "pid": pa.array([pid] * b.num_rows, pa.int64()), "rest": pa.array(cols["rest"], pa.int32()), "rank": pa.array(cols["rank"], pa.int64()), "windows_before": pa.array(cols["windows_before"], pa.int64())})
 
-    return keyed(docs).select("k", "text").mapInArrow(run, LENGTHS)
+    return mapped(keyed(docs).select("k", "text"), run, LENGTHS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END_ID, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
@@ -220,7 +220,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = END
     for r in sorted(rows.groupBy("pid").agg(F.sum(F.size("window_crcs")).alias("c")).collect(), key=lambda r: r.pid):
         bases.append((r.pid, total))
         total += r.c
-    firsts = spark.createDataFrame(bases, "pid long, window_base long")
+    # As an Arrow table: rows of Python objects would start workers of another kind beside those that are there.
+    firsts = spark.createDataFrame(pa.table([pa.array(x, pa.int64()) for x in (zip(*bases) if bases else ((), ()))], ["pid", "window_base"]))
     shared = spark.sparkContext.broadcast(plan)
 
     def run(batches):

@@ -55,3 +55,27 @@ def test_long_prose_has_a_language(spark):
     rnd = random.Random(3)
     rows = [(i, prose(rnd, 40), "a") for i in range(30)] + [(99, prose(rnd, 200_000), "a")]
     assert {r.lang_pred for r in langid.languages(spark, labelled(spark, rows)).select(F.col("lang_pred")).collect()} == {"a"}
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from loomspark.llm.common import BATCH_BYTES, mapped
+
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", "rows long, bytes long"
+    rows = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    before = spark.conf.getAll.get(key)
+    try:
+        spark.conf.unset(key)
+        got = mapped(rows, run, sizes).collect()
+        assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= BATCH_BYTES + 50_000
+        spark.conf.set(key, str(1 << 20))  # what a user set stays
+        assert max(r.bytes for r in mapped(rows, run, sizes).collect()) < 2 << 20
+        assert spark.conf.get(key) == str(1 << 20)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
