@@ -282,8 +282,8 @@ _ENTRIES_SQL = f"""pairs AS (SELECT k.*, x.status_override AS c, f.status AS d,
 entries AS (SELECT *, {_MATRIX_SQL} AS computed_status, coalesce(c = 'deprecated', false) AS invalidated FROM pairs)"""
 
 
-def _entries(spark, sf_dir, numbered: bool = False):
-    c, k = b.contracts(spark, sf_dir), b.callouts(spark, sf_dir, numbered)
+def _entries(spark, sf_dir):
+    c, k = b.contracts(spark, sf_dir), b.callouts(spark, sf_dir, numbered=True)  # a file's status asks for numbers too
     return graph.entries(c.withColumn("status", F.col("status_override")), k, b.file_status(k), CONFIG)
 
 
@@ -306,7 +306,7 @@ def composite_ids(spark, sf_dir):
 @query(sql(f""", {_ENTRIES_SQL} SELECT target_id AS anchor, count(*) FILTER (kind = 'debate') AS debates, count(*) FILTER (kind = 'ops') AS ops, count(*) FILTER (kind = 'evi') AS evidence,
 coalesce(string_agg(node_id, ',' ORDER BY source_file, line_no) FILTER (kind = 'debate'), '') AS debate_ids FROM entries GROUP BY 1""", "contracts", "callouts", "file_status").replace("\n, ", ", "))
 def node_entries_nested(spark, sf_dir):
-    n = graph.nested_entries(_entries(spark, sf_dir, numbered=True), CONFIG, "node_id", "title", "computed_status")
+    n = graph.nested_entries(_entries(spark, sf_dir), CONFIG, "node_id", "title", "computed_status")
     count = lambda c: F.size(c).cast("long").alias(c)
     return n.select("anchor", count("debates"), count("ops"), count("evidence"), F.array_join(F.transform("debates", lambda x: x["node_id"]), ",").alias("debate_ids"))
 
@@ -348,9 +348,9 @@ def _nodes(c: DataFrame) -> DataFrame:
     return c.select("*", F.lit("en").alias("locale"), F.col("spec_id").alias("anchor_id"), F.col("source_file").alias("src"), F.col("document_id").alias("document_title"), F.col("content").alias("body"), place)
 
 
-def _layered(spark, sf_dir, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+def _layered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = graph.layers(b.contracts(spark, sf_dir).withColumn("status", F.col("status_override")), "spec_id", None, CONFIG, spark)
-    e = graph.layers(_entries(spark, sf_dir, numbered), "anchor", "kind", CONFIG, spark)
+    e = graph.layers(_entries(spark, sf_dir), "anchor", "kind", CONFIG, spark)
     return _nodes(c), e.withColumns({"body": F.col("content"), "targets": F.col("target_id"), "locale": F.lit("en")})
 
 
@@ -384,7 +384,7 @@ def flatten_units(spark, sf_dir):
 
 @query()
 def graph_digest(spark, sf_dir):
-    c, e = _layered(spark, sf_dir, numbered=True)
+    c, e = _layered(spark, sf_dir)
     e = lineage.cut(e.select("kind", "locale", "anchor", "line_no", *graph.ENTRY))
     index = graph.anchor_index(c.withColumn("parent_anchor", F.lit(None).cast("string")), e)
     return spark.createDataFrame([(artifacts.digest_of_nodes(*_nodes_docs(c, e), index, CONFIG, "internal", ["en"]),)], "graph_hash string")
